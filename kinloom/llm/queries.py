@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, token_count
+from . import bpe_codec, quality_rules, token_count, warc
 from .common import table
 
 
@@ -14,5 +14,26 @@ def op5_bpe_codec(spark, sf_dir):
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_bpe_codec)}
-ORACLES: dict[str, str] = {}
+def op7_quality_rules(spark, sf_dir):
+    out = quality_rules.quality(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_bpe_codec, op7_quality_rules, op10_warc)}
+
+ORACLES = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT page_id, payload, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS hex,
+                     max(page_id) OVER (PARTITION BY payload) AS last_id FROM p)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + (CAST('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5) AS INT) >> (15 - 5 * (i % 4))::INT) % 32, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last_id THEN last_id END AS refers_to
+        FROM d""",
+}
