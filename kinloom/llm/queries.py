@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, quality_rules, token_count, warc
+from . import bpe_codec, line_dedup, quality_rules, substring_dedup, token_count, warc
 from .common import table
 
 
@@ -10,10 +10,18 @@ def op1_token_counts(spark, sf_dir):
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_bpe_codec(spark, sf_dir):
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_quality_rules(spark, sf_dir):
     out = quality_rules.quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -23,9 +31,29 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_bpe_codec, op7_quality_rules, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_substring_dedup, op5_bpe_codec, op6_line_dedup, op7_quality_rules, op10_warc)}
 
 ORACLES = {
+    "op3_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+        g AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 12], ' ')) AS k FROM s),
+        f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first_id FROM g),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM f WHERE first_id < doc_id),
+        r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+               sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []::BIGINT[]), i)), ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)""",
+    "op6_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+        k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+        c AS (SELECT k, max(doc_id) AS last_id FROM k WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+        j AS (SELECT k.doc_id, i, line, coalesce(last_id <> k.doc_id, false) AS gone FROM k LEFT JOIN c USING (k))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM j GROUP BY doc_id""",
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
         d AS (SELECT page_id, payload, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS hex,
