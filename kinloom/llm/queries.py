@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, line_dedup, quality_rules, substring_dedup, token_count, warc
+from . import bpe_codec, line_dedup, quality_rules, simhash, substring_dedup, token_count, warc
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_token_counts(spark, sf_dir):
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -31,7 +35,7 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_substring_dedup, op5_bpe_codec, op6_line_dedup, op7_quality_rules, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_substring_dedup, op5_bpe_codec, op6_line_dedup, op7_quality_rules, op10_warc)}
 
 ORACLES = {
     "op3_substring_dedup": r"""
