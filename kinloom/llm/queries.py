@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, line_dedup, quality_rules, simhash, substring_dedup, token_count, warc
+from . import bpe_codec, license_scan, line_dedup, pii, quality_rules, simhash, substring_dedup, token_count, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op4_license_scan(spark, sf_dir):
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_codec(spark, sf_dir):
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -31,11 +35,15 @@ def op7_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_pii(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_substring_dedup, op5_bpe_codec, op6_line_dedup, op7_quality_rules, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_substring_dedup, op4_license_scan, op5_bpe_codec, op6_line_dedup, op7_quality_rules, op8_pii, op10_warc)}
 
 ORACLES = {
     "op3_substring_dedup": r"""
@@ -48,6 +56,7 @@ ORACLES = {
         SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
                sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []::BIGINT[]), i)), ' '), '')) AS kept_sha256
         FROM d LEFT JOIN r USING (doc_id)""",
+    "op4_license_scan": license_scan.oracle(),
     "op6_line_dedup": r"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
