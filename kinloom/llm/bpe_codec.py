@@ -5,17 +5,18 @@ in order of rank, is a gadget: the state that u leads to loses its arc v, and ev
 gets an arc uv, to where v led. As all arcs of one token lead to one state, a state is named by the token
 read last, and the automaton is a bit table: for each token, which tokens have an arc for it. It accepts
 each text in exactly one way, the one the merges give, and so does it each prefix of a text; the encoder
-therefore goes once over a pre-token and finds, for every prefix, its only last token. Decoding emits the
-labels (bytes) of the arcs.
+follows the arcs of the table through a pre-token, and no place in it is left for good more than once.
+Decoding emits the labels (bytes) of the arcs.
 
 Null text is encoded as empty (no ids); a null id is passed on; each row of repeated ids gives its own
 row; an empty table gives no rows; columns besides the two named are not looked at. Texts are encoded
-whole, in time linear in the length of a pre-token.
+whole, in time linear in the length of a pre-token (times the longest label).
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -68,47 +69,47 @@ class Automaton:
         self.row = row
 
     def tokens(self, piece: bytes) -> list[int]:
-        """The only accepted way to read the piece."""
-        whole = self.token.get(piece)
+        """The only accepted way to read the piece: the longest arcs first, then shorter ones where no way
+        led on. A place can be reached in one accepted way only, so one that led nowhere is not tried twice."""
+        token, row, arcs, stride, longest = self.token.get, self.row, self.arcs, self.stride, self.longest
+        whole = token(piece)
         if whole is not None:
             return [whole]
-        n, token, row, arcs, stride, longest = len(piece), self.token.get, self.row, self.arcs, self.stride, self.longest
-        last = [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                t = token(piece[j:i])
-                if t is not None:
-                    if not j:
-                        last[i] = t
+        n, at, read, begins, dead = len(piece), 0, [], [], bytearray(len(piece) + 1)
+        end = min(n, longest)
+        while at < n:
+            while end > at:
+                if not dead[end] and (t := token(piece[at:end])) is not None:
+                    if not at:
                         break
-                    k = row[t]
-                    if k >= 0:
-                        p = last[j]
-                        if arcs[k * stride + (p >> 3)] >> (p & 7) & 1:
-                            last[i] = t
-                            break
-        out, label = [], self.lengths
-        while n:
-            t = last[n]
-            out.append(t)
-            n -= label[t]
-        out.reverse()
-        return out
+                    p, k = read[-1], row[t]
+                    if k >= 0 and arcs[k * stride + (p >> 3)] >> (p & 7) & 1:
+                        break
+                end -= 1
+            if end > at:
+                read.append(t)
+                begins.append(at)
+                at, end = end, min(n, end + longest)
+            else:
+                dead[at] = 1
+                end, at = at - 1, begins.pop()
+                read.pop()
+        return read
 
 
 class Codec(dict):
     """pre-token -> ids as little-endian 32-bit integers; short ones are remembered, up to `limit`."""
 
-    def __init__(self, path: str, limit: int = 1 << 19):
+    def __init__(self, path: str, limit: int = 1 << 20):
         self.vocabulary = v = Vocabulary(path)
         self.automaton = Automaton(v)
-        self.automaton.lengths = [len(x) for x in v.label]
         self.limit = limit
         self.label = {i: x for i, x in zip(v.id_of, v.label) if x} | {i: s.encode("utf-8") for s, i in v.added.items()}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.vocabulary.id_of
-        packed = np.array([ids[t] for t in self.automaton.tokens(piece.encode("utf-8"))], "<u4").tobytes()
+        read = self.automaton.tokens(piece.encode("utf-8"))
+        packed = struct.pack(f"<{len(read)}I", *[ids[t] for t in read])
         if len(piece) <= 48:
             if len(self) >= self.limit:
                 self.clear()

@@ -15,9 +15,12 @@ from .common import TOKENIZER_DIR
 WALK = 4_000_000
 
 
+PLAIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
 @lru_cache(maxsize=1)
 def pattern() -> regex.Pattern:
-    """The regex module's tables of letters and numbers are of a later Unicode version than those of
+    """PLAIN for any text. The regex module's tables of letters and numbers are of a later Unicode version than those of
     the vocabularies' library. The characters that may differ, unassigned in the interpreter's own older
     tables, are looked up in the library once: those it takes for neither are put with the others."""
     import unicodedata
@@ -41,7 +44,11 @@ def pattern() -> regex.Pattern:
 
 
 def split(text: str) -> Iterator[str] | list[str]:
-    p = pattern()
+    try:
+        text.encode("latin-1")
+        p = PLAIN  # what differs lies far beyond these characters
+    except UnicodeEncodeError:
+        p = pattern()
     return p.findall(text) if len(text) <= WALK else (m.group() for m in p.finditer(text))
 
 
