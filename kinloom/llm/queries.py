@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, license_scan, line_dedup, pii, quality_rules, simhash, substring_dedup, token_count, warc
+from . import bpe_codec, decontamination, license_scan, line_dedup, pii, quality_rules, simhash, substring_dedup, token_count, warc
 from .common import table
 
 
@@ -39,11 +39,15 @@ def op8_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark, sf_dir):
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_substring_dedup, op4_license_scan, op5_bpe_codec, op6_line_dedup, op7_quality_rules, op8_pii, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_substring_dedup, op4_license_scan, op5_bpe_codec, op6_line_dedup, op7_quality_rules, op8_pii, op9_decontamination, op10_warc)}
 
 ORACLES = {
     "op3_substring_dedup": r"""
