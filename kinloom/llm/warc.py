@@ -30,6 +30,7 @@ from .common import Written, shared_dir, ship
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
 SLICE = 1 << 16
+LEAST = 4096
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, file string, offset long"
@@ -99,12 +100,15 @@ def decoded(read, at: int) -> tuple[bytes, int] | None:
 
 def records(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, decoded member) of the members that start in [start, end) of an open file."""
-    held = [0, b""]
+    held, past = [0, b""], [None]  # a block of the file, and where the file ends once that is known
 
     def read(at: int) -> bytes:
-        if not held[0] <= at < held[0] + len(held[1]):
+        """Bytes from `at` on: at least LEAST of them, or those to the end of the file."""
+        if not held[0] <= at or at + LEAST > held[0] + len(held[1]) and past[0] != held[0] + len(held[1]):
             f.seek(at)
-            held[:] = [at, f.read(CHUNK)]
+            held[:] = [at, f.read(max(CHUNK, LEAST))]
+            if len(held[1]) < max(CHUNK, LEAST):
+                past[0] = at + len(held[1])
         return held[1][at - held[0] : at - held[0] + SLICE]
 
     at = start
