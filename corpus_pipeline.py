@@ -1,21 +1,53 @@
-"""A corpus pipeline: quality rules, line dedup, near-dedup, decontamination, token ids."""
+"""A corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination, token ids.
+
+Each stage takes all documents that its predecessor kept, and what it decides takes effect. n_chars is that
+of the text as it stands after the stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinloom.llm import bpe_codec
+from kinloom.llm import bpe_codec, decontamination, line_dedup, quality_rules, simhash
 from kinloom.llm.common import Written, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.quality(docs, carry=("text", "lang", "source", "n_chars")).where("kept").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share go, but from the last of these."""
+    out = line_dedup.line_dedup(docs, carry=("text", "lang", "source", "n_chars"))
+    changed = F.col("n_dropped") > 0
+    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
+    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents (five-word shingles, similarity of 0.8 or more) that with the least
+    id stays. Rows with a null id stay."""
+    gone = simhash.similar_groups(docs).where("component_id <> doc_id").select("doc_id")
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    held = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(held, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text; decoding them gives the text back, and its digest is kept."""
+    """Token ids of each text: their number and digest, and the digest of the text decoded from them."""
     return bpe_codec.round_trip(docs)
 
 
-STAGES = [("bpe", tokens)]
+STAGES = [("quality", quality), ("lines", lines), ("near-duplicates", near_duplicates), ("decontamination", benchmark_free), ("tokens", tokens)]
+#: SimHash, the automaton and the sector prints can't be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

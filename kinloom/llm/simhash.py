@@ -112,3 +112,96 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, segmen
     of = classes(points.where("rep IS NOT NULL"), distance=distance, segments=segments, bucket=bucket)
     joined = prints.join(of.select("fp", "component_id"), "fp", "left")
     return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Groups by similarity: fingerprints propose, the sets of shingles decide.
+
+SECTORS = 24
+PER_SECTOR = 6  # shingles of a sector, about
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """The set of a text's shingles, as sorted hashes."""
+    words = text.encode("utf-8").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    many = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(islice(words, i, None) for i in range(shingle))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, many, repeat(42)), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(h), BLOCK):
+        total += np.unpackbits(h[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * total > len(h)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
+def sector_prints(h: np.ndarray, similarity: float, sectors: int = SECTORS) -> list[int]:
+    """SimHashes of the shingles that lie in a sector of the hashes' range, for the first sectors of a
+    division made after the set's size. A similar set may be smaller or larger: where it can fall under
+    another division, both are given."""
+    n, out = len(h), []
+    levels = {max(3, int(np.ceil(np.log2(max(1.0, n * r / PER_SECTOR))))) for r in (similarity, 1.0, 1 / similarity)} if n else ()
+    spread = np.sort(h * _SPREAD) if n else h
+    for level in sorted(levels):
+        edges = np.searchsorted(spread, np.arange(min(sectors, 1 << level) + 1, dtype=np.uint64) << np.uint64(64 - level)) if level < 64 else []
+        for k in range(len(edges) - 1):
+            own = spread[edges[k] : edges[k + 1]] if k + 1 < 1 << level else spread[edges[k] :]
+            if len(own):
+                out.append(signed(xxhash.xxh64_intdigest(b"%d %d %d" % (level, k, majority(own)), 7)))
+    return out
+
+
+def sketches(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, same, prints): the fingerprint of the set, a hash of the set itself, the sectors' prints."""
+    named = two_columns(docs, id_col, text_col).withColumn("id", F.col("id").cast("long")).where("id IS NOT NULL")
+
+    def made(many: list[str]) -> dict:
+        import pyarrow as pa
+
+        sets = [shingle_hashes(t, shingle) for t in many]
+        prints = pa.array([sector_prints(h, similarity) for h in sets], pa.list_(pa.int64()))
+        return {"fp": pa.array([majority(h) if len(h) else 0 for h in sets], pa.int64()), "same": [xxhash.xxh3_128_hexdigest(h.tobytes()) for h in sets], "prints": prints}
+
+    return named.mapInArrow(by_batch(made), "id long, fp long, same string, prints array<long>")
+
+
+def proposals(points: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """points: (rep, fp, prints). Pairs (a, b) to look at: fingerprints within the distance, by multi-index
+    hashing; and equal prints of a sector, all pairs where up to `bucket` share one, else each with the
+    least (a similar pair shares several sectors, and full buckets are of groups of near copies)."""
+    whole = points.groupBy("fp").agg(F.min("rep").alias("rep"))
+    pairs = links(whole, distance, bucket=bucket)
+    pairs = pairs.union(points.join(whole.withColumnRenamed("rep", "a"), "fp").where("a <> rep").select("a", F.col("rep").alias("b")))
+    keyed = Written(points.select("rep", F.explode(F.array_distinct("prints")).alias("key")), "sectors").df
+    count = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("a")).where("n > 1")
+    shared = keyed.join(count, "key")
+    star = shared.where("a <> rep").select("a", F.col("rep").alias("b"))
+    few = shared.where(f"n <= {bucket} AND n > 2").select("key", "rep")
+    inner = few.join(few.withColumnRenamed("rep", "b"), "key").where("rep < b").select(F.col("rep").alias("a"), "b")
+    return pairs.union(star).union(inner).distinct()
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2, bucket: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per id: id, component_id: the least id reachable over pairs whose sets of shingles have a
+    Jaccard similarity of at least `similarity`. Texts without words are alike. Null ids give no row."""
+    sketch = Written(sketches(docs, shingle, similarity, id_col, text_col), "sketches").df
+    points = sketch.groupBy("same").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("prints").alias("prints"))
+    points = Written(points, "points").df
+    pairs = Written(proposals(points.where(F.size("prints") > 0).select("rep", "fp", "prints"), distance, bucket), "proposals").df
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    named = two_columns(docs, id_col, text_col).withColumn("id", F.col("id").cast("long")).join(wanted, "id", "left_semi")
+
+    def made(many: list[str]) -> dict:
+        import pyarrow as pa
+
+        return {"s": pa.array([shingle_hashes(t, shingle).view(np.int64) for t in many], pa.list_(pa.int64()))}
+
+    sets = Written(named.mapInArrow(by_batch(made), "id long, s array<long>").dropDuplicates(["id"]), "sets").df
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    common = met.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("c"))
+    alike = common.where(F.col("c") >= similarity * (F.col("p") + F.col("q") - F.col("c"))).select("a", "b")
+    of = components(alike).select(F.col("node").alias("rep"), "root")
+    classes = points.select("same", "rep").join(of, "rep", "left").select("same", F.coalesce("root", "rep").alias("component_id"))
+    return sketch.select("id", "same").join(classes, "same").groupBy("id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("id", id_col)
