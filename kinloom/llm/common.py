@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-#: Documents, on average, of one unit of work where documents are grouped.
-DOCS_PER_BATCH = 256
+#: Texts that an Arrow function takes at a time.
+SLICE = 256
 
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
@@ -79,11 +79,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def group_counts(docs: DataFrame, docs_per_batch: int = DOCS_PER_BATCH) -> int:
-    """How many batches to group documents in; the count of rows comes from the files' footers."""
-    return max(1, -(-docs.count() // docs_per_batch))
-
-
 class WordHashes(dict):
     """word (bytes) -> XXH64, unsigned; remembers up to `limit` words."""
 
@@ -110,8 +105,9 @@ def by_batch(make) -> callable:
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0)} | make(list(texts(batch.column(1)))))
+            for at in range(0, batch.num_rows, SLICE):  # few texts at a time are Python objects
+                part = batch.slice(at, SLICE)
+                yield pa.RecordBatch.from_pydict({"id": part.column(0)} | make(list(texts(part.column(1)))))
 
     return mapped
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_batch, field_type, two_columns
+from .common import SLICE, WordHashes, by_batch, field_type, two_columns
 
 #: Largest shares of characters in n-grams found before in the text, by length, and in lines found before.
 #: The published limits run from 0.15 to 0.10; a clean short text with one boilerplate line repeated lies at
@@ -116,8 +116,9 @@ def quality(docs: DataFrame, ngram_limits: dict[int, float] | None = None, line_
     the columns named in carry, unchanged."""
     limits = NGRAM_LIMITS if ngram_limits is None else ngram_limits
     named = two_columns(docs, id_col, text_col)
+    others = [c for c in carry if c != text_col]  # the text goes through once
     if carry:
-        named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
+        named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("carried"))
     kinds = {"n_words": "int64", "word_chars": "int64", "n_symbols": "int64", "n_dup_lines": "int64", "n_repeat_words": "int64", "base_failed": "bool", "kept": "bool", "dup_line_share": "float64", "dup_ngram_share": "float64"}
 
     def ruled(many: list[str]) -> dict:
@@ -139,9 +140,10 @@ def quality(docs: DataFrame, ngram_limits: dict[int, float] | None = None, line_
         import pyarrow as pa
 
         for b in batches:
-            if b.num_rows:
-                made = ruled(["" if x is None else x for x in b.column(1).to_pylist()])
-                yield pa.RecordBatch.from_pydict({"id": b.column(0)} | made | {"carried": b.column(2)})
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                made = ruled(["" if x is None else x for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_pydict({"id": part.column(0)} | made | {"text": part.column(1), "carried": part.column(2)})
 
-    out = named.mapInArrow(carried, schema + f", carried {field_type(named, 'carried')}")
-    return out.select(F.col("id").alias(id_col), *kinds, *[F.col(f"carried.`{c}`").alias(c) for c in carry])
+    out = named.mapInArrow(carried, schema + f", text string, carried {field_type(named, 'carried')}")
+    return out.select(F.col("id").alias(id_col), *kinds, *[F.col("text").alias(c) if c == text_col else F.col(f"carried.`{c}`").alias(c) for c in carry])
