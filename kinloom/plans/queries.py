@@ -1,10 +1,540 @@
-"""Queries of the sequence and graph operators, and SQL that gives the same rows."""
+"""Queries of the sequence and graph operators over the whole tables, and SQL that gives the same rows.
+
+Names begin with the operator's identifier in the survey. Floating point results are rounded to six places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import BANDS, Cascade, Disambiguator, Overlap
+from ..functions import sequence as seqfn
+from ..operators import alignment, bands, bubbles, classify, compaction, consensus, conservation, coverage, graph, overlap, projection, sketch
+from ..operators.numbering import numbered
+from ..sources import writers
+from . import pipelines, tables
+from .tables import CALLS, CANDIDATES, CHAIN_GRAPH, ORDER_GRAPH, READS, REGIONS, REPEATS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def r6(x, name: str):
+    return F.round(x, 6).alias(name)
+
+
+# Sketches and overlaps
+
+K, W = 21, 19
+_M = "18446744073709551616"
+
+
+def _mixed(x: str) -> str:
+    """The first step of splitmix64 in SQL, on a UBIGINT: sums and products modulo 2^64, in 128 bits."""
+    return f"((({x})::UHUGEINT + 11400714819323198485::UHUGEINT) % {_M}::UHUGEINT)::UBIGINT"
+
+
+HITS = f"""{READS},
+    c0 AS (SELECT read_id, unnest(list_transform(string_split(seq, ''), lambda x: instr('ACGT', x) - 1))::BIGINT AS c, generate_subscripts(string_split(seq, ''), 1) - 1 AS pos FROM reads WHERE length(seq) >= {K + W - 1}),
+    c2 AS (SELECT read_id, pos, c, c * 4 + lead(c, 1) OVER w AS f, (3 - c) + 4 * (3 - lead(c, 1) OVER w) AS b FROM c0 WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+    c4 AS (SELECT read_id, pos, c, f * 16 + lead(f, 2) OVER w AS f, b + 16 * lead(b, 2) OVER w AS b FROM c2 WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+    c8 AS (SELECT read_id, pos, c, f AS f4, b AS b4, f * 256 + lead(f, 4) OVER w AS f, b + 256 * lead(b, 4) OVER w AS b FROM c4 WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+    c16 AS (SELECT read_id, pos, c, f4, b4, f * 65536 + lead(f, 8) OVER w AS f, b + 65536 * lead(b, 8) OVER w AS b FROM c8 WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+    c21 AS (SELECT read_id, pos, (f * 1024 + lead(f4, 16) OVER w * 4 + lead(c, 20) OVER w) AS f, (b + {4**16} * lead(b4, 16) OVER w + {4**20} * (3 - lead(c, 20) OVER w)) AS b FROM c16 WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+    m0 AS (SELECT read_id, pos, f::UBIGINT AS f, b::UBIGINT AS b FROM c21 WHERE f IS NOT NULL AND b IS NOT NULL),
+    m1 AS (SELECT read_id, pos, {_mixed("f")} AS f, {_mixed("b")} AS b FROM m0),
+    m2 AS (SELECT read_id, pos, ((xor(f, f >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % {_M}::UHUGEINT)::UBIGINT AS f, ((xor(b, b >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % {_M}::UHUGEINT)::UBIGINT AS b FROM m1),
+    m3 AS (SELECT read_id, pos, ((xor(f, f >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % {_M}::UHUGEINT)::UBIGINT AS f, ((xor(b, b >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % {_M}::UHUGEINT)::UBIGINT AS b FROM m2),
+    m4 AS (SELECT read_id, pos, xor(f, f >> 31) AS f, xor(b, b >> 31) AS b FROM m3),
+    m5 AS (SELECT read_id, pos, least(f, b) AS h, (f > b)::INT AS strand FROM m4),
+    m6 AS (SELECT read_id, min({{'h': h, 'pos': pos, 'strand': strand}}) OVER w AS m, count(*) OVER w AS n FROM m5 WINDOW w AS (PARTITION BY read_id ORDER BY pos ROWS BETWEEN {W - 1} PRECEDING AND CURRENT ROW)),
+    hits AS (SELECT DISTINCT (m.h::HUGEINT - 9223372036854775808)::BIGINT AS hash, read_id, m.pos AS pos, m.strand AS strand FROM m6 WHERE n = {W})"""
+MATCHES = f"""{HITS},
+    pairs AS (SELECT a.read_id AS a, b.read_id AS b, a.hash, a.pos AS pos_a, b.pos AS pos_b, a.pos - b.pos AS shift, xor(a.strand, b.strand) AS strand FROM hits a JOIN hits b ON a.hash = b.hash AND a.read_id < b.read_id)"""
+OVERLAPS = f"""{MATCHES},
+    p1 AS (SELECT *, count(*) OVER (PARTITION BY a, b) AS m, count(*) OVER (PARTITION BY a, b ORDER BY shift RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING) AS n FROM pairs),
+    p2 AS (SELECT *, first_value(shift) OVER (PARTITION BY a, b ORDER BY n DESC, hash, pos_a, pos_b) AS best FROM p1 WHERE m >= 5),
+    p3 AS (SELECT a, b, best, count(*) AS n, sum(strand) AS o, greatest(max(pos_a) - min(pos_a), max(pos_b) - min(pos_b)) AS span FROM p2 WHERE abs(shift - best) <= 100 GROUP BY ALL),
+    found AS (SELECT a AS read_a, b AS read_b, greatest(0, best)::INT AS offset_a, greatest(0, -best)::INT AS offset_b, (span + {K})::INT AS overlap_len, 0 AS diff_count, (n - o < o)::INT AS strand FROM p3 WHERE n >= 5 AND greatest(o, n - o) >= 0.8 * n)"""
+EVERY = Overlap(max_overlaps=None)
+
+
+def _overlaps(spark, sf_dir):
+    return overlap.overlaps(tables.reads(spark, sf_dir), EVERY)
+
+
+@query(f"WITH {HITS} SELECT * FROM hits")
+def w1_sketch(spark, sf_dir):
+    return sketch.sketch(tables.reads(spark, sf_dir))
+
+
+@query(f"""WITH {MATCHES} SELECT a, b, count(*) AS n, sum(strand)::BIGINT AS n_opposite, min(shift) AS low, max(shift) AS high FROM pairs GROUP BY ALL""")
+def j1_matches(spark, sf_dir):
+    m = overlap.matches(sketch.sketch(tables.reads(spark, sf_dir)))
+    return m.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("strand").alias("n_opposite"), F.min("shift").alias("low"), F.max("shift").alias("high"))
+
+
+@query(f"WITH {OVERLAPS} SELECT * FROM found")
+def a1_overlaps(spark, sf_dir):
+    return _overlaps(spark, sf_dir)
+
+
+RAW = f"""{OVERLAPS},
+    ids AS (SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 AS id, length(seq) AS length_bp FROM reads),
+    raw AS (SELECT row_number() OVER (ORDER BY read_a, read_b) - 1 AS edge_idx, a.id AS src, b.id AS dst, strand * 16 AS flags FROM found JOIN ids a ON read_a = a.read_id JOIN ids b ON read_b = b.read_id)"""
+
+
+def _built(spark, sf_dir):
+    reads = tables.reads(spark, sf_dir).select("read_id", F.length("seq").alias("length_bp"))
+    return graph.build_graph(reads, _overlaps(spark, sf_dir))
+
+
+@query(f"WITH {RAW} SELECT edge_idx, src, dst, 1 AS read_support, flags FROM raw")
+def g1_build_graph(spark, sf_dir):
+    return _built(spark, sf_dir)[0].edges.select("edge_idx", "src", "dst", "read_support", "flags")
+
+
+FILTERED = f"""{RAW},
+    cand AS (SELECT DISTINCT src, dst FROM raw JOIN ids p ON src = p.id JOIN ids v ON dst = v.id WHERE src <> dst AND p.length_bp > v.length_bp),
+    gone AS (SELECT DISTINCT dst AS id FROM cand c WHERE NOT EXISTS (SELECT 1 FROM raw s WHERE s.src = c.dst AND s.dst <> c.src AND NOT EXISTS (SELECT 1 FROM raw t WHERE t.src = c.src AND t.dst = s.dst))),
+    kept AS (SELECT * FROM raw WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)),
+    red AS (SELECT max(k.edge_idx) AS edge_idx FROM kept k WHERE EXISTS (SELECT 1 FROM kept x JOIN kept y ON x.dst = y.src JOIN ids b ON b.id = x.dst WHERE x.src = k.src AND y.dst = k.dst AND b.length_bp <= 100 AND y.dst <> x.src AND y.dst <> x.dst) GROUP BY k.src, k.dst),
+    filtered AS (SELECT * FROM kept WHERE edge_idx NOT IN (SELECT edge_idx FROM red))"""
+
+
+@query(f"WITH {FILTERED} SELECT edge_idx, src, dst, flags FROM filtered")
+def g2_filter_graph(spark, sf_dir):
+    return graph.filter_graph(_built(spark, sf_dir)[0])[0].edges.select("edge_idx", "src", "dst", "flags")
+
+
+@query(f"WITH {RAW}, cand AS (SELECT DISTINCT src, dst FROM raw JOIN ids p ON src = p.id JOIN ids v ON dst = v.id WHERE src <> dst AND p.length_bp > v.length_bp) SELECT DISTINCT dst AS id FROM cand c WHERE NOT EXISTS (SELECT 1 FROM raw s WHERE s.src = c.dst AND s.dst <> c.src AND NOT EXISTS (SELECT 1 FROM raw t WHERE t.src = c.src AND t.dst = s.dst))")
+def j3_contained(spark, sf_dir):
+    return graph.contained(_built(spark, sf_dir)[0])
+
+
+@query(f"""WITH {RAW}, both_ AS (SELECT read_a AS read_id, offset_a AS o, b.id AS n FROM found JOIN ids b ON read_b = b.read_id UNION ALL SELECT read_b, offset_b, a.id FROM found JOIN ids a ON read_a = a.read_id)
+    SELECT read_id, length_bp AS read_length, concat_ws(',', ids.id, p) AS path FROM ids LEFT JOIN (SELECT read_id, string_agg(n, ',' ORDER BY o, n) AS p FROM both_ GROUP BY read_id) USING (read_id)""")
+def g10_read_paths(spark, sf_dir):
+    reads = tables.reads(spark, sf_dir).select("read_id", F.length("seq").alias("length_bp"))
+    found = _overlaps(spark, sf_dir)
+    to_node = graph.build_graph(reads, found)[1]
+    return graph.read_paths(reads, to_node, found).select("read_id", "read_length", F.array_join("path", ",").alias("path"))
+
+
+@query(f"""WITH {RAW}, l AS (SELECT read_a, read_b, offset_a, offset_b, strand, overlap_len, diff_count, a.length_bp AS la, b.length_bp AS lb FROM found JOIN ids a ON read_a = a.read_id JOIN ids b ON read_b = b.read_id),
+    s AS (SELECT *, least(offset_a, la) AS qs, least(offset_b, lb) AS ts FROM l), x AS (SELECT *, least(overlap_len, la - qs, lb - ts) AS aln FROM s)
+    SELECT read_a, read_b, concat_ws(chr(9), 'd' || read_a, la, qs, qs + aln, CASE strand WHEN 0 THEN '+' ELSE '-' END, 'd' || read_b, lb, ts, ts + aln, aln, aln, CASE WHEN aln > 0 THEN 60 ELSE 0 END) AS line FROM x""")
+def k6_paf(spark, sf_dir):
+    reads = tables.reads(spark, sf_dir).withColumn("name", F.concat(F.lit("d"), F.col("read_id").cast("string")))
+    return writers.paf_lines(_overlaps(spark, sf_dir), reads)
+
+
+@query()
+def assemble(spark, sf_dir):
+    return pipelines.assemble(tables.reads(spark, sf_dir), overlapping=EVERY).graph.nodes.select("id", "length_bp", "copy_count", "read_support", F.md5("consensus").alias("consensus_md5"))
+
+
+# Sequence functions
+
+
+@query(f"""WITH {READS} SELECT read_id, length(seq) AS n, reverse(translate(left(seq, 60), 'ACGT', 'TGCA')) AS rc60,
+        round(CASE WHEN length(seq) > 0 THEN length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq) ELSE 0 END, 6) AS gc FROM reads""")
+def f_sequence(spark, sf_dir):
+    """Reverse complement, GC content."""
+    return tables.reads(spark, sf_dir).select("read_id", F.length("seq").alias("n"), seqfn.reverse_complement(F.left("seq", F.lit(60))).alias("rc60"), r6(seqfn.gc_content("seq"), "gc"))
+
+
+@query(f"""WITH {READS}, p AS (SELECT read_id, left(seq, 155) AS a, right(seq, 155) AS b FROM reads),
+    k AS (SELECT read_id, list_distinct(list_transform(range(1, length(a) - 29), lambda i: substr(a, i, 31))) AS x, list_distinct(list_transform(range(1, length(b) - 29), lambda i: substr(b, i, 31))) AS y FROM p)
+    SELECT read_id, len(x) AS n_first, len(y) AS n_last, round(CASE WHEN len(x) + len(y) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(x || y)) ELSE 0 END, 6) AS jaccard FROM k""")
+def f9_flank_jaccard(spark, sf_dir):
+    a, b = seqfn.kmers(F.expr("left(seq, 155)"), 31), seqfn.kmers(F.expr("right(seq, 155)"), 31)
+    rows = tables.reads(spark, sf_dir).select("read_id", a.alias("a"), b.alias("b"))
+    return rows.select("read_id", F.size("a").cast("long").alias("n_first"), F.size("b").cast("long").alias("n_last"), r6(seqfn.jaccard(F.col("a"), F.col("b")), "jaccard"))
+
+
+@query(f"""WITH {READS}, p AS (SELECT a.read_id AS a, b.read_id AS b, left(a.seq, 40) AS x, left(b.seq, 40) AS y FROM reads a JOIN reads b ON b.read_id = a.read_id + 1),
+    l AS (SELECT a, b, x, y, list_sum(list_transform(list_zip(string_split(x, ''), string_split(y, '')), lambda z: (z[1] <> z[2])::INT)) AS d FROM p)
+    SELECT a, b, CASE WHEN length(x) = length(y) THEN d ELSE length(x) + 1 END AS n_mismatches, levenshtein(x, y) AS edits FROM l""")
+def f6_mismatches(spark, sf_dir):
+    """F6 and the lower bound of F17, of neighbouring reads."""
+    reads = tables.reads(spark, sf_dir).select("read_id", F.expr("left(seq, 40)").alias("x"))
+    pairs = reads.select(F.col("read_id").alias("a"), "x").join(reads.select((F.col("read_id") - 1).alias("a"), F.col("read_id").alias("b"), F.col("x").alias("y")), "a")
+    return pairs.select("a", "b", seqfn.mismatches("x", "y").cast("long").alias("n_mismatches"), F.levenshtein("x", "y").cast("long").alias("edits"))
+
+
+@query("""SELECT source, round(CASE WHEN count(*) >= 4 THEN quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25) ELSE 0 END, 6) AS iqr FROM documents GROUP BY source""")
+def f10_iqr(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_list("n_chars").alias("v")).select("source", r6(seqfn.iqr("v"), "iqr"))
+
+
+@query(f"""WITH {CANDIDATES}, x AS (SELECT bubble_id, support_branch::DOUBLE AS k, (support_branch + support_alt)::DOUBLE AS n FROM candidates),
+    y AS (SELECT *, k / n AS p, 1 + 3.8416 / n AS q FROM x WHERE n > 0)
+    SELECT bubble_id, round(p, 6) AS vaf, round(greatest(0, least(1, (p + 3.8416 / (2 * n)) / q - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / q)), 6) AS ci_low,
+        round(greatest(0, least(1, (p + 3.8416 / (2 * n)) / q + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / q)), 6) AS ci_high FROM y
+    UNION ALL SELECT bubble_id, 0.5, 0, 1 FROM x WHERE n = 0""")
+def a18_wilson(spark, sf_dir):
+    out = classify.allele_fractions(tables.candidates(spark, sf_dir))
+    return out.select("bubble_id", r6("vaf", "vaf"), r6("ci_low", "ci_low"), r6("ci_high", "ci_high"))
+
+
+_BAND = "CASE " + " ".join(f"WHEN v > {a} AND v <= {b} THEN {i}" for i, (_, a, b) in enumerate(BANDS)) + " END"
+
+
+@query(f"""WITH {CALLS}, v AS (SELECT node_id, read_support / sum(read_support) OVER () * 300 AS v FROM calls) SELECT node_id, round(v, 6) AS v, {_BAND} AS band FROM v""")
+def f13_bands(spark, sf_dir):
+    """Bands of the scaled share of support."""
+    v = bands.fractions(tables.calls(spark, sf_dir)).withColumn("v", F.col("vaf") * 300)
+    return v.select("node_id", r6("v", "v"), seqfn.band("v").alias("band"))
+
+
+# Classification
+
+
+def _cascade_sql(c: Cascade = Cascade()) -> str:
+    prior = "greatest(segdup, repeat_)"
+    return f"""SELECT bubble_id, CASE WHEN length < {c.min_length} THEN 'NonSeparable' WHEN flank >= {c.flank_exit} THEN 'Branch' WHEN depth >= {c.depth_dup} THEN 'Duplication' WHEN span >= {c.span} THEN 'Branch'
+            WHEN {prior} > {c.prior} THEN 'Duplication' WHEN flank >= {c.mixed_flank} AND depth >= {c.mixed_depth} THEN 'Mixed' ELSE 'NonSeparable' END AS label,
+        round(CASE WHEN length < {c.min_length} THEN 0 WHEN flank >= {c.flank_exit} THEN flank WHEN depth >= {c.depth_dup} THEN least(1, depth / {1.5 * c.depth_dup}) WHEN span >= {c.span} THEN span
+            WHEN {prior} > {c.prior} THEN {prior} WHEN flank >= {c.mixed_flank} AND depth >= {c.mixed_depth} THEN least(flank, depth / {c.depth_dup}) ELSE {c.emit} END, 6) AS confidence,
+        CASE WHEN length < {c.min_length} OR flank >= {c.flank_exit} THEN 0 WHEN depth >= {c.depth_dup} THEN 1 WHEN span >= {c.span} THEN 2 ELSE 3 END AS stage FROM candidates"""
+
+
+@query(f"WITH {CANDIDATES} {_cascade_sql()}")
+def c3_cascade(spark, sf_dir):
+    return classify.cascade(tables.candidates(spark, sf_dir)).select("bubble_id", "label", r6("confidence", "confidence"), "stage")
+
+
+def _decide_sql(c: Disambiguator = Disambiguator()) -> str:
+    s = lambda x, mid: f"1 / (1 + exp(-{c.slope} * ({x} - {mid})))"
+    clamp = lambda x: f"greatest(0, least(1, {x}))"
+    p = c.prior
+    return f"""scored AS (SELECT *, {s("flank", c.flank_mid)} AS f, {s("depth", (c.depth_one + c.depth_two) / 2)} AS d, {s("span", c.span_mid)} AS s FROM candidates),
+    fused AS (SELECT *, {clamp(f"{c.w_flank} * f + {c.w_depth} * (1 - d) + {c.w_span} * s + {c.w_prior * p}")} AS br, {clamp(f"{c.w_flank} * (1 - f) + {c.w_depth} * d + {c.w_span} * (1 - s) + {c.w_prior * (1 - p)}")} AS du,
+        {clamp(f"{c.w_flank + c.w_depth} * least(f, d) + {c.w_span} * greatest(0, 1 - abs(s - 0.5) * 2) + {c.w_prior * (1 - abs(p - 0.5) * 2)}")} AS mi FROM scored),
+    rules AS (SELECT *, CASE WHEN length < {c.min_length} OR (depth <= 0 AND span <= 0 AND flank <= 0) THEN 0 WHEN flank >= {c.branch_flank} AND span >= {c.branch_span} AND abs(depth - {c.depth_one}) <= {c.branch_depth} AND br >= {c.emit} THEN 1
+        WHEN flank >= {c.mixed_flank} AND depth >= {c.mixed_depth} AND mi >= {c.emit} THEN 2 WHEN depth >= {c.dup_depth} AND flank < {c.branch_flank} AND du >= {c.emit} THEN 3
+        WHEN greatest(br, du, mi) < {c.emit} THEN 4 WHEN br >= du AND br >= mi THEN 1 WHEN du >= mi THEN 3 ELSE 2 END AS rule FROM fused)
+    SELECT bubble_id, CASE rule WHEN 1 THEN 'Branch' WHEN 2 THEN 'Mixed' WHEN 3 THEN 'Duplication' ELSE 'NonSeparable' END AS label,
+        round(CASE rule WHEN 0 THEN 0 WHEN 1 THEN br WHEN 2 THEN mi WHEN 3 THEN du ELSE greatest(br, du, mi) END, 6) AS confidence FROM rules"""
+
+
+@query(f"WITH {CANDIDATES}, {_decide_sql()}")
+def c5_disambiguate(spark, sf_dir):
+    return classify.disambiguate(tables.candidates(spark, sf_dir)).select("bubble_id", "label", r6("confidence", "confidence"))
+
+
+@query()
+def c6_hierarchical(spark, sf_dir):
+    """Mixed bubbles decomposed by their reads' SNP vectors, here the letters of their events."""
+    e = tables.table(spark, sf_dir, "events")
+    snps = e.select((F.col("user_id") * 24 + F.hour("ts")).alias("bubble_id"), F.col("event_id").alias("read_id"), F.left("event_type", F.lit(4)).alias("snps"))
+    out = classify.hierarchical(tables.candidates(spark, sf_dir), "bubble_id", snps)
+    return out.select("bubble_id", "label", r6("confidence", "confidence"), "decomposed")
+
+
+# Coverage
+
+
+@query(f"""WITH {REGIONS}, b AS (SELECT median(mean_coverage) AS base FROM regions WHERE starts_with(name, 'STANDARD')) SELECT chrom, "start", "end", name, round(mean_coverage / base, 6) AS relative_cn FROM regions, b""")
+def a8_copy_number(spark, sf_dir):
+    regions = tables.regions(spark, sf_dir)
+    return coverage.estimate_cn(regions, coverage.median_baseline(regions, "STANDARD")).select("chrom", "start", "end", "name", r6("relative_cn", "relative_cn"))
+
+
+@query(f"""WITH {REGIONS}, b AS (SELECT median(mean_coverage) AS base FROM regions WHERE starts_with(name, 'STANDARD')), e AS (SELECT name, mean_coverage / base AS cn FROM regions, b)
+    SELECT 'small' AS cluster, count(*) AS n, round(sum(cn), 6) AS total_cn, round(avg(cn), 6) AS mean_cn FROM e WHERE starts_with(name, 'SM') OR starts_with(name, 'ECO')
+    UNION ALL SELECT 'large', count(*), round(sum(cn), 6), round(avg(cn), 6) FROM e WHERE starts_with(name, 'LARGE')""")
+def a9_clusters(spark, sf_dir):
+    _, clusters = pipelines.analyze_coverage(tables.regions(spark, sf_dir), "STANDARD", clusters={"small": ["SM", "ECO"], "large": ["LARGE"]})
+    return clusters[0].union(clusters[1]).select("cluster", "n", r6("total_cn", "total_cn"), r6("mean_cn", "mean_cn"))
+
+
+@query(f"""WITH {REGIONS} SELECT round(sum(mean_coverage) / 25.5, 6) AS total_cn, round(sum(mean_coverage) / 25.5 / count(*), 6) AS per_gene_cn FROM regions WHERE name IN ('PROMO', 'MEDIUM')""")
+def a10_paralogs(spark, sf_dir):
+    out = coverage.paralog_cluster_cn(tables.regions(spark, sf_dir), ["PROMO", "MEDIUM"], 25.5)
+    return out.select(r6("total_cn", "total_cn"), r6("per_gene_cn", "per_gene_cn"))
+
+
+@query(f"""WITH {REGIONS}, {REPEATS}, ends AS (SELECT chrom, max("end") AS chrom_end FROM regions GROUP BY chrom),
+    base AS (SELECT family, chrom, "start" AS s, least("end", chrom_end) AS e FROM repeats JOIN ends USING (chrom) WHERE least("end", chrom_end) > "start"),
+    cuts AS (SELECT DISTINCT chrom, unnest(["start", "end"]) AS x FROM regions), segs AS (SELECT chrom, x AS s, lead(x) OVER (PARTITION BY chrom ORDER BY x) AS e FROM cuts),
+    cov AS (SELECT g.chrom, g.s, g.e, floor(arg_max(mean_coverage, row_idx) + 0.5)::BIGINT AS cov FROM segs g JOIN regions r ON g.chrom = r.chrom AND r."start" < g.e AND r."end" > g.s WHERE g.e IS NOT NULL GROUP BY ALL),
+    met AS (SELECT family, sum(cov * (least(b.e, c.e) - greatest(b.s, c.s))) AS covered FROM base b JOIN cov c ON b.chrom = c.chrom AND c.s < b.e AND c.e > b.s GROUP BY family),
+    total AS (SELECT family, sum(e - s)::BIGINT AS total_bp FROM base GROUP BY family)
+    SELECT family, total_bp, round(coalesce(covered, 0) / total_bp, 6) AS mean_cov, round(coalesce(covered, 0) / total_bp / 30 * 2, 6) AS cn FROM total LEFT JOIN met USING (family)""")
+def a6_repeat_families(spark, sf_dir):
+    out = coverage.family_cn(tables.repeats(spark, sf_dir), tables.regions(spark, sf_dir), 30.0)
+    return out.select("family", "total_bp", r6("mean_cov", "mean_cov"), r6("cn", "cn"))
+
+
+@query(f"""WITH {REGIONS}, {REPEATS} SELECT q.family, q.chrom, q."start" AS q_start, r."start" AS r_start, r.name FROM repeats q JOIN regions r ON q.chrom = r.chrom AND q."start" < r."end" AND q."end" > r."start" """)
+def j8_intervals(spark, sf_dir):
+    met = coverage.query_intervals(tables.regions(spark, sf_dir), tables.repeats(spark, sf_dir))
+    return met.select("family", "chrom", F.col("start").alias("q_start"), "r_start", F.col("r_name").alias("name"))
+
+
+@query(f"""WITH {REPEATS}, o AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM repeats),
+    g AS (SELECT *, sum(CASE WHEN "start" <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS run FROM o)
+    SELECT chrom, min("start") AS "start", max("end") AS "end", string_agg(DISTINCT class, ',' ORDER BY class) AS names FROM g GROUP BY chrom, run""")
+def j15_merge(spark, sf_dir):
+    return coverage.merge_intervals(tables.repeats(spark, sf_dir), "class")
+
+
+@query(f"""WITH {REGIONS}, c AS (SELECT CASE WHEN row_idx % 3 = 0 THEN name ELSE 'unknown' END AS roi_class, mean_coverage AS v FROM regions)
+    SELECT roi_class, count(*) AS n, round(avg(v), 3) AS mean, round(median(v), 3) AS median, round(coalesce(stddev_samp(v), 0), 3) AS stdev, round(min(v), 3) AS min, round(max(v), 3) AS max FROM c GROUP BY roi_class""")
+def k15_roi_stats(spark, sf_dir):
+    """S15, K15."""
+    regions = tables.regions(spark, sf_dir)
+    roi = regions.where("row_idx % 3 = 0").select("chrom", "start", "end", F.col("name").alias("roi_class"))
+    return coverage.roi_stats(coverage.roi_classes(regions, roi))
+
+
+# Graphs
+
+
+@query(f"""WITH {ORDER_GRAPH} SELECT id, count(e.src) AS n_out, coalesce(any_value(i.n), 0) AS n_in FROM nodes LEFT JOIN edges e ON id = e.src LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY dst) i ON id = i.dst GROUP BY id""")
+def a2_degrees(spark, sf_dir):
+    return graph.degrees(tables.order_graph(spark, sf_dir))
+
+
+BUBBLES = f"""{ORDER_GRAPH},
+    ways AS (SELECT a.src AS entry, b.dst AS exit, a.dst AS mid, a.edge_idx AS k, a.read_support AS s1, a.read_support + b.read_support AS support FROM edges a JOIN edges b ON a.dst = b.src),
+    met AS (SELECT entry, exit, count(*) AS n_alts, string_agg(mid || '-' || exit || ':' || support, ';' ORDER BY mid) AS alts, list_sum(list(s1 ORDER BY k DESC)[1:2])::BIGINT AS total_read_support FROM ways GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+@query(f"WITH {BUBBLES} SELECT entry, exit, n_alts, total_read_support, alts FROM met")
+def g9_bubbles(spark, sf_dir):
+    found = bubbles.detect_bubbles(tables.order_graph(spark, sf_dir))
+    alts = F.array_join(F.transform("alts", lambda x: F.concat(F.array_join(x["nodes"], "-"), F.lit(":"), x["support"].cast("string"))), ";")
+    return found.select("entry", "exit", F.size("alts").cast("long").alias("n_alts"), "total_read_support", alts.alias("alts"))
+
+
+@query(f"""WITH {BUBBLES}, alt AS (SELECT w.*, row_number() OVER (PARTITION BY entry, exit ORDER BY mid) AS i, p.length_bp AS mid_bp FROM ways w JOIN met USING (entry, exit) JOIN nodes p ON p.id = mid),
+    c AS (SELECT entry, exit, sum(support) FILTER (i = 1) AS support_branch, sum(support) FILTER (i > 1) AS support_alt, max(mid_bp) AS mid_bp FROM alt GROUP BY ALL)
+    SELECT entry, exit, support_branch::BIGINT AS support_branch, support_alt::BIGINT AS support_alt, e.length_bp + mid_bp + 2 * x.length_bp AS length,
+        round((support_branch + support_alt) / (SELECT greatest(avg(read_support), 1) FROM edges), 6) AS depth, round(least(1, (support_branch + support_alt) / e.read_support), 6) AS span
+    FROM c JOIN nodes e ON e.id = entry JOIN nodes x ON x.id = exit""")
+def c2_features(spark, sf_dir):
+    """C1, C2, A14."""
+    g = tables.order_graph(spark, sf_dir)
+    rows = classify.features(classify.candidates(bubbles.detect_bubbles(g), g), g)
+    return rows.select("entry", "exit", "support_branch", "support_alt", "length", r6("depth", "depth"), r6("span", "span"))
+
+
+FLOW = f"""{ORDER_GRAPH},
+    o AS (SELECT src AS id, sum(read_support)::DOUBLE AS outflow, count(*) AS n_out FROM edges GROUP BY src), i AS (SELECT dst AS id, sum(read_support)::DOUBLE AS inflow, count(*) AS n_in FROM edges GROUP BY dst),
+    flow AS (SELECT id, copy_count AS cn, coalesce(inflow, 0) AS inflow, coalesce(outflow, 0) AS outflow, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out, coalesce(outflow, 0) - coalesce(inflow, 0) * copy_count AS residual FROM nodes LEFT JOIN o USING (id) LEFT JOIN i USING (id))"""
+
+
+@query(f"WITH {FLOW} SELECT id AS node, inflow, outflow, cn::DOUBLE AS expected_cn, residual FROM flow WHERE n_in > 0 AND n_out > 0 AND abs(residual) >= 0.5")
+def g11_violations(spark, sf_dir):
+    g = tables.order_graph(spark, sf_dir)
+    state = conservation.node_flow(conservation.expected(g), g.edges.select("src", "dst", F.col("read_support").cast("double").alias("flow")))
+    inner = state.where("n_in > 0 AND n_out > 0 AND abs(residual) >= 0.5")
+    return inner.select(F.col("id").alias("node"), "inflow", "outflow", "expected_cn", "residual")
+
+
+@query(f"WITH {FLOW} SELECT edge_idx, round(CASE WHEN n_in > 0 AND n_out > 0 AND abs(residual) >= 0.5 THEN greatest(0, read_support - 0.5 * residual / n_out) ELSE read_support END, 6) AS flow FROM edges JOIN flow ON src = id")
+def g11_sweep(spark, sf_dir):
+    g = tables.order_graph(spark, sf_dir)
+    flow = g.edges.select("edge_idx", "src", "dst", F.col("read_support").cast("double").alias("flow"))
+    state = conservation.node_flow(conservation.expected(g), flow)
+    return conservation.sweep(flow, state).select("edge_idx", r6("flow", "flow"))
+
+
+@query()
+def analyze_graph(spark, sf_dir):
+    """G9, G11, C1, C2, C6 in one."""
+    out = pipelines.analyze_graph(tables.order_graph(spark, sf_dir)).decided
+    return out.select("bubble_id", "entry", "exit", "length", "label", r6("confidence", "confidence"))
+
+
+CHAINS = f"""{CHAIN_GRAPH},
+    d AS (SELECT id, (SELECT count(*) FROM edges e WHERE e.src = id) AS n_out, (SELECT count(*) FROM edges e WHERE e.dst = id) AS n_in FROM nodes),
+    links_ AS (SELECT e.src, e.dst FROM edges e JOIN d a ON a.id = e.src JOIN d b ON b.id = e.dst WHERE a.n_out = 1 AND b.n_in = 1),
+    walk AS (WITH RECURSIVE w AS (SELECT id AS node, id AS head, 0 AS place FROM nodes WHERE id NOT IN (SELECT dst FROM links_) UNION ALL SELECT l.dst, head, place + 1 FROM w JOIN links_ l ON l.src = w.node) SELECT * FROM w)"""
+
+
+@query(f"WITH {CHAINS} SELECT node, head, place::BIGINT AS place FROM walk")
+def g3_chains(spark, sf_dir):
+    return compaction.linear_chains(tables.chain_graph(spark, sf_dir)).select("node", "head", "place")
+
+
+UNITIGS = f"""{CHAINS},
+    u0 AS (SELECT head, count(*) AS members, row_number() OVER (ORDER BY head) - 1 AS u FROM walk GROUP BY head),
+    nb AS (SELECT id, list_sort(list_distinct(list(x))) AS nbrs FROM (SELECT src AS id, dst AS x FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst UNION ALL SELECT id, id FROM nodes) GROUP BY id),
+    single AS (SELECT u, head AS id, length_bp, nbrs, n_in + n_out AS deg FROM u0 JOIN nodes ON head = nodes.id JOIN nb ON head = nb.id JOIN d ON head = d.id WHERE members = 1),
+    tw AS (SELECT u, min(u) OVER (PARTITION BY length_bp, nbrs) AS rep, count(*) OVER (PARTITION BY length_bp, nbrs) AS n, deg, length_bp FROM single),
+    iso AS (SELECT u, min(u) OVER (PARTITION BY length_bp) AS rep FROM tw WHERE n = 1 AND deg = 0),
+    moved AS (SELECT u, rep, 0 AS lone FROM tw WHERE n > 1 UNION ALL SELECT u, rep, 1 FROM iso WHERE (SELECT count(*) FROM iso) >= 2),
+    placed AS (SELECT head, u0.u, coalesce(rep, u0.u) AS rep, coalesce(lone, 0) AS lone FROM u0 LEFT JOIN moved USING (u)),
+    final AS (SELECT rep, lone, row_number() OVER (ORDER BY lone, rep) - 1 AS unitig FROM (SELECT DISTINCT rep, lone FROM placed)),
+    unitigs AS (SELECT node, unitig, u, place FROM walk JOIN placed USING (head) JOIN final USING (rep, lone))"""
+
+
+@query(f"""WITH {UNITIGS} SELECT unitig AS id, CASE WHEN min(length_bp) = max(length_bp) THEN max(length_bp) ELSE sum(length_bp) END::BIGINT AS length_bp,
+        arg_min(copy_count, u * 100000 + place)::INT AS copy_count, sum(read_support)::BIGINT AS read_support FROM unitigs JOIN nodes ON node = id GROUP BY unitig""")
+def g7_unitigs(spark, sf_dir):
+    """G3 to G7, A3."""
+    return compaction.compact(tables.chain_graph(spark, sf_dir))[0].nodes.select("id", "length_bp", "copy_count", "read_support")
+
+
+@query(f"""WITH {UNITIGS}, e AS (SELECT edge_idx, a.unitig AS src, b.unitig AS dst, read_support FROM edges JOIN unitigs a ON src = a.node JOIN unitigs b ON dst = b.node WHERE a.unitig <> b.unitig)
+    SELECT row_number() OVER (ORDER BY edge_idx) - 1 AS edge_idx, src, dst, read_support FROM e""")
+def j7_unitig_edges(spark, sf_dir):
+    return compaction.compact(tables.chain_graph(spark, sf_dir))[0].edges.select("edge_idx", "src", "dst", "read_support")
+
+
+@query(f"""WITH {CHAIN_GRAPH} SELECT part, pos, line FROM (SELECT 0 AS part, 0 AS pos, 'H' || chr(9) || 'VN:Z:1.2' AS line UNION ALL
+    SELECT 1, id, printf('S%s%d%s*%sLN:i:%d%sRC:i:%d%sCN:i:%d%sCV:f:1.000', chr(9), id, chr(9), chr(9), length_bp, chr(9), read_support, chr(9), copy_count, chr(9)) FROM nodes UNION ALL
+    SELECT 2, edge_idx, concat_ws(chr(9), 'L', src, '+', dst, '+', '0M', 'VC:i:' || read_support, 'VF:f:1.0000', 'CT:f:0.0000') FROM edges)""")
+def k1_gfa(spark, sf_dir):
+    return writers.gfa_lines(tables.chain_graph(spark, sf_dir))
+
+
+# Consensus, calls, alignment
+
+
+@query(f"""WITH {READS}, s AS (SELECT lang, left(seq, 80) AS seq FROM reads WHERE length(seq) >= 80), c AS (SELECT lang, i, substr(seq, i, 1) AS b FROM s, range(1, 81) t(i)),
+    n AS (SELECT lang, i, b, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT lang, i, sum(n) AS depth, max(n) AS top, arg_min(b, -n * 1000 + ascii(b)) AS b FROM n GROUP BY ALL),
+    x AS (SELECT t.*, (SELECT count(*) FROM n WHERE n.lang = t.lang AND n.i = t.i AND n.n = t.top) AS ties FROM t)
+    SELECT lang, string_agg(CASE WHEN depth < 2 OR top / depth < 0.5 OR ties > 1 THEN 'N' ELSE b END, '' ORDER BY i) AS consensus, string_agg(depth::BIGINT, ',' ORDER BY i) AS depths FROM x GROUP BY lang""")
+def a5_vote(spark, sf_dir):
+    reads = tables.reads(spark, sf_dir).where(F.length("seq") >= 80).select("lang", F.expr("left(seq, 80)").alias("seq"))
+    return consensus.vote(reads, "lang").select("lang", "consensus", F.array_join("depths", ",").alias("depths"))
+
+
+@query(f"""WITH {READS}, s AS (SELECT source, left(seq, 100) AS seq FROM reads WHERE length(seq) > 0), c AS (SELECT source, i, substr(seq, i, 1) AS b FROM s, range(1, 101) t(i) WHERE i <= length(seq)),
+    n AS (SELECT source, i, b, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT source, i, arg_min(b, -n * 1000 + ascii(b)) AS b FROM n GROUP BY ALL)
+    SELECT source, string_agg(b, '' ORDER BY i) AS consensus FROM t GROUP BY source""")
+def a4_majority(spark, sf_dir):
+    return consensus.majority(tables.reads(spark, sf_dir).select("source", F.expr("left(seq, 100)").alias("seq")), "source")
+
+
+@query(f"""WITH {CALLS}, b AS (SELECT *, (length_bp + 250) // 500 AS bucket FROM calls), m AS (SELECT bucket, est_copy_count, count(*) AS n, min(row_idx) AS seen FROM b GROUP BY ALL),
+    k AS (SELECT bucket, arg_min(est_copy_count, -n * 1000000000 + seen) AS cn FROM m GROUP BY bucket)
+    SELECT min(node_id) AS node_id, any_value(cn)::INT AS est_copy_count, (sum(length_bp) // count(*))::BIGINT AS length_bp, sum(read_support)::BIGINT AS read_support, round(count(*) / (SELECT count(*) FROM calls), 6) AS est_vaf FROM b JOIN k USING (bucket) GROUP BY bucket""")
+def a11_length_calls(spark, sf_dir):
+    return bands.aggregate_by_length(tables.calls(spark, sf_dir)).select("node_id", "est_copy_count", "length_bp", "read_support", r6("est_vaf", "est_vaf"))
+
+
+@query(f"WITH {CALLS} SELECT node_id, round(read_support / (SELECT sum(read_support) FROM calls), 6) AS est_vaf FROM calls")
+def a12_support_calls(spark, sf_dir):
+    return bands.calls_from_nodes(tables.calls(spark, sf_dir)).select("node_id", r6("est_vaf", "est_vaf"))
+
+
+@query()
+def a13_band_stats(spark, sf_dir):
+    """A source's label rates as truth, its languages' shares as calls."""
+    docs, labels = tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "labels")
+    truth = docs.join(labels, "doc_id").groupBy("source", "lang").agg(F.avg("toxic").alias("vaf_target"), F.sum("quality").alias("copy_count"))
+    calls = bands.fractions(docs.groupBy("source", "lang").agg(F.count("*").alias("n")), "n", "source").select("source", "lang", F.col("vaf").alias("est_vaf"), F.col("n").alias("est_copy_count"))
+    order = F.ascii("lang") * 1000 + F.ascii(F.substring("lang", 2, 1))
+    out = bands.band_stats(truth.withColumn("row_idx", order), calls.withColumn("row_idx", order), "source")
+    return out.select("source", "name", "n_truth", "tp", "fp", r6("recall", "recall"), r6("precision", "precision"), r6("median_abs_vaf_residual", "residual"), r6("copy_count_accuracy", "copy_count_accuracy"))
+
+
+@query(f"""WITH {READS}, p AS (SELECT a.read_id, left(a.seq, 60) AS r, left(b.seq, 60) AS p FROM reads a JOIN reads b ON b.read_id = a.read_id + 1 WHERE length(a.seq) >= 60 AND length(b.seq) >= 60),
+    c AS (SELECT read_id, i - 1 AS pos, substr(r, i, 1) AS base, substr(p, i, 1) AS q FROM p, range(1, 61) t(i)) SELECT read_id, pos, base FROM c WHERE base <> q""")
+def f15_substitutions(spark, sf_dir):
+    reads = tables.reads(spark, sf_dir).where(F.length("seq") >= 60).select("read_id", F.expr("left(seq, 60)").alias("read_seq"))
+    pairs = reads.join(reads.select((F.col("read_id") - 1).alias("read_id"), F.col("read_seq").alias("path_seq")), "read_id")
+    return alignment.substitutions(pairs).select("read_id", "pos", "base")
+
+
+@query()
+def f15_deltas(spark, sf_dir):
+    """A read without every fiftieth base, encoded against the read and rebuilt."""
+    reads = tables.reads(spark, sf_dir).select("read_id", F.expr("left(seq, 400)").alias("path_seq"))
+    cut = reads.withColumn("read_seq", F.regexp_replace("path_seq", "(.{49}).", "$1"))
+    out = alignment.reconstruct(alignment.encode_deltas(cut))
+    return out.select("read_id", F.size("deltas").cast("long").alias("n_ops"), (F.col("rebuilt") == F.col("read_seq")).alias("same"))
+
+
+@query()
+def p4_somatic(spark, sf_dir):
+    """The reads' first bases against the first bases of two references."""
+    reads = tables.reads(spark, sf_dir).select(F.col("read_id").alias("branch_id"), F.expr("left(seq, 150)").alias("seq"))
+    bench = tables.table(spark, sf_dir, "benchmark").where("item_id < 2")
+    refs = bench.select(F.col("item_id").cast("string").alias("ref_name"), F.left(F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), tables.LETTERS, tables.BASES), F.lit(150)).alias("ref_seq"))
+    return alignment.somatic_deltas(reads, refs).select("branch_id", "ref_name", "branch_bp", "ref_bp", "edits", r6("identity", "identity"))
+
+
+PRIMERS = [("p1", "ACGTGC", "GCATTC"), ("p2", "TTGACA", "CCATGT")]
+_RC = {name: (fwd, "".join({"A": "T", "C": "G", "G": "C", "T": "A"}[c] for c in reversed(rev))) for name, fwd, rev in PRIMERS}
+
+
+@query(" UNION ALL ".join(f"""SELECT read_id, '{name}' AS primer, (a - 1)::INT AS "start", (b - 1 + {len(r)})::INT AS "end" FROM (WITH {READS}, f AS (SELECT read_id, unnest(list_filter(range(1, length(seq) + 1), lambda i: substr(seq, i, {len(f)}) = '{f}')) AS a FROM reads WHERE contains(seq, '{f}')),
+    g AS (SELECT read_id, unnest(list_filter(range(1, length(seq) + 1), lambda i: substr(seq, i, {len(r)}) = '{r}')) AS b FROM reads WHERE contains(seq, '{r}')) SELECT read_id, a, b FROM f JOIN g USING (read_id) WHERE b > a + {len(f)})""" for name, (f, r) in _RC.items()))
+def p1_exact_amplicons(spark, sf_dir):
+    primers = spark.createDataFrame(PRIMERS, "primer string, fwd string, rev string")
+    return alignment.scan_exact(tables.reads(spark, sf_dir), primers).select("read_id", "primer", "start", "end")
+
+
+@query()
+def p1_amplicons(spark, sf_dir):
+    """P1 with mismatches: amplicons are counted by read and primer."""
+    found = alignment.scan_amplicons(tables.reads(spark, sf_dir), [(n, f + "ACGTAC", r + "GTACGT") for n, f, r in PRIMERS], 2)
+    return found.groupBy("read_id", "primer").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("end").alias("last"))
+
+
+# Projection
+
+MAPPINGS = """mappings AS (SELECT 'node_' || l_partkey AS query, CASE l_returnflag WHEN 'A' THEN 'ref1' WHEN 'N' THEN 'ref2' ELSE 'ref3' END AS ref_name, 'chr' || l_suppkey AS target, l_orderkey AS target_start,
+    l_orderkey + 100 AS target_end, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, (l_quantity % 61)::INT AS mapq FROM lineitem)"""
+
+
+def _mappings(spark, sf_dir):
+    ref = F.when(F.col("l_returnflag") == "A", "ref1").when(F.col("l_returnflag") == "N", "ref2").otherwise("ref3")
+    return tables.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("node_"), F.col("l_partkey").cast("string")).alias("query"), ref.alias("ref_name"), F.concat(F.lit("chr"), F.col("l_suppkey").cast("string")).alias("target"), F.col("l_orderkey").alias("target_start"),
+        (F.col("l_orderkey") + 100).alias("target_end"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"), (F.col("l_quantity") % 61).cast("int").alias("mapq"),
+        F.lit(0).alias("query_start"), F.lit(100).alias("query_end"), F.lit(1.0).alias("identity"),
+    )
+
+
+@query(f"""WITH {MAPPINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY mapq DESC, ref_name, target, target_start, target_end, strand) AS n FROM mappings),
+    b AS (SELECT * FROM n WHERE n = 1) SELECT coalesce(target, 'NA') AS chrom, coalesce(target_start, 0) AS "start", coalesce(target_end, length_bp) AS "end", name, coalesce(mapq, copy_count) AS score, coalesce(strand, '.') AS strand
+    FROM (SELECT 'node_' || node_id AS name, length_bp, est_copy_count AS copy_count FROM (WITH {CALLS} SELECT * FROM calls UNION ALL SELECT -1, 10000000, 5, 1, 1)) LEFT JOIN b ON name = query""")
+def k5_best_mapping(spark, sf_dir):
+    """Parts as nodes, and one without any mapping."""
+    calls = tables.calls(spark, sf_dir)
+    nodes = calls.select(F.col("node_id").alias("id"), "length_bp", F.col("est_copy_count").alias("copy_count")).union(spark.createDataFrame([(10000000, 5, 1)], "id long, length_bp long, copy_count int"))
+    g = graph.Graph(graph.node_columns(nodes), graph.edge_columns(spark.createDataFrame([], "edge_idx long, src long, dst long")))
+    return projection.node_intervals(g, _mappings(spark, sf_dir), ["ref1", "ref2", "ref3"])
+
+
+@query(f"""WITH {MAPPINGS}, m AS (SELECT query, max(mapq) AS best, count(*) AS n FROM mappings GROUP BY query)
+    SELECT 'node_' || p_partkey AS branch_id, p_size AS length_bp, coalesce(best, -1) < 45 AS unannotated, coalesce(n, 0) AS n_mappings FROM part LEFT JOIN m ON query = 'node_' || p_partkey""")
+def p5_project(spark, sf_dir):
+    """J10, A17."""
+    branches = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("node_"), F.col("p_partkey").cast("string")).alias("branch_id"), F.col("p_size").alias("length_bp"))
+    out = projection.project(branches, _mappings(spark, sf_dir), 45)
+    return out.select("branch_id", "length_bp", "unannotated", F.size("linear_mappings").cast("long").alias("n_mappings"))
+
+
+@query(f"""WITH {MAPPINGS}, m AS (SELECT query, max(mapq) AS best FROM mappings GROUP BY query)
+    SELECT 's1' AS sample, '0.4.1' AS version, count(*) AS branch_count, count(*) FILTER (coalesce(best, -1) < 45) AS unannotated_count FROM part LEFT JOIN m ON query = 'node_' || p_partkey""")
+def k13_report(spark, sf_dir):
+    branches = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("node_"), F.col("p_partkey").cast("string")).alias("branch_id"), F.col("p_size").alias("length_bp"))
+    return pipelines.project(branches, _mappings(spark, sf_dir), "out/s1", 45)[1]
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS n FROM orders")
+def numbering(spark, sf_dir):
+    """Dense numbers by a key, as ids of nodes, edges and bubbles get them."""
+    return numbered(tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_custkey", "o_orderkey"], "n")
