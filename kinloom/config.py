@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,6 +83,28 @@ FUZZ = 100
 UINT32 = 4_294_967_295
 
 
+_ROOT = Path(__file__).resolve().parents[1]
+PACKAGE = __package__.split(".")[0]
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on executors that don't share the driver's folders."""
+    roots = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    here = str(_ROOT)
+    app = spark.sparkContext.applicationId
+    if app in _shipped or here in roots or os.path.realpath(os.getcwd()) == here:
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted((_ROOT / PACKAGE).rglob("*.py")):
+            z.write(p, p.relative_to(_ROOT))
+    at = Path(tempfile.mkdtemp()) / f"{__package__.split('.')[0]}.zip"  # Spark's file server hands it out
+    at.write_bytes(packed.getvalue())
+    spark.sparkContext.addPyFile(str(at))
+    _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import ship
 from ..functions.sequence import reverse_complement
 
 DELTA = "array<struct<pos:int,op:string,base:string>>"
@@ -113,6 +114,7 @@ def affine_edits(query: str, target: str, match: int = 1, mismatch: int = -2, ga
 
 def _mapped(df: DataFrame, columns: list[str], function, name: str, kind: str, arrow) -> DataFrame:
     """Adds a column that `function` makes of the values of `columns`, in Arrow batches."""
+    ship(df.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {name} {kind}"
     at = [df.columns.index(c) for c in columns]
 
@@ -175,6 +177,7 @@ def places(seq: str, pattern: str, most: int) -> np.ndarray:
 def scan_amplicons(reads: DataFrame, primers: list[tuple[str, str, str]], max_mismatches: int = 2, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
     """primers: (name, forward, reverse). Rows (read_id, primer, start, end, amplicon): from each place of the
     forward primer to the end of each place of the reverse primer's complement that begins after it."""
+    ship(reads.sparkSession)
     turn = str.maketrans("ACGT", "TGCA")
     pairs = [(name, fwd, "".join(c if c in "ACGT" else "N" for c in rev.upper()).translate(turn)[::-1]) for name, fwd, rev in primers]
     named = reads.select(F.col(id_col).alias("read_id"), F.col(seq_col).alias("seq"))

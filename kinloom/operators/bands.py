@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import BANDS, LENGTH_BUCKET, VAF_MATCH
+from ..config import BANDS, LENGTH_BUCKET, VAF_MATCH, ship
 from ..functions.sequence import band
 
 
@@ -65,6 +65,7 @@ def match(truth: DataFrame, calls: DataFrame, sample: str = "sample") -> DataFra
         kinds = (t.schema.field(sample).type, pa.string(), pa.float64(), pa.float64(), pa.bool_())
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [sample, "kind", "vaf", "residual", "cn_ok"])
 
+    ship(truth.sparkSession)
     kind = truth.schema[sample].dataType.simpleString()
     # Both may come from one table: fresh columns tell them apart.
     t = truth.select(F.col(sample).alias(sample), F.col("row_idx").alias("row_idx"), F.col("vaf_target").cast("double").alias("vaf_target"), F.col("copy_count").cast("long").alias("copy_count"))

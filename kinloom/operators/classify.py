@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import FLANK_BP, FLANK_K, Cascade, Disambiguator, written
+from ..config import FLANK_BP, FLANK_K, Cascade, Disambiguator, ship, written
 from ..functions.sequence import gc_content, iqr, jaccard, kmers, logistic, wilson
 from .graph import Graph
 
@@ -145,6 +145,7 @@ def decompose(reads: DataFrame, key: str, vector: str = "snps", order: str = "re
         found = two_clusters(vectors, least)
         return pa.table({key: pa.array([t.column(key)[0].as_py()] * len(found), t.schema.field(key).type), "cluster": pa.array(range(len(found)), pa.int32()), "read_ids": pa.array([[ids[i] for i in g] for g, _ in found], pa.list_(pa.int64())), "vaf": pa.array([v for _, v in found], pa.float64())})
 
+    ship(reads.sparkSession)
     kind = reads.schema[key].dataType.simpleString()
     named = reads.select(key, F.col(order).cast("long").alias(order), F.col(vector).cast("string").alias(vector))
     return named.groupBy(key).applyInArrow(clusters, f"{key} {kind}, cluster int, read_ids array<bigint>, vaf double")
