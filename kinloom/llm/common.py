@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
-import io
 import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import shared_dir, ship
+
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 #: Texts that an Arrow function takes at a time.
 SLICE = 256
 
-_ROOT = Path(__file__).resolve().parents[2]
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable on executors that don't share the driver's folders."""
-    roots = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
-    here = str(_ROOT)
-    app = spark.sparkContext.applicationId
-    if app in _shipped or here in roots or os.path.realpath(os.getcwd()) == here:
-        return
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for p in sorted((_ROOT / __package__.split(".")[0]).rglob("*.py")):
-            z.write(p, p.relative_to(_ROOT))
-    at = Path(tempfile.mkdtemp()) / f"{__package__.split('.')[0]}.zip"  # Spark's file server hands it out
-    at.write_bytes(packed.getvalue())
-    spark.sparkContext.addPyFile(str(at))
-    _shipped.add(app)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,17 +26,6 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="kinloom-")
-        if not known.isDefined():
-            spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 class Written:
     """A table written to the shared folder: it cuts the lineage and outlives lost executors."""
 
