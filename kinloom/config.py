@@ -129,3 +129,9 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rsplit("/", 1)[0]) if df.inputFiles() else None
     if at is not None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to as many tasks as there are: for work that costs far more than the shuffle."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ship
+from ..config import ship, spread
 from ..functions.sequence import reverse_complement
 
 DELTA = "array<struct<pos:int,op:string,base:string>>"
@@ -125,7 +125,7 @@ def _mapped(df: DataFrame, columns: list[str], function, name: str, kind: str, a
             rows = zip(*(b.column(i).to_pylist() for i in at))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([function(*r) for r in rows], arrow(pa))], [*b.schema.names, name])
 
-    return df.mapInArrow(made, schema)
+    return spread(df).mapInArrow(made, schema)  # alignments cost far more than dealing out their sequences
 
 
 def encode_deltas(df: DataFrame, read: str = "read_seq", path: str = "path_seq") -> DataFrame:
