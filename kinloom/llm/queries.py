@@ -71,6 +71,25 @@ ORACLES = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM j GROUP BY doc_id""",
+    "op7_quality_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        l0 AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+        l AS (SELECT doc_id, line, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars, count(*) AS n FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+        lines AS (SELECT doc_id, sum(n - 1)::BIGINT AS n_dup, sum((n - 1) * chars)::BIGINT AS dup_chars FROM l GROUP BY doc_id),
+        g AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, unnest([5, 6, 7, 8, 9, 10]) x(k) WHERE len(w) >= k),
+        h AS (SELECT doc_id, k, i, md5(array_to_string(w[i:i + k - 1], ' ')) AS gram FROM g),
+        r AS (SELECT doc_id, k, i, count(*) OVER (PARTITION BY doc_id, k, gram) AS n, row_number() OVER (PARTITION BY doc_id, k, gram ORDER BY i) AS at_ FROM h),
+        c AS (SELECT DISTINCT doc_id, k, unnest(range(i, i + k)) AS i FROM r WHERE at_ > 1),
+        p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        share AS (SELECT doc_id, max(chars) AS chars FROM (SELECT doc_id, k, sum(length(word)) AS chars FROM c JOIN p USING (doc_id, i) GROUP BY doc_id, k) GROUP BY doc_id),
+        rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM r WHERE k = 8 AND n > 1) GROUP BY doc_id),
+        b AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                     coalesce(n_dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(dup_chars, 0) AS dup_chars, coalesce(share.chars, 0) AS gram_chars
+              FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN share USING (doc_id) LEFT JOIN rep USING (doc_id)),
+        f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND dup_chars / word_chars <= 0.2 AND gram_chars / word_chars <= 0.2 AS kept
+        FROM f""",
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
         d AS (SELECT page_id, payload, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS hex,
