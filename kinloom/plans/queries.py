@@ -5,16 +5,17 @@ Names begin with the operator's identifier in the survey. Floating point results
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BANDS, Cascade, Disambiguator, Overlap
+from ..config import BANDS, Cascade, Disambiguator, Overlap, shared_dir
 from ..functions import sequence as seqfn
 from ..operators import alignment, bands, bubbles, classify, compaction, consensus, conservation, coverage, graph, overlap, projection, sketch
 from ..operators.numbering import numbered
-from ..sources import writers
+from ..sources import readers, writers
 from . import pipelines, tables
 from .tables import CALLS, CANDIDATES, CHAIN_GRAPH, ORDER_GRAPH, READS, REGIONS, REPEATS
 
@@ -538,3 +539,117 @@ def k13_report(spark, sf_dir):
 def numbering(spark, sf_dir):
     """Dense numbers by a key, as ids of nodes, edges and bubbles get them."""
     return numbered(tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_custkey", "o_orderkey"], "n")
+
+
+# Text formats: written to the shared folder and read again
+
+
+def _stored(lines: DataFrame, name: str) -> str:
+    path = f"{shared_dir(lines.sparkSession)}/kinloom-{name}-{uuid.uuid4().hex}"
+    writers.write_lines(lines, path)
+    return path
+
+
+@query(f"WITH {READS} SELECT 'd' || read_id AS name, seq FROM reads")
+def s1_fastq(spark, sf_dir):
+    reads = tables.reads(spark, sf_dir)
+    record = F.concat(F.lit("@d"), F.col("read_id").cast("string"), F.lit(" x\n"), F.col("seq"), F.lit("\n+\n"), F.regexp_replace("seq", ".", "?"))
+    return readers.fastq(spark, _stored(reads.select("read_id", record.alias("line")), "fastq")).select("name", "seq")
+
+
+@query(f"WITH {READS} SELECT 'd' || read_id AS branch_id, length(seq) AS length_bp FROM reads")
+def s11_fasta_lengths(spark, sf_dir):
+    """K2, S10, S11."""
+    named = tables.reads(spark, sf_dir).withColumn("name", F.concat(F.lit("d"), F.col("read_id").cast("string")))
+    return readers.fasta_lengths(spark, _stored(writers.fasta_lines(named, order="read_id"), "fasta"))
+
+
+@query(f"WITH {READS} SELECT read_id AS pos, '>d' || read_id || chr(10) || regexp_replace(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10) || '$', '') AS line FROM reads")
+def k2_fasta(spark, sf_dir):
+    named = tables.reads(spark, sf_dir).withColumn("name", F.concat(F.lit("d"), F.col("read_id").cast("string")))
+    return writers.fasta_lines(named, order="read_id")
+
+
+@query(f"""WITH {REGIONS} SELECT chrom, "start", "end", name, round(mean_coverage, 3) AS mean_coverage FROM regions""")
+def s4_coverage(spark, sf_dir):
+    regions = tables.regions(spark, sf_dir)
+    lines = regions.select("chrom", "row_idx", F.format_string("%s\t%d\t%d\t%s\t%.6f", "chrom", "start", "end", "name", "mean_coverage").alias("line"))
+    return readers.mosdepth_regions(spark, _stored(lines, "coverage")).select("chrom", "start", "end", "name", F.round(F.col("mean_coverage").cast("double"), 3).alias("mean_coverage"))
+
+
+@query(f"""WITH {REPEATS} SELECT chrom, "start", "end", class, family FROM repeats""")
+def s6_repeats(spark, sf_dir):
+    lines = tables.repeats(spark, sf_dir).select("chrom", "start", F.format_string("%s %d\t%d %s/%s", "chrom", "start", "end", "class", "family").alias("line"))
+    return readers.repeat_bed(spark, _stored(lines, "repeats"))
+
+
+@query(f"WITH {CHAIN_GRAPH} SELECT id, length_bp, copy_count, read_support FROM nodes")
+def s7_gfa_nodes(spark, sf_dir):
+    path = _stored(writers.gfa_lines(tables.chain_graph(spark, sf_dir)), "gfa")
+    return readers.gfa(spark, path)[0].select("id", "length_bp", "copy_count", "read_support")
+
+
+@query(f"WITH {CHAIN_GRAPH} SELECT src, dst, read_support FROM edges")
+def s7_gfa_edges(spark, sf_dir):
+    path = _stored(writers.gfa_lines(tables.chain_graph(spark, sf_dir)), "gfa")
+    return readers.gfa(spark, path)[1].select("src", "dst", "read_support")
+
+
+@query(f"""WITH {MAPPINGS} SELECT query, ref_name, target, target_start, target_end, strand, mapq FROM (SELECT query, 'r' AS ref_name, target, target_start, target_end, strand, mapq FROM mappings) WHERE mapq >= 20""")
+def s12_paf(spark, sf_dir):
+    m = _mappings(spark, sf_dir)
+    line = F.concat_ws("\t", "query", F.lit("100"), F.lit("0"), F.lit("100"), "strand", "target", F.lit("999999999"), F.col("target_start").cast("string"), F.col("target_end").cast("string"), F.lit("90"), F.lit("100"), F.col("mapq").cast("string"))
+    path = _stored(m.select("query", "target_start", line.alias("line")), "paf")
+    return readers.paf(spark, path, "r", 20).select("query", "ref_name", "target", "target_start", "target_end", "strand", "mapq")
+
+
+@query(f"""WITH {REGIONS}, b AS (SELECT median(mean_coverage) AS base FROM regions WHERE starts_with(name, 'STANDARD'))
+    SELECT chrom || ':' || lpad("start"::VARCHAR, 12, '0') || ':' || name AS pos, concat_ws(chr(9), chrom, "start", "end", name) AS place FROM regions, b""")
+def k8_copy_number_lines(spark, sf_dir):
+    regions = tables.regions(spark, sf_dir)
+    lines = writers.cn_lines(coverage.estimate_cn(regions, coverage.median_baseline(regions, "STANDARD")))
+    return lines.select("pos", F.substring_index("line", "\t", 4).alias("place"))
+
+
+@query(f"""WITH {REPEATS}, {REGIONS}, ends AS (SELECT chrom, max("end") AS chrom_end FROM regions GROUP BY chrom)
+    SELECT family, family || chr(9) || sum(least("end", chrom_end) - "start")::BIGINT AS head FROM repeats JOIN ends USING (chrom) WHERE least("end", chrom_end) > "start" GROUP BY family""")
+def k9_repeat_lines(spark, sf_dir):
+    lines = writers.repeat_lines(coverage.family_cn(tables.repeats(spark, sf_dir), tables.regions(spark, sf_dir), 30.0))
+    return lines.select("family", F.substring_index("line", "\t", 2).alias("head"))
+
+
+@query(f"""WITH {CANDIDATES}, {_decide_sql().replace("FROM fused)", "FROM fused), decided AS (", 1)})
+    SELECT label, count(*) AS n, min(confidence) AS low, max(confidence) AS high, round(avg(confidence), 4) AS mean FROM decided GROUP BY label""")
+def a16_confidence(spark, sf_dir):
+    d = classify.disambiguate(tables.candidates(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+    return d.groupBy("label").agg(F.count("*").alias("n"), F.min("confidence").alias("low"), F.max("confidence").alias("high"), F.round(F.avg("confidence"), 4).alias("mean"))
+
+
+@query(f"WITH {FLOW} SELECT count(*) AS n_nodes, sum(inflow) AS inflow, sum(outflow) AS outflow, sum(CASE WHEN n_in > 0 AND n_out > 0 THEN abs(residual) ELSE 0 END) AS residual FROM flow")
+def a15_flow(spark, sf_dir):
+    g = tables.order_graph(spark, sf_dir)
+    state = conservation.node_flow(conservation.expected(g), g.edges.select("src", "dst", F.col("read_support").cast("double").alias("flow")))
+    inner = F.when((F.col("n_in") > 0) & (F.col("n_out") > 0), F.abs("residual")).otherwise(0.0)
+    return state.agg(F.count("*").alias("n_nodes"), F.sum("inflow").alias("inflow"), F.sum("outflow").alias("outflow"), F.sum(inner).alias("residual"))
+
+
+@query(f"""WITH {RAW}, own AS (SELECT id AS node, read_id FROM ids), every AS (SELECT * FROM own UNION ALL (SELECT b.id, read_a FROM found JOIN ids b ON read_b = b.read_id) UNION ALL (SELECT a.id, read_b FROM found JOIN ids a ON read_a = a.read_id))
+    SELECT node, count(*) AS n, min(read_id) AS low, max(read_id) AS high FROM every GROUP BY node""")
+def g13_reads_of_nodes(spark, sf_dir):
+    reads = tables.reads(spark, sf_dir).select("read_id", F.length("seq").alias("length_bp"))
+    found = _overlaps(spark, sf_dir)
+    paths = graph.read_paths(reads, graph.build_graph(reads, found)[1], found)
+    return graph.reads_of_nodes(paths).groupBy("node").agg(F.count("*").alias("n"), F.min("read_id").alias("low"), F.max("read_id").alias("high"))
+
+
+@query(f"""WITH {BUBBLES} SELECT entry, exit, 'graph' AS chrom FROM met""")
+def k10_bubble_lines(spark, sf_dir):
+    decided = pipelines.analyze_graph(tables.order_graph(spark, sf_dir)).decided
+    return writers.bubble_lines(decided).select("entry", "exit", F.substring_index("line", "\t", 1).alias("chrom"))
+
+
+@query(f"WITH {CHAIN_GRAPH} SELECT (SELECT count(*) FROM nodes) AS n_segments, (SELECT count(*) FROM edges) AS n_links, (SELECT count(*) FROM nodes) AS n_cn_rows, (SELECT round(avg(copy_count), 6) FROM nodes) AS mean_cn")
+def k14_summary(spark, sf_dir):
+    g = tables.chain_graph(spark, sf_dir)
+    lines = spark.read.text(_stored(writers.gfa_lines(g), "gfa"))
+    return writers.summary(lines, g.nodes.select(F.col("copy_count").cast("double").alias("relative_cn"))).withColumn("mean_cn", F.round("mean_cn", 6))
