@@ -149,7 +149,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, with_tex
     named = two_columns(docs, id_col, text_col)
     if carry:
         named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
-    named = named.withColumn("id", F.col("id").cast("long")).withColumn("batch", batch_of(F.col("id"), batches))
+    named = named.withColumn("id", F.col("id").cast("long")).withColumn("batch", batch_of(F.col("id"), F.col("text"), batches))
     found = named.select("id", "text", "batch") if not carry else named
     asked = found.groupBy("batch").applyInArrow(requests(shards, min_chars), REQUEST)
     answered = asked.groupBy("shard").applyInArrow(replies(min_docs), REPLY)

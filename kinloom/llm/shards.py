@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def batch_of(id_column: Column, batches: int) -> Column:
-    return F.pmod(F.xxhash64(id_column.cast("string")), F.lit(batches).cast("long"))
+def batch_of(id_column: Column, text: Column, batches: int) -> Column:
+    """By the id; documents without one, which ask nothing, are dealt out by their texts."""
+    return F.pmod(F.xxhash64(F.coalesce(id_column.cast("string"), text)), F.lit(batches).cast("long"))
 
 
 def first_and_last(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -220,7 +220,7 @@ def substring_dedup(docs: DataFrame, n: int = 13, with_text: bool = True, id_col
     one space."""
     batches, shards = sizes(docs)
     named = two_columns(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
-    named = named.withColumn("batch", batch_of(F.col("id"), batches))
+    named = named.withColumn("batch", batch_of(F.col("id"), F.col("text"), batches))
     by_batch = named.groupBy("batch")
     anchors = by_batch.applyInArrow(ask_anchors(shards, n), ASK_ANCHORS).groupBy("shard").applyInArrow(answer_anchors, ANCHORS)
     asked = by_batch.cogroup(anchors.groupBy("batch")).applyInArrow(ask_windows(shards, n), ASK_WINDOWS)
