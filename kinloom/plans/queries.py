@@ -17,7 +17,7 @@ from ..operators import alignment, bands, bubbles, classify, compaction, consens
 from ..operators.numbering import numbered
 from ..sources import readers, writers
 from . import pipelines, tables
-from .tables import CALLS, CANDIDATES, CHAIN_GRAPH, ORDER_GRAPH, READS, REGIONS, REPEATS
+from .tables import CALLS, CANDIDATES, CHAIN_GRAPH, ORDER_GRAPH, PART_NAMES, READS, REGIONS, REPEATS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,11 +151,11 @@ def assemble(spark, sf_dir):
 # Sequence functions
 
 
-@query(f"""WITH {READS} SELECT read_id, length(seq) AS n, reverse(translate(left(seq, 60), 'ACGT', 'TGCA')) AS rc60,
+@query(f"""WITH {READS} SELECT read_id, length(seq) AS n, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc_md5,
         round(CASE WHEN length(seq) > 0 THEN length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq) ELSE 0 END, 6) AS gc FROM reads""")
 def f_sequence(spark, sf_dir):
     """Reverse complement, GC content."""
-    return tables.reads(spark, sf_dir).select("read_id", F.length("seq").alias("n"), seqfn.reverse_complement(F.left("seq", F.lit(60))).alias("rc60"), r6(seqfn.gc_content("seq"), "gc"))
+    return tables.reads(spark, sf_dir).select("read_id", F.length("seq").alias("n"), F.md5(seqfn.reverse_complement("seq")).alias("rc_md5"), r6(seqfn.gc_content("seq"), "gc"))
 
 
 @query(f"""WITH {READS}, p AS (SELECT read_id, left(seq, 155) AS a, right(seq, 155) AS b FROM reads),
@@ -167,13 +167,13 @@ def f9_flank_jaccard(spark, sf_dir):
     return rows.select("read_id", F.size("a").cast("long").alias("n_first"), F.size("b").cast("long").alias("n_last"), r6(seqfn.jaccard(F.col("a"), F.col("b")), "jaccard"))
 
 
-@query(f"""WITH {READS}, p AS (SELECT a.read_id AS a, b.read_id AS b, left(a.seq, 40) AS x, left(b.seq, 40) AS y FROM reads a JOIN reads b ON b.read_id = a.read_id + 1),
+@query(f"""WITH {PART_NAMES}, p AS (SELECT a.read_id AS a, b.read_id AS b, a.seq AS x, b.seq AS y FROM names a JOIN names b ON b.read_id = a.read_id + 1),
     l AS (SELECT a, b, x, y, list_sum(list_transform(list_zip(string_split(x, ''), string_split(y, '')), lambda z: (z[1] <> z[2])::INT)) AS d FROM p)
     SELECT a, b, CASE WHEN length(x) = length(y) THEN d ELSE length(x) + 1 END AS n_mismatches, levenshtein(x, y) AS edits FROM l""")
 def f6_mismatches(spark, sf_dir):
-    """F6 and the lower bound of F17, of neighbouring reads."""
-    reads = tables.reads(spark, sf_dir).select("read_id", F.expr("left(seq, 40)").alias("x"))
-    pairs = reads.select(F.col("read_id").alias("a"), "x").join(reads.select((F.col("read_id") - 1).alias("a"), F.col("read_id").alias("b"), F.col("x").alias("y")), "a")
+    """F6 and the lower bound of F17, of neighbouring parts' names."""
+    names = tables.part_names(spark, sf_dir).select("read_id", F.col("seq").alias("x"))
+    pairs = names.select(F.col("read_id").alias("a"), "x").join(names.select((F.col("read_id") - 1).alias("a"), F.col("read_id").alias("b"), F.col("x").alias("y")), "a")
     return pairs.select("a", "b", seqfn.mismatches("x", "y").cast("long").alias("n_mismatches"), F.levenshtein("x", "y").cast("long").alias("edits"))
 
 
@@ -295,12 +295,12 @@ def j15_merge(spark, sf_dir):
     return coverage.merge_intervals(tables.repeats(spark, sf_dir), "class")
 
 
-@query(f"""WITH {REGIONS}, c AS (SELECT CASE WHEN row_idx % 3 = 0 THEN name ELSE 'unknown' END AS roi_class, mean_coverage AS v FROM regions)
+@query(f"""WITH {REGIONS}, c AS (SELECT CASE WHEN name IN ('PROMO', 'SMALL') THEN name ELSE 'unknown' END AS roi_class, mean_coverage AS v FROM regions)
     SELECT roi_class, count(*) AS n, round(avg(v), 3) AS mean, round(median(v), 3) AS median, round(coalesce(stddev_samp(v), 0), 3) AS stdev, round(min(v), 3) AS min, round(max(v), 3) AS max FROM c GROUP BY roi_class""")
 def k15_roi_stats(spark, sf_dir):
     """S15, K15."""
     regions = tables.regions(spark, sf_dir)
-    roi = regions.where("row_idx % 3 = 0").select("chrom", "start", "end", F.col("name").alias("roi_class"))
+    roi = regions.where("name IN ('PROMO', 'SMALL')").select("chrom", "start", "end", F.col("name").alias("roi_class"))
     return coverage.roi_stats(coverage.roi_classes(regions, roi))
 
 
@@ -410,20 +410,23 @@ def k1_gfa(spark, sf_dir):
 # Consensus, calls, alignment
 
 
-@query(f"""WITH {READS}, s AS (SELECT lang, left(seq, 80) AS seq FROM reads WHERE length(seq) >= 80), c AS (SELECT lang, i, substr(seq, i, 1) AS b FROM s, range(1, 81) t(i)),
-    n AS (SELECT lang, i, b, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT lang, i, sum(n) AS depth, max(n) AS top, arg_min(b, -n * 1000 + ascii(b)) AS b FROM n GROUP BY ALL),
-    x AS (SELECT t.*, (SELECT count(*) FROM n WHERE n.lang = t.lang AND n.i = t.i AND n.n = t.top) AS ties FROM t)
-    SELECT lang, string_agg(CASE WHEN depth < 2 OR top / depth < 0.5 OR ties > 1 THEN 'N' ELSE b END, '' ORDER BY i) AS consensus, string_agg(depth::BIGINT, ',' ORDER BY i) AS depths FROM x GROUP BY lang""")
+@query(f"""WITH s AS (SELECT c_mktsegment AS segment, translate(regexp_replace(c_name, '[^0-9]', '', 'g'), '0123456789', 'ACGTACGTAC') AS seq FROM customer), c AS (SELECT segment, i, substr(seq, i::INT, 1) AS b FROM s, range(1, 10) t(i)),
+    n AS (SELECT segment, i, b, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT segment, i, sum(n) AS depth, max(n) AS top, arg_min(b, -n * 1000 + ascii(b)) AS b FROM n GROUP BY ALL),
+    x AS (SELECT t.*, (SELECT count(*) FROM n WHERE n.segment = t.segment AND n.i = t.i AND n.n = t.top) AS ties FROM t)
+    SELECT segment, string_agg(CASE WHEN depth < 2 OR top / depth < 0.5 OR ties > 1 THEN 'N' ELSE b END, '' ORDER BY i) AS consensus, string_agg(depth::BIGINT, ',' ORDER BY i) AS depths FROM x GROUP BY segment""")
 def a5_vote(spark, sf_dir):
-    reads = tables.reads(spark, sf_dir).where(F.length("seq") >= 80).select("lang", F.expr("left(seq, 80)").alias("seq"))
-    return consensus.vote(reads, "lang").select("lang", "consensus", F.array_join("depths", ",").alias("depths"))
+    """Customers' numbers as sequences of equal length, by market segment."""
+    seq = F.translate(F.regexp_replace("c_name", "[^0-9]", ""), "0123456789", "ACGTACGTAC")
+    rows = tables.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), seq.alias("seq"))
+    return consensus.vote(rows, "segment").select("segment", "consensus", F.array_join("depths", ",").alias("depths"))
 
 
-@query(f"""WITH {READS}, s AS (SELECT source, left(seq, 100) AS seq FROM reads WHERE length(seq) > 0), c AS (SELECT source, i, substr(seq, i, 1) AS b FROM s, range(1, 101) t(i) WHERE i <= length(seq)),
+@query(f"""WITH {READS}, c AS (SELECT source, unnest(string_split(seq, '')) AS b, generate_subscripts(string_split(seq, ''), 1) AS i FROM reads WHERE length(seq) > 0),
     n AS (SELECT source, i, b, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT source, i, arg_min(b, -n * 1000 + ascii(b)) AS b FROM n GROUP BY ALL)
-    SELECT source, string_agg(b, '' ORDER BY i) AS consensus FROM t GROUP BY source""")
+    SELECT source, count(*) AS n, md5(string_agg(b, '' ORDER BY i)) AS consensus_md5 FROM t GROUP BY source""")
 def a4_majority(spark, sf_dir):
-    return consensus.majority(tables.reads(spark, sf_dir).select("source", F.expr("left(seq, 100)").alias("seq")), "source")
+    out = consensus.majority(tables.reads(spark, sf_dir).select("source", "seq"), "source")
+    return out.select("source", F.length("consensus").cast("long").alias("n"), F.md5("consensus").alias("consensus_md5"))
 
 
 @query(f"""WITH {CALLS}, b AS (SELECT *, (length_bp + 250) // 500 AS bucket FROM calls), m AS (SELECT bucket, est_copy_count, count(*) AS n, min(row_idx) AS seen FROM b GROUP BY ALL),
@@ -449,30 +452,34 @@ def a13_band_stats(spark, sf_dir):
     return out.select("source", "name", "n_truth", "tp", "fp", r6("recall", "recall"), r6("precision", "precision"), r6("median_abs_vaf_residual", "residual"), r6("copy_count_accuracy", "copy_count_accuracy"))
 
 
-@query(f"""WITH {READS}, p AS (SELECT a.read_id, left(a.seq, 60) AS r, left(b.seq, 60) AS p FROM reads a JOIN reads b ON b.read_id = a.read_id + 1 WHERE length(a.seq) >= 60 AND length(b.seq) >= 60),
-    c AS (SELECT read_id, i - 1 AS pos, substr(r, i, 1) AS base, substr(p, i, 1) AS q FROM p, range(1, 61) t(i)) SELECT read_id, pos, base FROM c WHERE base <> q""")
+@query(f"""WITH {PART_NAMES}, p AS (SELECT a.read_id, a.seq AS r, b.seq AS p FROM names a JOIN names b ON b.read_id = a.read_id + 1 WHERE length(a.seq) = length(b.seq)),
+    c AS (SELECT read_id, i - 1 AS pos, substr(r, i::INT, 1) AS base, substr(p, i::INT, 1) AS q FROM p, range(1, 200) t(i) WHERE i <= length(r)) SELECT read_id, pos, base FROM c WHERE base <> q""")
 def f15_substitutions(spark, sf_dir):
-    reads = tables.reads(spark, sf_dir).where(F.length("seq") >= 60).select("read_id", F.expr("left(seq, 60)").alias("read_seq"))
-    pairs = reads.join(reads.select((F.col("read_id") - 1).alias("read_id"), F.col("read_seq").alias("path_seq")), "read_id")
+    names = tables.part_names(spark, sf_dir).withColumnRenamed("seq", "read_seq")
+    pairs = names.join(names.select((F.col("read_id") - 1).alias("read_id"), F.col("read_seq").alias("path_seq")), "read_id")
     return alignment.substitutions(pairs).select("read_id", "pos", "base")
 
 
+def _benchmark(spark, sf_dir):
+    seq = F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), tables.LETTERS, tables.BASES)
+    return tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read_id"), seq.alias("path_seq"))
+
+
 @query()
 def f15_deltas(spark, sf_dir):
-    """A read without every fiftieth base, encoded against the read and rebuilt."""
-    reads = tables.reads(spark, sf_dir).select("read_id", F.expr("left(seq, 400)").alias("path_seq"))
-    cut = reads.withColumn("read_seq", F.regexp_replace("path_seq", "(.{49}).", "$1"))
+    """Each benchmark item as a path, encoded against itself without every fiftieth base, and rebuilt."""
+    cut = _benchmark(spark, sf_dir).withColumn("read_seq", F.regexp_replace("path_seq", "(.{49}).", "$1"))
     out = alignment.reconstruct(alignment.encode_deltas(cut))
     return out.select("read_id", F.size("deltas").cast("long").alias("n_ops"), (F.col("rebuilt") == F.col("read_seq")).alias("same"))
 
 
 @query()
 def p4_somatic(spark, sf_dir):
-    """The reads' first bases against the first bases of two references."""
-    reads = tables.reads(spark, sf_dir).select(F.col("read_id").alias("branch_id"), F.expr("left(seq, 150)").alias("seq"))
-    bench = tables.table(spark, sf_dir, "benchmark").where("item_id < 2")
-    refs = bench.select(F.col("item_id").cast("string").alias("ref_name"), F.left(F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), tables.LETTERS, tables.BASES), F.lit(150)).alias("ref_seq"))
-    return alignment.somatic_deltas(reads, refs).select("branch_id", "ref_name", "branch_bp", "ref_bp", "edits", r6("identity", "identity"))
+    """parts' names against the names of the regions."""
+    seq = F.translate(F.lower(F.regexp_replace("r_name", "[^A-Za-z]", "")), tables.LETTERS, tables.BASES)
+    refs = tables.table(spark, sf_dir, "region").select(F.col("r_name").alias("ref_name"), seq.alias("ref_seq"))
+    out = alignment.somatic_deltas(tables.part_names(spark, sf_dir).withColumnRenamed("read_id", "branch_id"), refs)
+    return out.select("branch_id", "ref_name", "branch_bp", "ref_bp", "edits", r6("identity", "identity"))
 
 
 PRIMERS = [("p1", "ACGTGC", "GCATTC"), ("p2", "TTGACA", "CCATGT")]

@@ -70,18 +70,18 @@ ORDER_GRAPH = f"""nodes AS (SELECT o_orderkey AS id, 1000 + o_orderkey % 1000 AS
 
 
 def chain_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Orders as nodes; each customer's orders, in turn, as a chain; every 97th order has a second successor."""
+    """Orders as nodes; each customer's orders, in turn, as a chain; urgent orders that are open in part have a second successor."""
     orders = table(spark, sf_dir, "orders")
     by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     nodes = orders.select(F.col("o_orderkey").alias("id"), (500 + F.col("o_orderkey") % 3 * 100).alias("length_bp"), (1 + F.col("o_orderkey") % 7).alias("read_support"), (1 + F.col("o_orderkey") % 2).alias("copy_count"))
-    step = orders.select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(by).alias("dst"), F.lead("o_orderkey", 3).over(by).alias("far"))
-    edges = step.where("dst IS NOT NULL").select("src", "dst").union(step.where("far IS NOT NULL AND src % 97 = 0").select("src", "far"))
+    step = orders.select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(by).alias("dst"), F.lead("o_orderkey", 3).over(by).alias("far"), ((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P")).alias("twice"))
+    edges = step.where("dst IS NOT NULL").select("src", "dst").union(step.where("far IS NOT NULL AND twice").select("src", "far"))
     return Graph(node_columns(nodes), edge_columns(numbered(edges.withColumn("read_support", F.col("src") % 5 + 1), ["src", "dst"], "edge_idx")))
 
 
 CHAIN_GRAPH = """nodes AS (SELECT o_orderkey AS id, 500 + o_orderkey % 3 * 100 AS length_bp, 1 + o_orderkey % 7 AS read_support, 1 + o_orderkey % 2 AS copy_count FROM orders),
-    step AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER w AS dst, lead(o_orderkey, 3) OVER w AS far FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
-    links AS (SELECT src, dst FROM step WHERE dst IS NOT NULL UNION ALL SELECT src, far FROM step WHERE far IS NOT NULL AND src % 97 = 0),
+    step AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER w AS dst, lead(o_orderkey, 3) OVER w AS far, o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' AS twice FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    links AS (SELECT src, dst FROM step WHERE dst IS NOT NULL UNION ALL SELECT src, far FROM step WHERE far IS NOT NULL AND twice),
     edges AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_idx, src, dst, src % 5 + 1 AS read_support FROM links)"""
 
 
@@ -111,3 +111,12 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CALLS = "calls AS (SELECT p_partkey AS row_idx, p_partkey AS node_id, p_size * 137 AS length_bp, p_partkey % 4 AS est_copy_count, floor(p_retailprice)::BIGINT AS read_support FROM part)"
+
+
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(read_id, seq): each part's name, its letters as bases."""
+    seq = F.translate(F.lower(F.regexp_replace("p_name", "[^A-Za-z]", "")), LETTERS, BASES)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("read_id"), seq.alias("seq"))
+
+
+PART_NAMES = f"names AS (SELECT p_partkey AS read_id, translate(lower(regexp_replace(p_name, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM part)"
