@@ -53,9 +53,9 @@ class Disambiguator:
     w_depth: float = 0.35
     w_span: float = 0.20
     w_prior: float = 0.10
-    branch_flank: float = 0.90
-    branch_span: float = 0.60
-    branch_depth: float = 0.40
+    split_flank: float = 0.90
+    split_span: float = 0.60
+    split_depth: float = 0.40
     dup_depth: float = 1.50
     mixed_flank: float = 0.70
     mixed_depth: float = 1.30

@@ -148,11 +148,11 @@ def substitutions(df: DataFrame, read: str = "read_seq", path: str = "path_seq")
     return each.where("base IS NOT NULL").select(*df.columns, "pos", F.lit("S").alias("op"), "base")
 
 
-def somatic_deltas(branches: DataFrame, refs: DataFrame, match: int = 1, mismatch: int = -2, gap_open: int = 4, gap_extend: int = 2) -> DataFrame:
-    """branches: (branch_id, seq); refs: (ref_name, ref_seq), the first sequence of each reference, a list
+def somatic_deltas(contigs: DataFrame, refs: DataFrame, match: int = 1, mismatch: int = -2, gap_open: int = 4, gap_extend: int = 2) -> DataFrame:
+    """contigs: (branch_id, seq); refs: (ref_name, ref_seq), the first sequence of each reference, a list
     given by hand. Rows (branch_id, ref_name, branch_bp, ref_bp, edits, identity). Equal sequences and empty
     ones are decided before the alignment."""
-    pairs = branches.select("branch_id", "seq").crossJoin(F.broadcast(refs.select("ref_name", "ref_seq")))  # the stated references against all rows
+    pairs = contigs.select("branch_id", "seq").crossJoin(F.broadcast(refs.select("ref_name", "ref_seq")))  # the stated references against all rows
     longest = F.greatest(F.length("seq"), F.length("ref_seq"))
     sure = (F.col("seq") == F.col("ref_seq")) | (F.length("seq") == 0) | (F.length("ref_seq") == 0)
     plain = pairs.where(sure).withColumn("edits", F.when(F.col("seq") == F.col("ref_seq"), 0).otherwise(longest).cast("int"))

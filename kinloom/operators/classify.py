@@ -15,20 +15,20 @@ from ..functions.sequence import gc_content, iqr, jaccard, kmers, logistic, wils
 from .graph import Graph
 
 # The labels.
-BRANCH, DUPLICATION, MIXED, NONSEPARABLE = "Branch", "Duplication", "Mixed", "NonSeparable"
+SPLIT, DUPLICATION, MIXED, NONSEPARABLE = "Branch", "Duplication", "Mixed", "NonSeparable"
 
 
 def candidates(bubbles: DataFrame, graph: Graph) -> DataFrame:
-    """(entry, exit, support_branch, support_alt, length): the first way's support, that of the others, and
+    """(entry, exit, support_first, support_alt, length): the first way's support, that of the others, and
     the length of entry, longest way and exit (a way ends with the exit, which so counts twice)."""
     each = bubbles.select("entry", "exit", F.posexplode("alts").alias("i", "alt"))
     length = graph.nodes.select(F.col("id").alias("node"), "length_bp")
     nodes = each.select("entry", "exit", "i", F.explode("alt.nodes").alias("node")).join(length, "node")
     longest = nodes.groupBy("entry", "exit", "i").agg(F.sum("length_bp").alias("l")).groupBy("entry", "exit").agg(F.max("l").alias("longest"))
-    support = bubbles.select("entry", "exit", F.get("alts", F.lit(0))["support"].alias("support_branch"), F.aggregate("alts", F.lit(0).cast("long"), lambda s, x: s + x["support"]).alias("total"))
+    support = bubbles.select("entry", "exit", F.get("alts", F.lit(0))["support"].alias("support_first"), F.aggregate("alts", F.lit(0).cast("long"), lambda s, x: s + x["support"]).alias("total"))
     ends = lambda c: length.select(F.col("node").alias(c), F.col("length_bp").alias(f"{c}_bp"))
     joined = support.join(longest, ["entry", "exit"]).join(ends("entry"), "entry").join(ends("exit"), "exit")
-    return joined.select("entry", "exit", "support_branch", (F.col("total") - F.col("support_branch")).alias("support_alt"), (F.col("entry_bp") + F.col("longest") + F.col("exit_bp")).alias("length"))
+    return joined.select("entry", "exit", "support_first", (F.col("total") - F.col("support_first")).alias("support_alt"), (F.col("entry_bp") + F.col("longest") + F.col("exit_bp")).alias("length"))
 
 
 def diploid_baseline(graph: Graph) -> DataFrame:
@@ -40,7 +40,7 @@ def features(found: DataFrame, graph: Graph) -> DataFrame:
     """Adds the feature columns to candidates. Optional columns read_spans (array), segdup, repeat."""
     node = lambda c: graph.nodes.select(F.col("id").alias(c), F.col("consensus").alias(f"{c}_seq"), F.col("read_support").alias(f"{c}_reads"))
     out = found.join(node("entry"), "entry", "left").join(node("exit"), "exit", "left").crossJoin(F.broadcast(diploid_baseline(graph)))  # one row
-    total = F.col("support_branch") + F.col("support_alt")
+    total = F.col("support_first") + F.col("support_alt")
     tail = F.expr(f"right(entry_seq, {FLANK_BP})")
     head = F.expr(f"left(exit_seq, {FLANK_BP})")
     has = lambda c, other: F.col(c) if c in found.columns else other
@@ -61,9 +61,9 @@ def cascade(df: DataFrame, config: Cascade = Cascade()) -> DataFrame:
     c, prior = config, F.greatest("segdup", "repeat")
     rules: list[tuple[Column, str, Column, int]] = [
         (F.col("length") < c.min_length, NONSEPARABLE, F.lit(0.0), 0),
-        (F.col("flank") >= c.flank_exit, BRANCH, F.col("flank"), 0),
+        (F.col("flank") >= c.flank_exit, SPLIT, F.col("flank"), 0),
         (F.col("depth") >= c.depth_dup, DUPLICATION, F.least(F.lit(1.0), F.col("depth") / (1.5 * c.depth_dup)), 1),
-        (F.col("span") >= c.span, BRANCH, F.col("span"), 2),
+        (F.col("span") >= c.span, SPLIT, F.col("span"), 2),
         (prior > c.prior, DUPLICATION, prior, 3),
         ((F.col("flank") >= c.mixed_flank) & (F.col("depth") >= c.mixed_depth), MIXED, F.least("flank", F.col("depth") / c.depth_dup), 3),
     ]
@@ -74,7 +74,7 @@ def cascade(df: DataFrame, config: Cascade = Cascade()) -> DataFrame:
 
 
 def disambiguate(df: DataFrame, config: Disambiguator = Disambiguator(), prior: Column | None = None) -> DataFrame:
-    """Adds label, confidence and the scores: clear branches first, then mixed, then duplications, else the
+    """Adds label, confidence and the scores: clear splits first, then mixed, then duplications, else the
     most confident label, or none if no confidence suffices."""
     c = config
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
@@ -88,19 +88,19 @@ def disambiguate(df: DataFrame, config: Disambiguator = Disambiguator(), prior:
     centred = lambda x: 1 - F.abs(x - 0.5) * 2
     both = F.least(f, d)
     scored = scored.withColumns({
-        "_branch": clamp(c.w_flank * f + c.w_depth * (1 - d) + c.w_span * s + c.w_prior * p),
+        "_split": clamp(c.w_flank * f + c.w_depth * (1 - d) + c.w_span * s + c.w_prior * p),
         "_dup": clamp(c.w_flank * (1 - f) + c.w_depth * d + c.w_span * (1 - s) + c.w_prior * (1 - p)),
         "_mixed": clamp((c.w_flank + c.w_depth) * both + c.w_span * F.greatest(F.lit(0.0), centred(s)) + c.w_prior * centred(p)),
     })
-    is_branch = (F.col("flank") >= c.branch_flank) & (F.col("span") >= c.branch_span) & (F.abs(F.col("depth") - c.depth_one) <= c.branch_depth)
+    is_split = (F.col("flank") >= c.split_flank) & (F.col("span") >= c.split_span) & (F.abs(F.col("depth") - c.depth_one) <= c.split_depth)
     is_mixed = (F.col("flank") >= c.mixed_flank) & (F.col("depth") >= c.mixed_depth)
-    is_dup = (F.col("depth") >= c.dup_depth) & (F.col("flank") < c.branch_flank)
+    is_dup = (F.col("depth") >= c.dup_depth) & (F.col("flank") < c.split_flank)
     says = lambda label, x: F.struct(F.lit(label).alias("label"), x.alias("confidence"))
-    top = F.greatest("_branch", "_dup", "_mixed")
-    best = F.when(top < c.emit, says(NONSEPARABLE, top)).when(F.col("_branch") == top, says(BRANCH, top)).when(F.col("_dup") == top, says(DUPLICATION, top)).otherwise(says(MIXED, top))
+    top = F.greatest("_split", "_dup", "_mixed")
+    best = F.when(top < c.emit, says(NONSEPARABLE, top)).when(F.col("_split") == top, says(SPLIT, top)).when(F.col("_dup") == top, says(DUPLICATION, top)).otherwise(says(MIXED, top))
     verdict = F.when(F.col("length") < c.min_length, says(NONSEPARABLE, F.lit(0.0)))
     verdict = verdict.when((F.col("depth") <= 0) & (F.col("span") <= 0) & (F.col("flank") <= 0), says(NONSEPARABLE, F.lit(0.0)))
-    for holds, column, label in ((is_branch, "_branch", BRANCH), (is_mixed, "_mixed", MIXED), (is_dup, "_dup", DUPLICATION)):
+    for holds, column, label in ((is_split, "_split", SPLIT), (is_mixed, "_mixed", MIXED), (is_dup, "_dup", DUPLICATION)):
         verdict = verdict.when(holds & (F.col(column) >= c.emit), says(label, F.col(column)))
     out = scored.withColumn("_v", verdict.otherwise(best))
     return out.select(*df.columns, "_v.label", "_v.confidence", "score_flank", "score_depth", "score_span", "score_prior")
@@ -169,8 +169,8 @@ def hierarchical(df: DataFrame, key: str, snps: DataFrame | None = None, config:
     return out.withColumn("decomposed", F.col("_mean").isNotNull()).withColumn("confidence", F.coalesce("_mean", "confidence")).drop("_mean")
 
 
-def allele_fractions(df: DataFrame, successes: str = "support_branch", others: str = "support_alt") -> DataFrame:
-    """Adds vaf, ci_low and ci_high: the Wilson interval of the branch's share of support."""
+def allele_fractions(df: DataFrame, successes: str = "support_first", others: str = "support_alt") -> DataFrame:
+    """Adds vaf, ci_low and ci_high: the Wilson interval of the first way's share of support."""
     w = wilson(F.col(successes), F.col(successes) + F.col(others))
     return df.withColumn("_w", w).select(*df.columns, F.col("_w.point").alias("vaf"), "_w.ci_low", "_w.ci_high")
 

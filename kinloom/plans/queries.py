@@ -182,7 +182,7 @@ def f10_iqr(spark, sf_dir):
     return tables.table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_list("n_chars").alias("v")).select("source", r6(seqfn.iqr("v"), "iqr"))
 
 
-@query(f"""WITH {CANDIDATES}, x AS (SELECT bubble_id, support_branch::DOUBLE AS k, (support_branch + support_alt)::DOUBLE AS n FROM candidates),
+@query(f"""WITH {CANDIDATES}, x AS (SELECT bubble_id, support_first::DOUBLE AS k, (support_first + support_alt)::DOUBLE AS n FROM candidates),
     y AS (SELECT *, k / n AS p, 1 + 3.8416 / n AS q FROM x WHERE n > 0)
     SELECT bubble_id, round(p, 6) AS vaf, round(greatest(0, least(1, (p + 3.8416 / (2 * n)) / q - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / q)), 6) AS ci_low,
         round(greatest(0, least(1, (p + 3.8416 / (2 * n)) / q + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / q)), 6) AS ci_high FROM y
@@ -226,8 +226,8 @@ def _decide_sql(c: Disambiguator = Disambiguator()) -> str:
     return f"""scored AS (SELECT *, {s("flank", c.flank_mid)} AS f, {s("depth", (c.depth_one + c.depth_two) / 2)} AS d, {s("span", c.span_mid)} AS s FROM candidates),
     fused AS (SELECT *, {clamp(f"{c.w_flank} * f + {c.w_depth} * (1 - d) + {c.w_span} * s + {c.w_prior * p}")} AS br, {clamp(f"{c.w_flank} * (1 - f) + {c.w_depth} * d + {c.w_span} * (1 - s) + {c.w_prior * (1 - p)}")} AS du,
         {clamp(f"{c.w_flank + c.w_depth} * least(f, d) + {c.w_span} * greatest(0, 1 - abs(s - 0.5) * 2) + {c.w_prior * (1 - abs(p - 0.5) * 2)}")} AS mi FROM scored),
-    rules AS (SELECT *, CASE WHEN length < {c.min_length} OR (depth <= 0 AND span <= 0 AND flank <= 0) THEN 0 WHEN flank >= {c.branch_flank} AND span >= {c.branch_span} AND abs(depth - {c.depth_one}) <= {c.branch_depth} AND br >= {c.emit} THEN 1
-        WHEN flank >= {c.mixed_flank} AND depth >= {c.mixed_depth} AND mi >= {c.emit} THEN 2 WHEN depth >= {c.dup_depth} AND flank < {c.branch_flank} AND du >= {c.emit} THEN 3
+    rules AS (SELECT *, CASE WHEN length < {c.min_length} OR (depth <= 0 AND span <= 0 AND flank <= 0) THEN 0 WHEN flank >= {c.split_flank} AND span >= {c.split_span} AND abs(depth - {c.depth_one}) <= {c.split_depth} AND br >= {c.emit} THEN 1
+        WHEN flank >= {c.mixed_flank} AND depth >= {c.mixed_depth} AND mi >= {c.emit} THEN 2 WHEN depth >= {c.dup_depth} AND flank < {c.split_flank} AND du >= {c.emit} THEN 3
         WHEN greatest(br, du, mi) < {c.emit} THEN 4 WHEN br >= du AND br >= mi THEN 1 WHEN du >= mi THEN 3 ELSE 2 END AS rule FROM fused)
     SELECT bubble_id, CASE rule WHEN 1 THEN 'Branch' WHEN 2 THEN 'Mixed' WHEN 3 THEN 'Duplication' ELSE 'NonSeparable' END AS label,
         round(CASE rule WHEN 0 THEN 0 WHEN 1 THEN br WHEN 2 THEN mi WHEN 3 THEN du ELSE greatest(br, du, mi) END, 6) AS confidence FROM rules"""
@@ -325,15 +325,15 @@ def g9_bubbles(spark, sf_dir):
 
 
 @query(f"""WITH {BUBBLES}, alt AS (SELECT w.*, row_number() OVER (PARTITION BY entry, exit ORDER BY mid) AS i, p.length_bp AS mid_bp FROM ways w JOIN met USING (entry, exit) JOIN nodes p ON p.id = mid),
-    c AS (SELECT entry, exit, sum(support) FILTER (i = 1) AS support_branch, sum(support) FILTER (i > 1) AS support_alt, max(mid_bp) AS mid_bp FROM alt GROUP BY ALL)
-    SELECT entry, exit, support_branch::BIGINT AS support_branch, support_alt::BIGINT AS support_alt, e.length_bp + mid_bp + 2 * x.length_bp AS length,
-        round((support_branch + support_alt) / (SELECT greatest(avg(read_support), 1) FROM edges), 6) AS depth, round(least(1, (support_branch + support_alt) / e.read_support), 6) AS span
+    c AS (SELECT entry, exit, sum(support) FILTER (i = 1) AS support_first, sum(support) FILTER (i > 1) AS support_alt, max(mid_bp) AS mid_bp FROM alt GROUP BY ALL)
+    SELECT entry, exit, support_first::BIGINT AS support_first, support_alt::BIGINT AS support_alt, e.length_bp + mid_bp + 2 * x.length_bp AS length,
+        round((support_first + support_alt) / (SELECT greatest(avg(read_support), 1) FROM edges), 6) AS depth, round(least(1, (support_first + support_alt) / e.read_support), 6) AS span
     FROM c JOIN nodes e ON e.id = entry JOIN nodes x ON x.id = exit""")
 def c2_features(spark, sf_dir):
     """C1, C2, A14."""
     g = tables.order_graph(spark, sf_dir)
     rows = classify.features(classify.candidates(bubbles.detect_bubbles(g), g), g)
-    return rows.select("entry", "exit", "support_branch", "support_alt", "length", r6("depth", "depth"), r6("span", "span"))
+    return rows.select("entry", "exit", "support_first", "support_alt", "length", r6("depth", "depth"), r6("span", "span"))
 
 
 FLOW = f"""{ORDER_GRAPH},
@@ -530,16 +530,16 @@ def k5_best_mapping(spark, sf_dir):
     SELECT 'node_' || p_partkey AS branch_id, p_size AS length_bp, coalesce(best, -1) < 45 AS unannotated, coalesce(n, 0) AS n_mappings FROM part LEFT JOIN m ON query = 'node_' || p_partkey""")
 def p5_project(spark, sf_dir):
     """J10, A17."""
-    branches = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("node_"), F.col("p_partkey").cast("string")).alias("branch_id"), F.col("p_size").alias("length_bp"))
-    out = projection.project(branches, _mappings(spark, sf_dir), 45)
+    contigs = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("node_"), F.col("p_partkey").cast("string")).alias("branch_id"), F.col("p_size").alias("length_bp"))
+    out = projection.project(contigs, _mappings(spark, sf_dir), 45)
     return out.select("branch_id", "length_bp", "unannotated", F.size("linear_mappings").cast("long").alias("n_mappings"))
 
 
 @query(f"""WITH {MAPPINGS}, m AS (SELECT query, max(mapq) AS best FROM mappings GROUP BY query)
     SELECT 's1' AS sample, '0.4.1' AS version, count(*) AS branch_count, count(*) FILTER (coalesce(best, -1) < 45) AS unannotated_count FROM part LEFT JOIN m ON query = 'node_' || p_partkey""")
 def k13_report(spark, sf_dir):
-    branches = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("node_"), F.col("p_partkey").cast("string")).alias("branch_id"), F.col("p_size").alias("length_bp"))
-    return pipelines.project(branches, _mappings(spark, sf_dir), "out/s1", 45)[1]
+    contigs = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("node_"), F.col("p_partkey").cast("string")).alias("branch_id"), F.col("p_size").alias("length_bp"))
+    return pipelines.project(contigs, _mappings(spark, sf_dir), "out/s1", 45)[1]
 
 
 @query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS n FROM orders")

@@ -92,13 +92,13 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = e.groupBy("user_id", F.hour("ts").alias("hour")).agg(n("click"), n("view"), n("error"), n("signup"), F.count("*").alias("n"), F.sum("value").alias("v"), F.max("value").alias("m"))
     r = lambda x, name: F.round(x, 9).alias(name)
     return g.select(
-        (F.col("user_id") * 24 + F.col("hour")).alias("bubble_id"), F.col("click").alias("support_branch"), F.col("view").alias("support_alt"),
+        (F.col("user_id") * 24 + F.col("hour")).alias("bubble_id"), F.col("click").alias("support_first"), F.col("view").alias("support_alt"),
         r(F.col("click") / F.greatest(F.lit(1), F.col("n") - F.col("error")), "flank"), r(F.col("v") / F.col("n") / 25, "depth"), r(F.col("view") / F.greatest(F.lit(1), F.col("click") + F.col("view")), "span"),
         F.when(F.col("signup") > 1, 1.0).otherwise(0.0).alias("segdup"), F.when(F.col("error") > 2, 1.0).otherwise(0.0).alias("repeat"), F.floor(F.col("m") * 10).cast("long").alias("length"),
     )
 
 
-CANDIDATES = """candidates AS (SELECT user_id * 24 + hour AS bubble_id, click AS support_branch, view_ AS support_alt,
+CANDIDATES = """candidates AS (SELECT user_id * 24 + hour AS bubble_id, click AS support_first, view_ AS support_alt,
         round(click / greatest(1, n - error), 9) AS flank, round(v / n / 25, 9) AS depth, round(view_ / greatest(1, click + view_), 9) AS span,
         CASE WHEN signup > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS segdup, CASE WHEN error > 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS repeat_, floor(m * 10)::BIGINT AS length
     FROM (SELECT user_id, hour(ts) AS hour, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view_, count(*) FILTER (event_type = 'error') AS error,
