@@ -17,7 +17,7 @@ from ..operators import alignment, bands, bubbles, classify, compaction, consens
 from ..operators.numbering import numbered
 from ..sources import readers, writers
 from . import pipelines, tables
-from .tables import CALLS, CANDIDATES, CHAIN_GRAPH, ORDER_GRAPH, PART_NAMES, READS, REGIONS, REPEATS
+from .tables import CALLS, CANDIDATES, CHAIN_GRAPH, ORDER_GRAPH, PART_NAMES, READS, REGIONS, REPEATS, TRIANGLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -312,6 +312,19 @@ def a2_degrees(spark, sf_dir):
     return graph.degrees(tables.order_graph(spark, sf_dir))
 
 
+@query(f"""WITH {TRIANGLES}, pairs AS (SELECT DISTINCT src, dst FROM tri), cand AS (SELECT p.src, p.dst FROM pairs p JOIN nodes a ON a.id = p.src JOIN nodes b ON b.id = p.dst WHERE p.src <> p.dst AND a.length_bp > b.length_bp),
+    lack AS (SELECT DISTINCT c.src, c.dst FROM cand c JOIN pairs f ON f.src = c.dst LEFT JOIN pairs t ON t.src = c.src AND t.dst = f.dst WHERE f.dst <> c.src AND t.src IS NULL)
+    SELECT DISTINCT c.dst AS id FROM cand c LEFT JOIN lack l ON l.src = c.src AND l.dst = c.dst WHERE l.src IS NULL""")
+def j3_contained_parts(spark, sf_dir):
+    return graph.contained(tables.triangle_graph(spark, sf_dir))
+
+
+@query(f"""WITH {TRIANGLES}, ways AS (SELECT DISTINCT x.src, y.dst FROM tri x JOIN nodes b ON b.id = x.dst JOIN tri y ON y.src = x.dst WHERE b.length_bp <= 100 AND y.dst <> x.src AND y.dst <> x.dst)
+    SELECT max(edge_idx) AS edge_idx FROM tri JOIN ways USING (src, dst) GROUP BY src, dst""")
+def j5_transitive(spark, sf_dir):
+    return graph.transitive(tables.triangle_graph(spark, sf_dir))
+
+
 BUBBLES = f"""{ORDER_GRAPH},
     ways AS (SELECT a.src AS entry, b.dst AS exit, a.dst AS mid, a.edge_idx AS k, a.read_support AS s1, a.read_support + b.read_support AS support FROM edges a JOIN edges b ON a.dst = b.src),
     met AS (SELECT entry, exit, count(*) AS n_alts, string_agg(mid || '-' || exit || ':' || support, ';' ORDER BY mid) AS alts, list_sum(list(s1 ORDER BY k DESC)[1:2])::BIGINT AS total_read_support FROM ways GROUP BY ALL HAVING count(*) >= 2)"""

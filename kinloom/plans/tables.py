@@ -69,6 +69,21 @@ ORDER_GRAPH = f"""nodes AS (SELECT o_orderkey AS id, 1000 + o_orderkey % 1000 AS
     edges AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_idx, * FROM links)"""
 
 
+def triangle_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The order graph, and an edge from each order to the brand of each of its parts (some are parallel)."""
+    g = order_graph(spark, sf_dir)
+    lines, part = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct(), table(spark, sf_dir, "part")
+    brand = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long") + BRAND_ID
+    direct = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("src"), brand.alias("dst"), (F.col("l_partkey") + 1).alias("tag"))
+    every = g.edges.select("src", "dst", F.lit(0).cast("long").alias("tag")).unionByName(direct)
+    return Graph(g.nodes, edge_columns(numbered(every, ["src", "dst", "tag"], "edge_idx")))
+
+
+TRIANGLES = f"""{ORDER_GRAPH},
+    direct AS (SELECT DISTINCT l_orderkey AS src, {BRAND_ID} + regexp_extract(p_brand, '([0-9]+)', 1)::BIGINT AS dst, l_partkey + 1 AS tag FROM lineitem JOIN part ON l_partkey = p_partkey),
+    tri AS (SELECT row_number() OVER (ORDER BY src, dst, tag) - 1 AS edge_idx, src, dst FROM (SELECT src, dst, 0 AS tag FROM edges UNION ALL SELECT src, dst, tag FROM direct))"""
+
+
 def chain_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Orders as nodes; each customer's orders, in turn, as a chain; urgent orders that are open in part have a second successor."""
     orders = table(spark, sf_dir, "orders")
