@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..config import shared_dir, ship
 
-TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 #: Texts that an Arrow function takes at a time.
 SLICE = 256
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,8 +9,6 @@ from functools import lru_cache
 
 import regex
 
-from .common import TOKENIZER_DIR
-
 #: Texts beyond this are walked, not split at once, so that memory stays bounded.
 WALK = 4_000_000
 
@@ -94,5 +92,10 @@ class Vocabulary:
             yield text[at:], None
 
 
-def vocabulary_path(name: str, folder: str = TOKENIZER_DIR) -> str:
-    return os.path.join(folder, name)
+def vocabulary_path(name: str, folder: str | None = None) -> str:
+    """In the folder given, or where the public vocabularies are installed."""
+    if folder is not None:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
