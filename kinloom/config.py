@@ -135,3 +135,10 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows dealt evenly to as many tasks as there are: for work that costs far more than the shuffle."""
     spark = df.sparkSession
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table as it was read; but if it is in fewer files than there are cores, its rows dealt out evenly, as
+    a small file is one task however long its rows take. Large tables are in many files and aren't moved."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df

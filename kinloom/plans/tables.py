@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import dealt
 from ..operators.graph import Graph, edge_columns, node_columns
 from ..operators.numbering import numbered
 
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, seq, lang, source): each document's letters as bases."""
     seq = F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, BASES)
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), seq.alias("seq"), "lang", "source")
+    return dealt(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("read_id"), seq.alias("seq"), "lang", "source")
 
 
 READS = f"reads AS (SELECT doc_id AS read_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq, lang, source FROM documents)"
