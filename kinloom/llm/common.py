@@ -47,7 +47,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 class WordHashes(dict):
     """word (bytes) -> XXH64, unsigned; remembers up to `limit` words."""
 
-    def __init__(self, seed: int = 0, limit: int = 1 << 19):
+    def __init__(self, seed: int = 0, limit: int = 1 << 16):
         self.seed, self.limit = seed, limit
 
     def __missing__(self, word: bytes) -> int:
