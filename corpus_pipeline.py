@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.config import dealt
 from kinloom.llm import bpe_codec, decontamination, line_dedup, quality_rules, simhash
 from kinloom.llm.common import Written, table
 
@@ -53,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage on what its predecessor kept, with a written table between stages."""
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs = dealt(table(spark, sf_dir, "documents")).select(*COLUMNS)
     for name, stage in STAGES[:-1]:
         docs = Written(stage(spark, docs, sf_dir), name).df
     return STAGES[-1][1](spark, docs, sf_dir)

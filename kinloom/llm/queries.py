@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from ..config import dealt
 from . import bpe_codec, decontamination, license_scan, line_dedup, pii, quality_rules, simhash, substring_dedup, token_count, warc
 from .common import table
 
 
 def op1_token_counts(spark, sf_dir):
-    return token_count.token_counts(table(spark, sf_dir, "documents"))
+    return token_count.token_counts(dealt(table(spark, sf_dir, "documents")))
 
 
 def op2_simhash(spark, sf_dir):
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(dealt(table(spark, sf_dir, "documents")))
 
 
 def op3_substring_dedup(spark, sf_dir):
@@ -23,7 +24,7 @@ def op4_license_scan(spark, sf_dir):
 
 
 def op5_bpe_codec(spark, sf_dir):
-    return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
+    return bpe_codec.round_trip(dealt(table(spark, sf_dir, "documents")))
 
 
 def op6_line_dedup(spark, sf_dir):
@@ -31,7 +32,7 @@ def op6_line_dedup(spark, sf_dir):
 
 
 def op7_quality_rules(spark, sf_dir):
-    out = quality_rules.quality(table(spark, sf_dir, "documents"))
+    out = quality_rules.quality(dealt(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
