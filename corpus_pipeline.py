@@ -48,7 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near-duplicates", near_duplicates), ("decontamination", benchmark_free), ("tokens", tokens)]
-#: SimHash, the automaton and the sector prints can't be put in SQL; tests hold the stages against brute force.
+#: The automaton and the sets of shingles can't be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -19,7 +19,7 @@ from itertools import combinations, islice, repeat
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, by_batch, two_columns
@@ -114,11 +114,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, segmen
     return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Groups by similarity: fingerprints propose, the sets of shingles decide.
+# Groups by similarity: shared rare shingles propose, the sets of shingles decide.
+#
+# Of two sets of a similarity of t or more, the first n - ceil(t n) + 1 shingles of each, in any order that is
+# common to all sets, share one: each set names these as keys, the shingles that few documents hold first, and
+# no pair is missed. A pair is compared unless its sizes or its bitmaps (a bit for each of 512 parts of the
+# hashes' range, telling whether the set holds an odd number there: sets differ in at least as many shingles as
+# bitmaps in bits) rule it out. In a key that more than `bucket` documents hold, all are first compared with a
+# few of them; then all pairs that are still in different groups are, in blocks.
 
-SECTORS = 24
-PER_SECTOR = 6  # shingles of a sector, about
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Documents whose shingles are counted to find the frequent ones, and how many of these are told apart. Both
+#: only bear on the order.
+SAMPLE, FREQUENT = 10_000, 1 << 16
+BITS = 512
+STARS = 3  # documents of a full key that all others are compared with, besides the least
+PART = 512  # documents in a block of a full key
+#: Ids up to which those to compare are broadcast.
+BROADCAST_IDS = 100_000
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -130,78 +143,122 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, many, repeat(42)), np.uint64))
 
 
-def majority(h: np.ndarray) -> int:
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(h), BLOCK):
-        total += np.unpackbits(h[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * total > len(h)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+def sets_of(named: DataFrame, shingle: int) -> DataFrame:
+    """(id, s): the set of shingles of each row."""
 
+    def made(many: list[str]) -> dict:
+        import pyarrow as pa
 
-def sector_prints(h: np.ndarray, similarity: float, sectors: int = SECTORS) -> list[int]:
-    """SimHashes of the shingles that lie in a sector of the hashes' range, for the first sectors of a
-    division made after the set's size. A similar set may be smaller or larger: where it can fall under
-    another division, both are given."""
-    n, out = len(h), []
-    levels = {max(3, int(np.ceil(np.log2(max(1.0, n * r / PER_SECTOR))))) for r in (similarity, 1.0, 1 / similarity)} if n else ()
-    spread = np.sort(h * _SPREAD) if n else h
-    for level in sorted(levels):
-        edges = np.searchsorted(spread, np.arange(min(sectors, 1 << level) + 1, dtype=np.uint64) << np.uint64(64 - level)) if level < 64 else []
-        for k in range(len(edges) - 1):
-            own = spread[edges[k] : edges[k + 1]] if k + 1 < 1 << level else spread[edges[k] :]
-            if len(own):
-                out.append(signed(xxhash.xxh64_intdigest(b"%d %d %d" % (level, k, majority(own)), 7)))
-    return out
+        return {"s": pa.array([shingle_hashes(t, shingle).view(np.int64) for t in many], pa.list_(pa.int64()))}
 
+    return named.mapInArrow(by_batch(made), "id long, s array<long>")
 
-def sketches(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, same, prints): the fingerprint of the set, a hash of the set itself, the sectors' prints."""
-    named = two_columns(docs, id_col, text_col).withColumn("id", F.col("id").cast("long")).where("id IS NOT NULL")
+
+def frequent(named: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample hold, sorted, and by how many."""
+    every = max(1, -(-named.count() // SAMPLE))
+    held = sets_of(named.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), shingle).select(F.explode("s").alias("h")).groupBy("h").count()
+    rows = np.array(held.where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).collect(), np.int64).reshape(-1, 2)
+    h = rows[:, 0].copy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], rows[order, 1]
+
+
+def prefix(h: np.ndarray, similarity: float, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of a set (sorted) so many shingles, the rare ones first, that a similar set's share one of them."""
+    k = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+    if len(h) and len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        held = np.where(known[at] == h, counts[at], 0)
+        if held.any():
+            return h[np.lexsort((h, held))[:k]]
+    return h[:k]
+
+
+def bitmap(h: np.ndarray) -> np.ndarray:
+    odd = np.bincount(((h * _SPREAD) >> np.uint64(55)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def sketches(named: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(id, same, n, keys, bits): a hash of the set itself, its size, its rare shingles, its bitmap."""
+    known, counts = frequent(named, shingle)
 
     def made(many: list[str]) -> dict:
         import pyarrow as pa
 
         sets = [shingle_hashes(t, shingle) for t in many]
-        prints = pa.array([sector_prints(h, similarity) for h in sets], pa.list_(pa.int64()))
-        return {"fp": pa.array([majority(h) if len(h) else 0 for h in sets], pa.int64()), "same": [xxhash.xxh3_128_hexdigest(h.tobytes()) for h in sets], "prints": prints}
+        keys = pa.array([prefix(h, similarity, known, counts).view(np.int64) for h in sets], pa.list_(pa.int64()))
+        return {"same": [xxhash.xxh3_128_hexdigest(h.tobytes()) for h in sets], "n": pa.array([len(h) for h in sets], pa.int32()), "keys": keys, "bits": pa.array([bitmap(h) for h in sets], pa.list_(pa.int64()))}
 
-    return named.mapInArrow(by_batch(made), "id long, fp long, same string, prints array<long>")
+    return named.mapInArrow(by_batch(made), "id long, same string, n int, keys array<long>, bits array<long>")
 
 
-def proposals(points: DataFrame, distance: int, bucket: int) -> DataFrame:
-    """points: (rep, fp, prints). Pairs (a, b) to look at: fingerprints within the distance, by multi-index
-    hashing; and equal prints of a sector, all pairs where up to `bucket` share one, else each with the
-    least (a similar pair shares several sectors, and full buckets are of groups of near copies)."""
-    whole = points.groupBy("fp").agg(F.min("rep").alias("rep"))
-    pairs = links(whole, distance, bucket=bucket)
-    pairs = pairs.union(points.join(whole.withColumnRenamed("rep", "a"), "fp").where("a <> rep").select("a", F.col("rep").alias("b")))
-    keyed = Written(points.select("rep", F.explode(F.array_distinct("prints")).alias("key")), "sectors").df
-    count = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("a")).where("n > 1")
-    shared = keyed.join(count, "key")
-    star = shared.where("a <> rep").select("a", F.col("rep").alias("b"))
-    few = shared.where(f"n <= {bucket} AND n > 2").select("key", "rep")
-    inner = few.join(few.withColumnRenamed("rep", "b"), "key").where("rep < b").select(F.col("rep").alias("a"), "b")
-    return pairs.union(star).union(inner).distinct()
+def possible(similarity: float) -> Column:
+    """Whether sizes n, n2 and bitmaps bits, bits2 allow a pair to be similar."""
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(BITS // 64)), F.lit(0))
+    return sized(similarity) & (apart <= (F.col("n") + F.col("n2")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2, bucket: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per id: id, component_id: the least id reachable over pairs whose sets of shingles have a
-    Jaccard similarity of at least `similarity`. Texts without words are alike. Null ids give no row."""
-    sketch = Written(sketches(docs, shingle, similarity, id_col, text_col), "sketches").df
-    points = sketch.groupBy("same").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("prints").alias("prints"))
-    points = Written(points, "points").df
-    pairs = Written(proposals(points.where(F.size("prints") > 0).select("rep", "fp", "prints"), distance, bucket), "proposals").df
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    named = two_columns(docs, id_col, text_col).withColumn("id", F.col("id").cast("long")).join(wanted, "id", "left_semi")
+def sized(similarity: float) -> Column:
+    return F.least("n", "n2") >= F.greatest("n", "n2") * similarity - 1e-6
 
-    def made(many: list[str]) -> dict:
-        import pyarrow as pa
 
-        return {"s": pa.array([shingle_hashes(t, shingle).view(np.int64) for t in many], pa.list_(pa.int64()))}
+def other(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{c}2" for c in df.columns if c not in ("key", "low", "high")})
+
+
+def proposals(points: DataFrame, shared: DataFrame, similarity: float, bucket: int) -> DataFrame:
+    """Pairs (a, b) of documents with a key in common: all where up to `bucket` hold it, else each document with
+    the least and STARS others."""
+    few = shared.where(f"held <= {bucket}").select("key", "rep", "n")
+    inner = few.join(other(few), "key").where((F.col("rep") < F.col("rep2")) & sized(similarity)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    full = shared.where(f"held > {bucket}").select("key", "rep", "n")
+    one = F.struct("rep", "n")
+    stars = full.groupBy("key").agg(*[F.min(one if k == 0 else F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n")).alias(f"s{k}") for k in range(STARS + 1)])
+    stars = stars.select("key", F.explode(F.array(*[F.struct(F.col(f"s{k}.rep"), F.col(f"s{k}.n")) for k in range(STARS + 1)])).alias("s")).select("key", F.col("s.rep").alias("rep2"), F.col("s.n").alias("n2")).distinct()
+    star = full.join(stars, "key").where((F.col("rep") != F.col("rep2")) & sized(similarity)).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+    known = points.select(F.col("rep").alias("a"), "n", "bits")
+    met = inner.union(star).distinct().join(known, "a").join(other(known).withColumnRenamed("a2", "b"), "b")
+    return met.where(possible(similarity)).select("a", "b")
+
+
+def remaining(points: DataFrame, shared: DataFrame, roots: DataFrame, similarity: float, bucket: int) -> DataFrame:
+    """Pairs (a, b) that share a full key and are in different groups so far."""
+    full = shared.where(f"held > {bucket}").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    open_ = full.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    rows = full.join(open_, "key").join(points.select("rep", "bits"), "rep").select("key", "rep", "root", "n", "bits", F.ceil(F.col("held") / PART).cast("int").alias("parts"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(0)), F.col("parts")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("part", "o").alias("low"), F.greatest("part", "o").alias("high"), "part", "rep", "root", "n", "bits")
+    once = (F.col("low") == F.col("high")) | (F.col("part") != F.col("part2"))
+    met = rows.join(other(rows), ["key", "low", "high"]).where((F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2")) & once & possible(similarity))
+    return met.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
 
-    sets = Written(named.mapInArrow(by_batch(made), "id long, s array<long>").dropDuplicates(["id"]), "sets").df
+
+def alike(named: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of the pairs those whose sets are similar."""
+    wanted = Written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted").df
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    sets = Written(sets_of(named.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), shingle).dropDuplicates(["id"]), "sets").df
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     common = met.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("c"))
-    alike = common.where(F.col("c") >= similarity * (F.col("p") + F.col("q") - F.col("c"))).select("a", "b")
-    of = components(alike).select(F.col("node").alias("rep"), "root")
-    classes = points.select("same", "rep").join(of, "rep", "left").select("same", F.coalesce("root", "rep").alias("component_id"))
+    return common.where(F.col("c") >= similarity * (F.col("p") + F.col("q") - F.col("c"))).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per id: id, component_id: the least id reachable over pairs whose sets of shingles have a
+    Jaccard similarity of at least `similarity`. Texts without words are alike. Null ids give no row."""
+    named = two_columns(docs, id_col, text_col).withColumn("id", F.col("id").cast("long")).where("id IS NOT NULL")
+    sketch = Written(sketches(named, shingle, similarity), "sketches").df
+    points = Written(sketch.groupBy("same").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "keys", "bits")]), "points").df
+    keyed = points.select("rep", "n", F.explode("keys").alias("key"))
+    held = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    shared = Written(keyed.join(held, "key"), "shared").df
+    links = Written(alike(named, Written(proposals(points, shared, similarity, bucket), "proposals").df, shingle, similarity), "alike").df
+    of = components(links)
+    rest = Written(remaining(points, shared, of, similarity, bucket), "remaining").df
+    if not rest.isEmpty():
+        of = components(links.union(alike(named, rest, shingle, similarity)))
+    classes = points.select("same", "rep").join(of.select(F.col("node").alias("rep"), "root"), "rep", "left").select("same", F.coalesce("root", "rep").alias("component_id"))
     return sketch.select("id", "same").join(classes, "same").groupBy("id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("id", id_col)

@@ -166,6 +166,36 @@ def test_similar_groups(spark, docs, none):
     assert simhash.similar_groups(none).collect() == []
 
 
+def test_similar_groups_around_an_original(spark):
+    """Many edited copies that are similar to their original alone, which hasn't the least id."""
+    base, made = [f"o{i}" for i in range(204)], []
+    for i in range(300):
+        w = list(base)
+        for at in (x + RND.randrange(40) for x in (2, 52, 102, 152)) if i != 150 else ():
+            w[at] = f"v{i}"
+        made.append((i, " ".join(w)))
+    sets = [five(t) for _, t in made]
+    assert all(len(x & sets[150]) >= 0.8 * len(x | sets[150]) for x in sets) and len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+    got = simhash.similar_groups(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert len(got) == 300 and {r.component_id for r in got} == {0}
+
+
+def test_similar_groups_by_brute_force(spark):
+    """All components, with shingles that all documents hold and keys that are full."""
+    made, shared = [], RND.choices(WORDS, k=40)
+    for g in range(12):
+        base = [f"g{g}x{i}" for i in range(RND.randint(20, 90))] + shared
+        for _ in range(25):
+            w = list(base)
+            for _ in range(RND.randint(0, 4)):
+                w[RND.randrange(len(w))] = f"n{RND.random()}"
+            made.append((len(made), " ".join(w)))
+    RND.shuffle(made)
+    sets = {i: five(t) for i, t in made}
+    want = least_reachable(set(sets), [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(made, "doc_id long, text string"), bucket=4).collect()} == want
+
+
 def test_substring_dedup(docs, none):
     first = {}
     for i, t in ROWS:
