@@ -8,9 +8,16 @@ and the other way round. So a question with other numbers and names in it is cau
 has the same shape is not. A document holds an item if the standing alignments have at least `share` of the
 item's windows.
 
+Whether a capitalised word is a name can't be told where a sentence, a line or a text may begin, and not at all
+in a text that has lost its capitals. So a window has up to three readings, each with its own key and its own
+alignments: capitals are names but where a sentence begins; all capitals are names; and no slots, each word and
+number as it is. The last stands only where the first isn't inconsistent.
+
 The benchmark's windows are broadcast if they are at most BROADCAST_WINDOWS (they are counted); beyond it the
 documents' windows are shuffled to them, by hash. Windows of slots alone, or with fewer than half words, are
-not looked up; an item without other windows, or with fewer than n words, is matched by its words up to n.
+not looked up with slots, and don't count; but where an item has no others, all count and are looked up as they
+are. An item with fewer than n words is one window, looked up as it is wherever a document has these words, and
+with slots as a whole text.
 
 Null texts hold nothing; rows with a null id take part and give rows with a null id; rows that repeat an id
 are one document; an empty table on either side gives no rows; columns besides those named are not looked at.
@@ -26,32 +33,50 @@ WORDS = 5
 SHARE = 0.8
 # Units that follow a number.
 UNITS = ("km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "mph", "km/h", "miles", "mile", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "cents", "cent", "euros", "euro", "percent", "meters", "meter", "feet", "foot", "inches", "inch", "pounds", "pound", "liters", "liter", "degrees", "degree")
-NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"  # what a slot begins with
+NUMBER, UNIT, NAME, MAYBE = "\x01", "\x02", "\x03", "\x04"  # what a slot begins with; MAYBE: a name or a sentence's begin
+SLOTS, MARKS = "\x04", "\x05"  # what sorts below these is a slot, a slot or MAYBE
 
 
 def slotted(text: Column) -> Column:
     """The text's template words, joined by single spaces; a slot is its type and its value."""
     unit = "|".join(UNITS)
-    out = F.regexp_replace(text, "[\x01-\x03]", " ")
+    out = F.regexp_replace(text, "[\x01-\x04]", " ")
     # A name: a capital, then a small letter, where no sentence begins. The capital is looked for first.
     out = F.regexp_replace(out, r"(\p{Lu}(?=\p{Ll})(?<=[\p{Ll}0-9,;:)] \p{Lu})[\p{L}']*+)", f"{NAME}$1")
-    plain = F.regexp_replace(F.lower(out), rf"[^\p{{L}}\p{{M}}{NAME}]+", " ")
-    units = F.regexp_replace(out, rf"(?<=[0-9])\x20?({unit})(?![\p{{L}}0-9])", f" {UNIT}$1")
-    numbers = F.regexp_replace(units, r"(?<![\p{L}0-9\x03])([0-9]++(?:[.,:/][0-9]++)*+)(?![\p{L}])", f"{NUMBER}$1")
-    full = F.regexp_replace(F.lower(numbers), rf"[^\p{{L}}\p{{M}}0-9{NUMBER}{UNIT}{NAME}.,:/]+|(?<![0-9])[.,:/]|[.,:/](?![0-9])", " ")
+    plain = F.regexp_replace(F.lower(out), rf"[^\p{{L}}\p{{M}}{NAME}{MAYBE}]+", " ")
+    units = F.regexp_replace(out, rf"(?<=[0-9])\x20?((?i:{unit}))(?![\p{{L}}0-9])", f" {UNIT}$1")
+    numbers = F.regexp_replace(units, r"(?<![\p{L}0-9\x03\x04])([0-9]++(?:[.,:/][0-9]++)*+)(?![\p{L}])", f"{NUMBER}$1")
+    full = F.regexp_replace(F.lower(numbers), rf"[^\p{{L}}\p{{M}}0-9{NUMBER}{UNIT}{NAME}{MAYBE}.,:/]+|(?<![0-9])[.,:/]|[.,:/](?![0-9])", " ")
     return F.trim(F.when(text.rlike("[0-9]"), F.regexp_replace(full, " +", " ")).otherwise(plain))
 
 
-def windows(df: DataFrame, n: int) -> DataFrame:
-    """(id, at, w0 .. w{n - 1}, key): a row for each window of n template words, or one of the whole text
-    where it has fewer. The words aside, shifted arrays are zipped, so that all of it is generated code."""
+def bare(w: Column) -> Column:
+    """The word or value alone."""
+    return F.when(w < MARKS, F.translate(w, f"{NUMBER}{UNIT}{NAME}{MAYBE}", "")).otherwise(w)
+
+
+def keys(words: list[Column]) -> list[Column]:
+    """The keys of a window's readings."""
+    kind = lambda w: F.when(w < SLOTS, F.substring(w, 1, 1))
+    return [F.xxhash64(*[kind(w).otherwise(bare(w)) for w in words]), F.xxhash64(*[kind(w).when(w < MARKS, F.lit(NAME)).otherwise(w) for w in words]), F.xxhash64(*map(bare, words))]
+
+
+def windows(df: DataFrame, n: int, fewer: tuple[int, ...] = ()) -> DataFrame:
+    """(id, at, w0 .. w{n - 1}, k, keys): a row for each window of n template words, or one of the whole text
+    where it has fewer, with the keys of its readings; and for each of k words (k in `fewer`) with that of its
+    words alone. The words aside, shifted arrays are zipped, so that all of it is generated code."""
     words = df.select("id", F.split(slotted(F.col("text")), " ", -1).alias("words"))
     shifted = [F.col("words"), *(F.slice("words", i + 1, F.size("words")) for i in range(1, n))]
     rows = words.select("id", F.posexplode(F.arrays_zip(*[x.alias(f"w{i}") for i, x in enumerate(shifted)])).alias("at", "w"))
-    rows = rows.select("id", "at", *[F.col(f"w.w{i}").alias(f"w{i}") for i in range(n)])
-    kinds = [F.when(F.col(f"w{i}") < "\x04", F.substring(f"w{i}", 1, 1)).otherwise(F.col(f"w{i}")) for i in range(n)]
-    whole = F.col(f"w{n - 1}").isNotNull() | (F.col("at") == 0) & (F.col("w0") != "")
-    return rows.where(whole).withColumn("key", F.xxhash64(*kinds))
+    own = [F.col(f"w{i}") for i in range(n)]
+    rows = rows.select("id", "at", *[F.col(f"w.w{i}").alias(f"w{i}") for i in range(n)]).where("w0 <> ''")
+    whole = F.col(f"w{n - 1}").isNotNull() | (F.col("at") == 0)
+    some = F.coalesce(F.array_min(F.array(*own)) < MARKS, F.lit(False))
+    full = F.when(whole, F.when(some, F.array(*keys(own))).otherwise(F.array(*[F.xxhash64(*own)] * 3)))
+    if not fewer:
+        return rows.where(whole).withColumn("keys", full)
+    short = [F.when(F.col(f"w{k - 1}").isNotNull(), F.xxhash64(*map(bare, own[:k]))) for k in fewer]
+    return rows.withColumn("keys", F.array_compact(F.concat(F.coalesce(full, F.array().cast("array<bigint>")), F.array(*short))))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -59,18 +84,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, share:
     n_slots (slot values that were checked)."""
     take = lambda df, i, t: df.select(F.col(f"`{i}`").alias("id"), F.col(f"`{t}`").cast("string").alias("text")).where("text IS NOT NULL")
     own = [F.col(f"w{i}") for i in range(n)]
-    asked = windows(take(benchmark, item_col, item_text_col), n).select("key", F.col("id").alias("item"), F.col("at").alias("item_at"), F.array_compact(F.array(*own)).alias("own"))
-    asked = asked.where(2 * F.size(F.filter("own", lambda x: x >= "\x04")) >= F.size("own"))
-    total = asked.groupBy("item").agg(F.countDistinct("item_at").alias("n_windows"))
+    asked = windows(take(benchmark, item_col, item_text_col), n).select("keys", F.col("id").alias("item"), F.col("at").alias("item_at"), F.array_compact(F.array(*own)).alias("own"))
+    half = lambda least: 2 * F.size(F.filter("own", lambda x: x >= least)) >= F.size("own")
+    asked = asked.withColumn("worded", half(SLOTS)).withColumn("some", F.exists("own", lambda x: x >= MARKS))
+    counts = asked.groupBy("item").agg(F.countDistinct(F.when(F.col("worded"), F.col("item_at"))).alias("worded_windows"), F.countDistinct("item_at").alias("all_windows"))
+    total = counts.select("item", F.when(F.col("worded_windows") > 0, F.col("worded_windows")).otherwise(F.col("all_windows")).alias("n_windows"))
+    asked = asked.join(counts.select(F.col("item").alias("same"), "worded_windows"), F.col("item").eqNullSafe(F.col("same"))).where("worded OR worded_windows = 0")
+    # Slots of a reading: the places of its values. Those of the last are as they are, so any are consistent.
+    marked = lambda least: F.transform("own", lambda x: F.struct(bare(x).alias("v"), (x < least).alias("slot")))
+    read = [F.struct(F.lit(r).alias("reading"), F.col("keys")[r].alias("key"), marked(least).alias("own"), used.alias("used")) for r, (least, used) in enumerate([(SLOTS, F.col("worded")), (MARKS, F.col("worded") & F.col("some")), (SLOTS, F.lit(True))])]
+    short = [r[0] for r in asked.where(F.size("own") < n).select(F.size("own")).distinct().collect()]
+    asked = asked.select("item", "item_at", F.inline(F.array(*read))).where("used").drop("used")
     small = asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    held = windows(take(docs, id_col, text_col), n)
+    held = windows(take(docs, id_col, text_col), n, tuple(sorted(short)))
+    held = held.select("id", "at", *own, F.explode(F.array_distinct("keys")).alias("key"))
     met = held.join(F.broadcast(asked) if small else asked, "key")
-    pairs = F.filter(F.arrays_zip(F.col("own").alias("i"), F.array_compact(F.array(*own)).alias("d")), lambda x: (x["i"] < "\x04") | (x["d"] < "\x04"))
-    met = met.select("id", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("slots"))
+    # A document's window can be longer than an item of few words; what is over has no place in the item.
+    pairs = F.transform(F.filter(F.arrays_zip(F.col("own").alias("i"), F.array(*map(bare, own)).alias("d")), lambda x: x["i"]["slot"]), lambda x: F.struct(x["i"]["v"].alias("i"), x["d"].alias("d")))
+    met = met.select("id", "item", "reading", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("slots"))
     # At most a row for each window of the item and shift, before the slots are put together.
-    lined = met.groupBy("id", "item", "shift").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    values = lambda c: F.size(F.array_distinct(F.transform("slots", lambda x: x[c])))
-    stands = (values("i") == F.size("slots")) & (values("d") == F.size("slots"))
-    found = lined.where(stands).groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_matched"), F.max(F.size("slots")).cast("long").alias("n_slots"))
+    of = lambda r, c: F.collect_set(F.when(F.col("reading") == r, F.col(c)))
+    lined = met.groupBy("id", "item", "shift").agg(*[of(r, "item_at").alias(f"ats{r}") for r in range(3)], *[F.array_distinct(F.flatten(of(r, "slots"))).alias(f"slots{r}") for r in range(3)])
+    values = lambda r, c: F.size(F.array_distinct(F.transform(f"slots{r}", lambda x: x[c])))
+    # Words as they are stand where names, as far as they are known, don't contradict them.
+    stands = [(values(r, "i") == F.size(f"slots{r}")) & (values(r, "d") == F.size(f"slots{r}")) for r in (0, 1, 0)]
+    standing = lined.select("id", "item", *[F.when(x, F.col(f"ats{r}")).otherwise(F.array().cast("array<int>")).alias(f"ats{r}") for r, x in enumerate(stands)], F.greatest(*[F.when(x, F.size(f"slots{r}")).otherwise(0) for r, x in enumerate(stands)]).alias("checked"))
+    found = standing.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.concat("ats0", "ats1", "ats2"))))).cast("long").alias("n_matched"), F.max("checked").cast("long").alias("n_slots"))
     out = found.join(F.broadcast(total) if small else total, "item").withColumn("share", F.round(F.col("n_matched") / F.col("n_windows"), 6)).where(F.col("share") >= share)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_matched", "share", "n_slots")

@@ -327,6 +327,17 @@ def test_decontamination(spark, docs, none):
     assert decontamination.decontaminate(none, bench).collect() == [] and decontamination.decontaminate(docs, bench.where("false")).collect() == []
 
 
+def leaks(spark, docs, items):
+    docs, bench = (spark.createDataFrame(list(enumerate(x)), f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id")))
+    return {(r.doc_id, r.item_id) for r in decontamination.decontaminate(docs, bench).collect()}
+
+
+def test_decontamination_of_numbers_and_short_items(spark):
+    items = ["Compute 3 + 4 * 5 - 6 * 7", "Who wrote Ulysses?", "Anna, Bob, Carl, Dora, Emil, Fritz or Gerda?", "banana"]
+    docs = ["Exercise two: compute 3 + 4 * 5 - 6 * 7 and write it down.", "Compute 3 + 4 * 5 - 6 * 8", "A quiz asks: Who wrote Ulysses? Nobody knew it.", "who wrote Hamlet, or who wrote", "It was Anna, Bob, Carl, Dora, Emil, Fritz or Gerda? Yes.", "Ada, Bea, Cid, Dan, Eve, Flo or Gus?", "bananas", "one banana", "Who wrote Ulysses"]
+    assert leaks(spark, docs, items) == {(0, 0), (2, 1), (4, 2), (7, 3), (8, 1)}
+
+
 def test_decontamination_finds_passages(spark):
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     grams = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\W\d_]+", t.lower())] for i in range(len(w) - 4)}
