@@ -43,6 +43,7 @@ def slotted(text: Column) -> Column:
     out = F.regexp_replace(text, "[\x01-\x04]", " ")
     # A name: a capital, then a small letter, where no sentence begins. The capital is looked for first.
     out = F.regexp_replace(out, r"(\p{Lu}(?=\p{Ll})(?<=[\p{Ll}0-9,;:)] \p{Lu})[\p{L}']*+)", f"{NAME}$1")
+    out = F.regexp_replace(out, rf"(\p{{Lu}}(?=\p{{Ll}})(?<![\p{{L}}\p{{M}}0-9{NAME}]\p{{Lu}})[\p{{L}}']*+)", f"{MAYBE}$1")
     plain = F.regexp_replace(F.lower(out), rf"[^\p{{L}}\p{{M}}{NAME}{MAYBE}]+", " ")
     units = F.regexp_replace(out, rf"(?<=[0-9])\x20?((?i:{unit}))(?![\p{{L}}0-9])", f" {UNIT}$1")
     numbers = F.regexp_replace(units, r"(?<![\p{L}0-9\x03\x04])([0-9]++(?:[.,:/][0-9]++)*+)(?![\p{L}])", f"{NUMBER}$1")

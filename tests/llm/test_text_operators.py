@@ -338,6 +338,14 @@ def test_decontamination_of_numbers_and_short_items(spark):
     assert leaks(spark, docs, items) == {(0, 0), (2, 1), (4, 2), (7, 3), (8, 1)}
 
 
+def test_decontamination_finds_names_anywhere(spark):
+    item = "Alice has 5 apples in a basket near the door. Bob gives her 3 more apples from the tree behind his house. Carol then takes 2 of these apples home for her old mother. How many apples are left?"
+    short = "What is the capital of France?"
+    new = item.replace("Alice", "Dora").replace("Bob", "Emil").replace("Carol", "Fritz").replace("5", "9").replace("3", "4").replace("2", "7")
+    docs = [f"Text. {new} More.", "Question: " + short, item.lower(), "See this: " + item.replace(" Bob", "\nBob").replace(" the", "\nthe"), short.lower() + " nobody knows", "It asks,\n" + new.replace(" Emil", "\nEmil"), "Question: What is the capital city of France?", new.replace("apples", "pears")]
+    assert leaks(spark, docs, [item, short]) == {(0, 0), (1, 1), (2, 0), (3, 0), (4, 1), (5, 0)}
+
+
 def test_decontamination_finds_passages(spark):
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     grams = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\W\d_]+", t.lower())] for i in range(len(w) - 4)}
