@@ -2,7 +2,7 @@
 DataFrame functions only.
 
 The places of a pattern's matches come from the text cut at the matches and the matches themselves: their
-lengths, added up, are the offsets. Base kinds (email, ip, card, phone) are decided by their contract alone
+lengths, added up, are the offsets, and their last characters, carried on, the context. Base kinds (email, ip, card, phone) are decided by their contract alone
 and are always kept. The method adds ibans (mod 97), and, where a word nearby names them, phone numbers
 without a country code and social security numbers. A score is the kind's own, and more with a confirmed
 checksum, or a context word before the span; added spans need THRESHOLD.
@@ -106,7 +106,8 @@ def spans_of(rank: int, kind: Kind, text: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["piece"])
         end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        near = F.lower(F.substring(x["piece"], F.greatest(F.lit(1), F.length(x["piece"]) - F.lit(CONTEXT - 1)), F.lit(CONTEXT))).rlike(f"(?:{kind.words})")
+        before = F.right(F.concat(acc["before"], x["piece"]), F.lit(CONTEXT))
+        near = F.lower(before).rlike(f"(?:{kind.words})")
         checked = 0.4 if kind.name in ("card", "iban") else 0.0
         score = F.lit(kind.score + checked) + F.when(near, 0.3).otherwise(0.0)
         # The score is a property of a valid span; base spans need none.
@@ -114,9 +115,9 @@ def spans_of(rank: int, kind: Kind, text: Column) -> Column:
         good = x["match"].isNotNull() & confirmed(kind.name, x["match"])
         if not kind.base:
             good = good & (score >= THRESHOLD)
-        return F.struct(end.cast("long").alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.cast("long").alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"), F.right(F.concat(before, F.coalesce(x["match"], F.lit(""))), F.lit(CONTEXT)).alias("before"))
 
-    found = F.aggregate(both, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    found = F.aggregate(both, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"), F.lit("").alias("before")), step, lambda acc: acc["out"])
     return F.when(text.rlike(kind.trigger), found).otherwise(none)
 
 

@@ -306,6 +306,14 @@ def test_pii(spark, docs, none):
     assert pii.digest(none).collect() == [] and pii.digest(docs).count() == len(ROWS)
 
 
+def test_pii_context_before_other_matches(spark):
+    """The context of a span is the text before it, whatever else matches there."""
+    texts = ["phone: 415-555-0100, 415-555-0101", "ssn 123-45-6789, 000-12-3456, 123-45-6780", "phone: 415-555-0100" + " " * 21 + "415-555-0101", "phone: 415-555-0100" + " " * 22 + "415-555-0101", "no word 415-555-0100 but call 415-555-0101, 415-555-0102"]
+    want = ["local_phone:7:19,local_phone:21:33", "ssn:4:15,ssn:30:41", "local_phone:7:19,local_phone:40:52", "local_phone:7:19", "local_phone:30:42,local_phone:44:56"]
+    got = pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert rows(got.select("doc_id", "spans")) == list(enumerate(want))
+
+
 def test_licenses(spark, docs, none):
     sentence = license_scan.SENTENCES
     made = [(1, "Some words.\nReleased under the MIT License.\n"), (2, f"{sentence['mit-grant']}. {sentence['mit-asis']}. {sentence['mit-liability']}."), (3, re.sub(" the ", "\n the ", sentence["gpl-free"]) + "."), (4, "ALL RIGHTS RESERVED!  licensed under cc by-nc 4.0."), (5, "the license of this"), (6, f"{sentence['bsd-binary']}.\n{sentence['bsd-use']}:\n{sentence['bsd-source']}."), (7, f"{sentence['bsd-use']}:\n* {sentence['bsd-source']}.\nother text.\n* {sentence['bsd-binary']}.")]
