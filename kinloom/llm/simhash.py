@@ -120,15 +120,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, segmen
 # common to all sets, share one: each set names these as keys, the shingles that few documents hold first, and
 # no pair is missed. A pair is compared unless its sizes or its bitmaps (a bit for each of 512 parts of the
 # hashes' range, telling whether the set holds an odd number there: sets differ in at least as many shingles as
-# bitmaps in bits) rule it out. In a key that more than `bucket` documents hold, all are first compared with a
-# few of them; then all pairs that are still in different groups are, in blocks.
+# bitmaps in bits) rule it out. The holders of a key are first compared with the least of them; then all pairs that
+# are still in different groups are, in blocks where more than `bucket` documents hold the key.
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Documents whose shingles are counted to find the frequent ones, and how many of these are told apart. Both
 #: only bear on the order.
 SAMPLE, FREQUENT = 10_000, 1 << 16
 BITS = 512
-STARS = 3  # documents of a full key that all others are compared with, besides the least
 PART = 512  # documents in a block of a full key
 #: Ids up to which those to compare are broadcast.
 BROADCAST_IDS = 100_000
@@ -208,39 +207,44 @@ def other(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: f"{c}2" for c in df.columns if c not in ("key", "low", "high")})
 
 
-def proposals(points: DataFrame, shared: DataFrame, similarity: float, bucket: int) -> DataFrame:
-    """Pairs (a, b) of documents with a key in common: all where up to `bucket` hold it, else each document with
-    the least and STARS others."""
-    few = shared.where(f"held <= {bucket}").select("key", "rep", "n")
-    inner = few.join(other(few), "key").where((F.col("rep") < F.col("rep2")) & sized(similarity)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    full = shared.where(f"held > {bucket}").select("key", "rep", "n")
-    one = F.struct("rep", "n")
-    stars = full.groupBy("key").agg(*[F.min(one if k == 0 else F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n")).alias(f"s{k}") for k in range(STARS + 1)])
-    stars = stars.select("key", F.explode(F.array(*[F.struct(F.col(f"s{k}.rep"), F.col(f"s{k}.n")) for k in range(STARS + 1)])).alias("s")).select("key", F.col("s.rep").alias("rep2"), F.col("s.n").alias("n2")).distinct()
-    star = full.join(stars, "key").where((F.col("rep") != F.col("rep2")) & sized(similarity)).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+def ruled_in(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) those that sizes and bitmaps allow."""
     known = points.select(F.col("rep").alias("a"), "n", "bits")
-    met = inner.union(star).distinct().join(known, "a").join(other(known).withColumnRenamed("a2", "b"), "b")
-    return met.where(possible(similarity)).select("a", "b")
+    return pairs.join(known, "a").join(other(known).withColumnRenamed("a2", "b"), "b").where(possible(similarity)).select("a", "b")
+
+
+def proposals(points: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b): the least document of each key with the others."""
+    least = shared.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("s")).select("key", F.col("s.rep").alias("rep2"), F.col("s.n").alias("n2"))
+    star = shared.join(least, "key").where((F.col("rep") != F.col("rep2")) & sized(similarity)).select(F.col("rep2").alias("a"), F.col("rep").alias("b"))
+    return ruled_in(star.distinct(), points, similarity)
 
 
 def remaining(points: DataFrame, shared: DataFrame, roots: DataFrame, similarity: float, bucket: int) -> DataFrame:
-    """Pairs (a, b) that share a full key and are in different groups so far."""
-    full = shared.where(f"held > {bucket}").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    open_ = full.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rows = full.join(open_, "key").join(points.select("rep", "bits"), "rep").select("key", "rep", "root", "n", "bits", F.ceil(F.col("held") / PART).cast("int").alias("parts"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(0)), F.col("parts")).cast("int"))
+    """Pairs (a, b) that share a key and are in different groups so far."""
+    rooted = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    rooted = rooted.join(open_, "key")
+    apart = (F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2"))
+    pair = [F.col("rep").alias("a"), F.col("rep2").alias("b")]
+    few = rooted.where(f"held <= {bucket}").select("key", "rep", "root", "n")
+    inner = ruled_in(few.join(other(few), "key").where(apart & sized(similarity)).select(*pair).distinct(), points, similarity)
+    # Where many hold a key, bitmaps are looked at before pairs are made.
+    rows = rooted.where(f"held > {bucket}").join(points.select("rep", "bits"), "rep").select("key", "rep", "root", "n", "bits", F.ceil(F.col("held") / PART).cast("int").alias("parts"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", F.least("part", "o").alias("low"), F.greatest("part", "o").alias("high"), "part", "rep", "root", "n", "bits")
     once = (F.col("low") == F.col("high")) | (F.col("part") != F.col("part2"))
-    met = rows.join(other(rows), ["key", "low", "high"]).where((F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2")) & once & possible(similarity))
-    return met.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    met = rows.join(other(rows), ["key", "low", "high"]).where(apart & once & possible(similarity))
+    return inner.union(met.select(*pair)).distinct()
 
 
-def alike(named: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of the pairs those whose sets are similar."""
+def alike(named: DataFrame, pairs: DataFrame, shingle: int, similarity: float, repeated: bool) -> DataFrame:
+    """Of the pairs those whose sets are similar, or of an id in several rows any of its sets."""
     wanted = Written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted").df
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    sets = Written(sets_of(named.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), shingle).dropDuplicates(["id"]), "sets").df
+    sets = sets_of(named.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), shingle)
+    sets = Written(sets.distinct() if repeated else sets, "sets").df
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     common = met.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("c"))
     return common.where(F.col("c") >= similarity * (F.col("p") + F.col("q") - F.col("c"))).select("a", "b")
@@ -255,10 +259,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     keyed = points.select("rep", "n", F.explode("keys").alias("key"))
     held = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     shared = Written(keyed.join(held, "key"), "shared").df
-    links = Written(alike(named, Written(proposals(points, shared, similarity, bucket), "proposals").df, shingle, similarity), "alike").df
+    repeated = not sketch.groupBy("id").count().where("count > 1").isEmpty()
+    links = Written(alike(named, Written(proposals(points, shared, similarity), "proposals").df, shingle, similarity, repeated), "alike").df
     of = components(links)
     rest = Written(remaining(points, shared, of, similarity, bucket), "remaining").df
     if not rest.isEmpty():
-        of = components(links.union(alike(named, rest, shingle, similarity)))
+        of = components(links.union(alike(named, rest, shingle, similarity, repeated)))
     classes = points.select("same", "rep").join(of.select(F.col("node").alias("rep"), "root"), "rep", "left").select("same", F.coalesce("root", "rep").alias("component_id"))
     return sketch.select("id", "same").join(classes, "same").groupBy("id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("id", id_col)
