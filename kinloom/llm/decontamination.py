@@ -56,28 +56,26 @@ def bare(w: Column) -> Column:
     return F.when(w < MARKS, F.translate(w, f"{NUMBER}{UNIT}{NAME}{MAYBE}", "")).otherwise(w)
 
 
-def keys(words: list[Column]) -> list[Column]:
-    """The keys of a window's readings."""
-    kind = lambda w: F.when(w < SLOTS, F.substring(w, 1, 1))
-    return [F.xxhash64(*[kind(w).otherwise(bare(w)) for w in words]), F.xxhash64(*[kind(w).when(w < MARKS, F.lit(NAME)).otherwise(w) for w in words]), F.xxhash64(*map(bare, words))]
-
-
 def windows(df: DataFrame, n: int, fewer: tuple[int, ...] = ()) -> DataFrame:
-    """(id, at, w0 .. w{n - 1}, k, keys): a row for each window of n template words, or one of the whole text
-    where it has fewer, with the keys of its readings; and for each of k words (k in `fewer`) with that of its
-    words alone. The words aside, shifted arrays are zipped, so that all of it is generated code."""
-    words = df.select("id", F.split(slotted(F.col("text")), " ", -1).alias("words"))
-    shifted = [F.col("words"), *(F.slice("words", i + 1, F.size("words")) for i in range(1, n))]
-    rows = words.select("id", F.posexplode(F.arrays_zip(*[x.alias(f"w{i}") for i, x in enumerate(shifted)])).alias("at", "w"))
-    own = [F.col(f"w{i}") for i in range(n)]
-    rows = rows.select("id", "at", *[F.col(f"w.w{i}").alias(f"w{i}") for i in range(n)]).where("w0 <> ''")
+    """(id, at, reading, w0 .. w{n - 1}, key): a row for each reading of each window of n template words, or one
+    of the whole text where it has fewer; and for each of k words (k in `fewer`), as they are. Shifted arrays
+    are zipped, so that all of it is generated code."""
+    kinds = lambda x: F.regexp_replace(x, f"([{NUMBER}-{NAME}])[^ ]+", "$1")
+    t = F.col("t")
+    read = [kinds(F.translate(t, MAYBE, "")), kinds(F.translate(t, MAYBE, NAME)), F.translate(t, f"{NUMBER}{UNIT}{NAME}{MAYBE}", "")]
+    texts = df.select("id", slotted(F.col("text")).alias("t"))
+    texts = texts.select("id", "t", F.inline(F.array(*[F.struct(F.lit(r).alias("reading"), x.alias("x")) for r, x in enumerate(read)])))
+    words = texts.select("id", "reading", F.split("t", " ", -1).alias("words"), F.split("x", " ", -1).alias("kinds"))
+    shifted = [(F.col(c) if i == 0 else F.slice(c, i + 1, F.size(c))).alias(f"{c[0]}{i}") for c in ("words", "kinds") for i in range(n)]
+    rows = words.select("id", "reading", F.posexplode(F.arrays_zip(*shifted)).alias("at", "w"))
+    rows = rows.select("id", "at", "reading", *[F.col(f"w.{c}{i}").alias(f"{c}{i}") for c in "wk" for i in range(n)]).where("w0 <> ''")
     whole = F.col(f"w{n - 1}").isNotNull() | (F.col("at") == 0)
-    some = F.coalesce(F.array_min(F.array(*own)) < MARKS, F.lit(False))
-    full = F.when(whole, F.when(some, F.array(*keys(own))).otherwise(F.array(*[F.xxhash64(*own)] * 3)))
+    own = ["id", "at", "reading", *[f"w{i}" for i in range(n)]]
+    full = F.xxhash64(*[f"k{i}" for i in range(n)])
     if not fewer:
-        return rows.where(whole).withColumn("keys", full)
-    short = [F.when(F.col(f"w{k - 1}").isNotNull(), F.xxhash64(*map(bare, own[:k]))) for k in fewer]
-    return rows.withColumn("keys", F.array_compact(F.concat(F.coalesce(full, F.array().cast("array<bigint>")), F.array(*short))))
+        return rows.where(whole).select(*own, full.alias("key"))
+    short = [F.when((F.col("reading") == 2) & F.col(f"w{k - 1}").isNotNull(), F.xxhash64(*[f"k{i}" for i in range(k)])) for k in fewer]
+    return rows.select(*own, F.explode(F.array_compact(F.array(F.when(whole, full), *short))).alias("key"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -85,20 +83,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, share:
     n_slots (slot values that were checked)."""
     take = lambda df, i, t: df.select(F.col(f"`{i}`").alias("id"), F.col(f"`{t}`").cast("string").alias("text")).where("text IS NOT NULL")
     own = [F.col(f"w{i}") for i in range(n)]
-    asked = windows(take(benchmark, item_col, item_text_col), n).select("keys", F.col("id").alias("item"), F.col("at").alias("item_at"), F.array_compact(F.array(*own)).alias("own"))
-    half = lambda least: 2 * F.size(F.filter("own", lambda x: x >= least)) >= F.size("own")
-    asked = asked.withColumn("worded", half(SLOTS)).withColumn("some", F.exists("own", lambda x: x >= MARKS))
+    asked = windows(take(benchmark, item_col, item_text_col), n).select("key", "reading", F.col("id").alias("item"), F.col("at").alias("item_at"), F.array_compact(F.array(*own)).alias("own"))
+    asked = asked.withColumn("worded", 2 * F.size(F.filter("own", lambda x: x >= SLOTS)) >= F.size("own"))
     counts = asked.groupBy("item").agg(F.countDistinct(F.when(F.col("worded"), F.col("item_at"))).alias("worded_windows"), F.countDistinct("item_at").alias("all_windows"))
     total = counts.select("item", F.when(F.col("worded_windows") > 0, F.col("worded_windows")).otherwise(F.col("all_windows")).alias("n_windows"))
     asked = asked.join(counts.select(F.col("item").alias("same"), "worded_windows"), F.col("item").eqNullSafe(F.col("same"))).where("worded OR worded_windows = 0")
+    some = F.exists("own", lambda x: x >= MARKS)
+    asked = asked.where((F.col("reading") == 2) | F.col("worded") & ((F.col("reading") == 0) | some))
     # Slots of a reading: the places of its values. Those of the last are as they are, so any are consistent.
-    marked = lambda least: F.transform("own", lambda x: F.struct(bare(x).alias("v"), (x < least).alias("slot")))
-    read = [F.struct(F.lit(r).alias("reading"), F.col("keys")[r].alias("key"), marked(least).alias("own"), used.alias("used")) for r, (least, used) in enumerate([(SLOTS, F.col("worded")), (MARKS, F.col("worded") & F.col("some")), (SLOTS, F.lit(True))])]
+    slot = lambda x: (x < SLOTS) | (F.col("reading") == 1) & (x < MARKS)
     short = [r[0] for r in asked.where(F.size("own") < n).select(F.size("own")).distinct().collect()]
-    asked = asked.select("item", "item_at", F.inline(F.array(*read))).where("used").drop("used")
+    asked = asked.select("item", "item_at", "reading", "key", F.transform("own", lambda x: F.struct(bare(x).alias("v"), slot(x).alias("slot"))).alias("own"))
     small = asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     held = windows(take(docs, id_col, text_col), n, tuple(sorted(short)))
-    held = held.select("id", "at", *own, F.explode(F.array_distinct("keys")).alias("key"))
+    held = held.drop("reading")
     met = held.join(F.broadcast(asked) if small else asked, "key")
     # A document's window can be longer than an item of few words; what is over has no place in the item.
     pairs = F.transform(F.filter(F.arrays_zip(F.col("own").alias("i"), F.array(*map(bare, own)).alias("d")), lambda x: x["i"]["slot"]), lambda x: F.struct(x["i"]["v"].alias("i"), x["d"].alias("d")))
