@@ -3,14 +3,20 @@
 The automaton reads tokens. It begins with one state that has an arc for every byte. Each merge (u, v),
 in order of rank, is a gadget: the state that u leads to loses its arc v, and every state with an arc u
 gets an arc uv, to where v led. As all arcs of one token lead to one state, a state is named by the token
-read last, and the automaton is a bit table: for each token, which tokens have an arc for it. It accepts
-each text in exactly one way, the one the merges give, and so does it each prefix of a text; the encoder
-follows the arcs of the table through a pre-token, and no place in it is left for good more than once.
+read last. It accepts each text in exactly one way, the one the merges give, and so it does each prefix of a text.
+What a gadget did to an arc is told by the gadgets alone (`arc`), so no table of states times tokens is kept.
+
+Encoding goes byte by byte. Spelled out in bytes, the automaton is one of pairs: the token read last, and the node
+of a trie of labels that the bytes since have led to. Sets of such pairs are the states of a deterministic
+automaton over bytes, made when they are first reached and kept in a table: one transition a byte, without a
+way back. In each state exactly one token can have ended, as each prefix is accepted in one way; from the last one the
+tokens are read off backwards. The table is emptied when it holds `limit` states.
 Decoding emits the labels (bytes) of the arcs.
 
 Null text is encoded as empty (no ids); a null id is passed on; each row of repeated ids gives its own
 row; an empty table gives no rows; columns besides the two named are not looked at. Texts are encoded
-whole, in time linear in the length of a pre-token (times the longest label).
+whole, in time linear in their length: a transition is one look in the table, and one that must be made first takes
+time in proportion to the longest label.
 """
 
 from __future__ import annotations
@@ -28,79 +34,99 @@ from .pretokens import Vocabulary, split, vocabulary_path
 
 
 class Automaton:
-    """Compiled from the merges. `arcs` has a row for each token that can follow another one within a
-    pre-token: not those that start with a space, which only open one, unless they are spaces alone."""
+    """Compiled from the merges, one gadget after the other."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    START = -1
+
+    def __init__(self, vocabulary: Vocabulary, limit: int = 1 << 16):
         merges, label = vocabulary.merges, vocabulary.label
-        n = len(label)
-        right = {b for _, b in merges}
-        inner = [k in right or label[k][:1] != b" " or not label[k].strip(b" ") for k in range(n)]
-        self.row = np.full(n, -1, np.int64)
-        self.row[inner] = np.arange(sum(inner))
-        row = self.row.tolist()
-        self.stride = (n + 7) // 8
-        arcs = np.zeros((sum(inner), self.stride), np.uint8)
-        arcs[: row[255] + 1, :32] = 255  # bytes come first and follow each other freely
-        opens = [True] * 256 + [False] * (n - 256)
-        made = row[255] + 1  # rows of arcs in use
+        self.left, self.right = [0] * 256 + [u for u, _ in merges], [0] * 256 + [v for _, v in merges]
+        self.fired: dict[int, int] = {}  # merges whose gadget had an arc to take away, and their ranks
+        opens = [True] * 256 + [False] * len(merges)
         for rank, (u, v) in enumerate(merges):
-            w, at = 256 + rank, row[v]
-            fires = opens[u] and arcs[at, u >> 3] >> (u & 7) & 1
-            if row[w] >= 0:
-                made = row[w] + 1
-            if not fires or not label[w]:
-                continue
-            opens[w] = True
-            # Arcs of the state that v leads to, before u's state loses its arc v: w leads there, too.
-            leads = arcs[:made, v >> 3] >> (v & 7) & 1
-            arcs[at, u >> 3] &= ~(1 << (u & 7)) & 255
-            if row[w] >= 0:
-                arcs[row[w]] = arcs[row[u]]  # whoever has an arc u has one for w now
-                leads[row[w]] = leads[row[u]]
-            arcs[:made, w >> 3] |= leads << (w & 7)
-        self.arcs = memoryview(arcs.reshape(-1))
-        self.opens = opens
-        self.token = {}
-        for k in range(n):
-            if label[k] and opens[k]:
-                self.token[label[k]] = k
-        self.longest = max(map(len, self.token))
-        self.row = row
+            if label[256 + rank] and opens[u] and opens[v] and self.arc(u, v, rank):
+                opens[256 + rank] = True
+                self.fired[u << 32 | v] = rank
+        self.child: dict[int, int] = {}  # node << 8 | byte -> node; node 0 is the root
+        self.token, inner = [self.START], [False]  # what ends at a node, and whether the node goes on
+        for t in range(len(label)):
+            if opens[t] and label[t]:
+                node = 0
+                for byte in label[t]:
+                    inner[node] = True
+                    at = node << 8 | byte
+                    if at not in self.child:
+                        self.child[at] = len(self.token)
+                        self.token.append(self.START)
+                        inner.append(False)
+                    node = self.child[at]
+                self.token[node] = t
+        self.inner, self.size, self.limit = inner, [len(x) for x in label], limit
+        self.emptied()
+
+    def arc(self, p: int, t: int, gadgets: int = 1 << 60) -> bool:
+        """Whether the state p has an arc t after so many gadgets. The later of the two tokens got its arcs from its own
+        gadget: p = uv those of v as it was before, t = uv where u had them just after."""
+        while True:
+            if self.fired.get(p << 32 | t, gadgets) < gadgets:
+                return False
+            if p < 256 and t < 256:
+                return True
+            if p == t:
+                gadgets, p, t = p - 256, self.right[p], self.left[t]
+            elif p > t:
+                gadgets, p = p - 256, self.right[p]
+            else:
+                gadgets, t = t - 255, self.left[t]
+
+    def emptied(self) -> None:
+        begin = ((self.START, 0),)
+        self.states, self.number, self.step = [begin], {begin: 0}, {}
+
+    def moved(self, state: int, byte: int) -> int:
+        """The state that a byte leads to, which the table doesn't hold yet; its last pair is (the token that ends here, root)."""
+        pairs, ended = [], None
+        for p, node in self.states[state]:
+            to = self.child.get(node << 8 | byte)
+            if to is not None:
+                t = self.token[to]
+                if t >= 0 and ended is None and (p < 0 or self.arc(p, t)):
+                    ended = t
+                if self.inner[to]:
+                    pairs.append((p, to))
+        pairs = (*pairs, (ended, 0))
+        at = self.number.get(pairs)
+        if at is None:
+            if len(self.states) >= self.limit:
+                self.emptied()
+                state = None
+            at = self.number[pairs] = len(self.states)
+            self.states.append(pairs)
+        if state is not None:
+            self.step[state << 8 | byte] = at
+        return at
 
     def tokens(self, piece: bytes) -> list[int]:
-        """The only accepted way to read the piece: the longest arcs first, then shorter ones where no way
-        led on. A place can be reached in one accepted way only, so one that led nowhere is not tried twice."""
-        token, row, arcs, stride, longest = self.token.get, self.row, self.arcs, self.stride, self.longest
-        whole = token(piece)
-        if whole is not None:
-            return [whole]
-        n, at, read, begins, dead = len(piece), 0, [], [], bytearray(len(piece) + 1)
-        end = min(n, longest)
-        while at < n:
-            while end > at:
-                if not dead[end] and (t := token(piece[at:end])) is not None:
-                    if not at:
-                        break
-                    p, k = read[-1], row[t]
-                    if k >= 0 and arcs[k * stride + (p >> 3)] >> (p & 7) & 1:
-                        break
-                end -= 1
-            if end > at:
-                read.append(t)
-                begins.append(at)
-                at, end = end, min(n, end + longest)
-            else:
-                dead[at] = 1
-                end, at = at - 1, begins.pop()
-                read.pop()
-        return read
+        """The only accepted way to read the piece."""
+        state, ended, step, states = 0, [], self.step, self.states
+        for byte in piece:
+            to = step.get(state << 8 | byte)
+            if to is None:
+                to = self.moved(state, byte)
+                step, states = self.step, self.states
+            state = to
+            ended.append(states[state][-1][0])
+        read, at = [], len(piece)
+        while at:
+            read.append(ended[at - 1])
+            at -= self.size[read[-1]]
+        return read[::-1]
 
 
 class Codec(dict):
     """pre-token -> ids as little-endian 32-bit integers; short ones are remembered, up to `limit`."""
 
-    def __init__(self, path: str, limit: int = 1 << 20):
+    def __init__(self, path: str, limit: int = 1 << 17):
         self.vocabulary = v = Vocabulary(path)
         self.automaton = Automaton(v)
         self.limit = limit

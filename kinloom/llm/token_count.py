@@ -20,7 +20,7 @@ from .pretokens import Vocabulary, split, vocabulary_path
 class Counts(dict):
     """pre-token -> number of tokens; short ones are remembered, up to `limit`."""
 
-    def __init__(self, path: str, limit: int = 1 << 20):
+    def __init__(self, path: str, limit: int = 1 << 18):
         self.vocabulary = Vocabulary(path)
         self.rank = {a << 32 | b: r for r, (a, b) in reversed(list(enumerate(self.vocabulary.merges)))}
         self.limit = limit
