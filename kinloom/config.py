@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -24,7 +28,8 @@ class Overlap:
     min_matches: int = 5
     offset_tolerance: int = 100
     strand_majority: float = 0.80
-    max_overlaps: int | None = 10_000_000
+    #: Overlaps kept, in the order of the reads' ids (None: all). A limit that leaves some out says how many.
+    max_overlaps: int | None = None
     #: Minimizers found in more reads than this are left out (None: none are).
     max_bucket: int | None = None
 
@@ -106,29 +111,82 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir. One of our own only where that is unset and all tasks run
+    in this machine's session (local mode), as in tests; a cluster without a shared folder is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="kinloom-")
-        if not known.isDefined():
-            spark.sparkContext.setCheckpointDir(named)
+        if known.isDefined():
+            return known.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix=f"{PACKAGE}-")
+        spark.sparkContext.setCheckpointDir(named)
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), ignore_errors=True)
     return named.rstrip("/")
 
 
+_kept: dict[str, list[str]] = {}  # by application, the folders written and not yet deleted
+
+
+_open = threading.local()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one; cleared() deletes it, if drop_path() hasn't before."""
+    path = f"{shared_dir(spark)}/{PACKAGE}-{name}-{uuid.uuid4().hex}"
+    _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if getattr(_open, "scopes", None):
+        _open.scopes[-1].append(path)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths = _kept.get(spark.sparkContext.applicationId, [])
+    if path in paths:
+        paths.remove(path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes every folder this application has written for itself: to be called once results have been saved, as
+    tables that were returned may still be read from there."""
+    for path in list(_kept.get(spark.sparkContext.applicationId, [])):
+        drop_path(spark, path)
+
+
+class Written:
+    """A table written to the shared folder and read again: its lineage ends here, and lost executors do not
+    matter to what comes after."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark = df.sparkSession
+        self.path = new_path(self.spark, name)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        drop_path(self.spark, self.path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read again: its lineage ends here, and lost executors
-    do not matter to what comes after."""
-    path = f"{shared_dir(df.sparkSession)}/kinloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table that written() returned."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rsplit("/", 1)[0]) if df.inputFiles() else None
-    if at is not None:
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return Written(df, name).df
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns, written; the tables that it wrote on its way are deleted."""
+    _open.scopes = [*getattr(_open, "scopes", []), []]
+    try:
+        out = Written(make(), name)
+    finally:
+        scope = _open.scopes.pop()
+    for path in scope:
+        if path != out.path:
+            drop_path(spark, path)
+    if _open.scopes:
+        _open.scopes[-1].append(out.path)
+    return out.df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -149,17 +149,17 @@ def substitutions(df: DataFrame, read: str = "read_seq", path: str = "path_seq")
 
 
 def somatic_deltas(contigs: DataFrame, refs: DataFrame, match: int = 1, mismatch: int = -2, gap_open: int = 4, gap_extend: int = 2) -> DataFrame:
-    """contigs: (branch_id, seq); refs: (ref_name, ref_seq), the first sequence of each reference, a list
-    given by hand. Rows (branch_id, ref_name, branch_bp, ref_bp, edits, identity). Equal sequences and empty
+    """contigs: (contig_id, seq); refs: (ref_name, ref_seq), the first sequence of each reference, a list
+    given by hand. Rows (contig_id, ref_name, contig_bp, ref_bp, edits, identity). Equal sequences and empty
     ones are decided before the alignment."""
-    pairs = contigs.select("branch_id", "seq").crossJoin(F.broadcast(refs.select("ref_name", "ref_seq")))  # the stated references against all rows
+    pairs = contigs.select("contig_id", "seq").crossJoin(F.broadcast(refs.select("ref_name", "ref_seq")))  # the stated references against all rows
     longest = F.greatest(F.length("seq"), F.length("ref_seq"))
     sure = (F.col("seq") == F.col("ref_seq")) | (F.length("seq") == 0) | (F.length("ref_seq") == 0)
     plain = pairs.where(sure).withColumn("edits", F.when(F.col("seq") == F.col("ref_seq"), 0).otherwise(longest).cast("int"))
     rest = _mapped(pairs.where(~sure), ["seq", "ref_seq"], lambda q, t: affine_edits(q, t, match, mismatch, gap_open, gap_extend)[0], "edits", "int", lambda pa: pa.int32())
     both = plain.unionByName(rest)
     identity = F.when(longest > 0, 1 - F.col("edits") / longest).otherwise(1.0)
-    return both.select("branch_id", "ref_name", F.length("seq").alias("branch_bp"), F.length("ref_seq").alias("ref_bp"), "edits", identity.alias("identity"))
+    return both.select("contig_id", "ref_name", F.length("seq").alias("contig_bp"), F.length("ref_seq").alias("ref_bp"), "edits", identity.alias("identity"))
 
 
 def places(seq: str, pattern: str, most: int) -> np.ndarray:

@@ -15,7 +15,7 @@ from ..functions.sequence import gc_content, iqr, jaccard, kmers, logistic, wils
 from .graph import Graph
 
 # The labels.
-SPLIT, DUPLICATION, MIXED, NONSEPARABLE = "Branch", "Duplication", "Mixed", "NonSeparable"
+SPLIT, DUPLICATION, MIXED, NONSEPARABLE = "Split", "Duplication", "Mixed", "NonSeparable"
 
 
 def candidates(bubbles: DataFrame, graph: Graph) -> DataFrame:

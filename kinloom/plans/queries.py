@@ -207,7 +207,7 @@ def f13_bands(spark, sf_dir):
 
 def _cascade_sql(c: Cascade = Cascade()) -> str:
     prior = "greatest(segdup, repeat_)"
-    return f"""SELECT bubble_id, CASE WHEN length < {c.min_length} THEN 'NonSeparable' WHEN flank >= {c.flank_exit} THEN 'Branch' WHEN depth >= {c.depth_dup} THEN 'Duplication' WHEN span >= {c.span} THEN 'Branch'
+    return f"""SELECT bubble_id, CASE WHEN length < {c.min_length} THEN 'NonSeparable' WHEN flank >= {c.flank_exit} THEN 'Split' WHEN depth >= {c.depth_dup} THEN 'Duplication' WHEN span >= {c.span} THEN 'Split'
             WHEN {prior} > {c.prior} THEN 'Duplication' WHEN flank >= {c.mixed_flank} AND depth >= {c.mixed_depth} THEN 'Mixed' ELSE 'NonSeparable' END AS label,
         round(CASE WHEN length < {c.min_length} THEN 0 WHEN flank >= {c.flank_exit} THEN flank WHEN depth >= {c.depth_dup} THEN least(1, depth / {1.5 * c.depth_dup}) WHEN span >= {c.span} THEN span
             WHEN {prior} > {c.prior} THEN {prior} WHEN flank >= {c.mixed_flank} AND depth >= {c.mixed_depth} THEN least(flank, depth / {c.depth_dup}) ELSE {c.emit} END, 6) AS confidence,
@@ -229,7 +229,7 @@ def _decide_sql(c: Disambiguator = Disambiguator()) -> str:
     rules AS (SELECT *, CASE WHEN length < {c.min_length} OR (depth <= 0 AND span <= 0 AND flank <= 0) THEN 0 WHEN flank >= {c.split_flank} AND span >= {c.split_span} AND abs(depth - {c.depth_one}) <= {c.split_depth} AND br >= {c.emit} THEN 1
         WHEN flank >= {c.mixed_flank} AND depth >= {c.mixed_depth} AND mi >= {c.emit} THEN 2 WHEN depth >= {c.dup_depth} AND flank < {c.split_flank} AND du >= {c.emit} THEN 3
         WHEN greatest(br, du, mi) < {c.emit} THEN 4 WHEN br >= du AND br >= mi THEN 1 WHEN du >= mi THEN 3 ELSE 2 END AS rule FROM fused)
-    SELECT bubble_id, CASE rule WHEN 1 THEN 'Branch' WHEN 2 THEN 'Mixed' WHEN 3 THEN 'Duplication' ELSE 'NonSeparable' END AS label,
+    SELECT bubble_id, CASE rule WHEN 1 THEN 'Split' WHEN 2 THEN 'Mixed' WHEN 3 THEN 'Duplication' ELSE 'NonSeparable' END AS label,
         round(CASE rule WHEN 0 THEN 0 WHEN 1 THEN br WHEN 2 THEN mi WHEN 3 THEN du ELSE greatest(br, du, mi) END, 6) AS confidence FROM rules"""
 
 
@@ -491,8 +491,8 @@ def p4_somatic(spark, sf_dir):
     """parts' names against the names of the regions."""
     seq = F.translate(F.lower(F.regexp_replace("r_name", "[^A-Za-z]", "")), tables.LETTERS, tables.BASES)
     refs = tables.table(spark, sf_dir, "region").select(F.col("r_name").alias("ref_name"), seq.alias("ref_seq"))
-    out = alignment.somatic_deltas(tables.part_names(spark, sf_dir).withColumnRenamed("read_id", "branch_id"), refs)
-    return out.select("branch_id", "ref_name", "branch_bp", "ref_bp", "edits", r6("identity", "identity"))
+    out = alignment.somatic_deltas(tables.part_names(spark, sf_dir).withColumnRenamed("read_id", "contig_id"), refs)
+    return out.select("contig_id", "ref_name", "contig_bp", "ref_bp", "edits", r6("identity", "identity"))
 
 
 PRIMERS = [("p1", "ACGTGC", "GCATTC"), ("p2", "TTGACA", "CCATGT")]
@@ -540,18 +540,18 @@ def k5_best_mapping(spark, sf_dir):
 
 
 @query(f"""WITH {MAPPINGS}, m AS (SELECT query, max(mapq) AS best, count(*) AS n FROM mappings GROUP BY query)
-    SELECT 'node_' || p_partkey AS branch_id, p_size AS length_bp, coalesce(best, -1) < 45 AS unannotated, coalesce(n, 0) AS n_mappings FROM part LEFT JOIN m ON query = 'node_' || p_partkey""")
+    SELECT 'node_' || p_partkey AS contig_id, p_size AS length_bp, coalesce(best, -1) < 45 AS unannotated, coalesce(n, 0) AS n_mappings FROM part LEFT JOIN m ON query = 'node_' || p_partkey""")
 def p5_project(spark, sf_dir):
     """J10, A17."""
-    contigs = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("node_"), F.col("p_partkey").cast("string")).alias("branch_id"), F.col("p_size").alias("length_bp"))
+    contigs = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("node_"), F.col("p_partkey").cast("string")).alias("contig_id"), F.col("p_size").alias("length_bp"))
     out = projection.project(contigs, _mappings(spark, sf_dir), 45)
-    return out.select("branch_id", "length_bp", "unannotated", F.size("linear_mappings").cast("long").alias("n_mappings"))
+    return out.select("contig_id", "length_bp", "unannotated", F.size("linear_mappings").cast("long").alias("n_mappings"))
 
 
 @query(f"""WITH {MAPPINGS}, m AS (SELECT query, max(mapq) AS best FROM mappings GROUP BY query)
-    SELECT 's1' AS sample, '0.4.1' AS version, count(*) AS branch_count, count(*) FILTER (coalesce(best, -1) < 45) AS unannotated_count FROM part LEFT JOIN m ON query = 'node_' || p_partkey""")
+    SELECT 's1' AS sample, '0.2.0' AS version, count(*) AS n_contigs, count(*) FILTER (coalesce(best, -1) < 45) AS unannotated_count FROM part LEFT JOIN m ON query = 'node_' || p_partkey""")
 def k13_report(spark, sf_dir):
-    contigs = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("node_"), F.col("p_partkey").cast("string")).alias("branch_id"), F.col("p_size").alias("length_bp"))
+    contigs = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("node_"), F.col("p_partkey").cast("string")).alias("contig_id"), F.col("p_size").alias("length_bp"))
     return pipelines.project(contigs, _mappings(spark, sf_dir), "out/s1", 45)[1]
 
 
@@ -577,7 +577,7 @@ def s1_fastq(spark, sf_dir):
     return readers.fastq(spark, _stored(reads.select("read_id", record.alias("line")), "fastq")).select("name", "seq")
 
 
-@query(f"WITH {READS} SELECT 'd' || read_id AS branch_id, length(seq) AS length_bp FROM reads")
+@query(f"WITH {READS} SELECT 'd' || read_id AS contig_id, length(seq) AS length_bp FROM reads")
 def s11_fasta_lengths(spark, sf_dir):
     """K2, S10, S11."""
     named = tables.reads(spark, sf_dir).withColumn("name", F.concat(F.lit("d"), F.col("read_id").cast("string")))

@@ -91,10 +91,10 @@ def bubble_lines(decided: DataFrame) -> DataFrame:
 def report_json(projected: DataFrame, sample: str, version: str) -> DataFrame:
     """(part, pos, line): the report as JSON, an entry a line, so that no entry waits for another."""
     counts = projected.agg(F.count("*").alias("n"), F.count_if("unannotated").alias("u"))
-    head = counts.select(F.lit(0).alias("part"), F.lit("").alias("pos"), F.concat(F.lit('{"sample": ' + json.dumps(sample) + ', "version": ' + json.dumps(version) + ', "branch_count": '), F.col("n").cast("string"), F.lit(', "unannotated_count": '), F.col("u").cast("string"), F.lit(', "branches": [')).alias("line"))
-    last = projected.agg(F.max("branch_id").alias("last"))
+    head = counts.select(F.lit(0).alias("part"), F.lit("").alias("pos"), F.concat(F.lit('{"sample": ' + json.dumps(sample) + ', "version": ' + json.dumps(version) + ', "n_contigs": '), F.col("n").cast("string"), F.lit(', "unannotated_count": '), F.col("u").cast("string"), F.lit(', "contigs": [')).alias("line"))
+    last = projected.agg(F.max("contig_id").alias("last"))
     body = F.to_json(F.struct(*[c for c in projected.columns]), {"ignoreNullFields": "false"})
-    rows = projected.crossJoin(F.broadcast(last)).select(F.lit(1), F.col("branch_id"), F.concat(body, F.when(F.col("branch_id") < F.col("last"), ",").otherwise("")))  # one row
+    rows = projected.crossJoin(F.broadcast(last)).select(F.lit(1), F.col("contig_id"), F.concat(body, F.when(F.col("contig_id") < F.col("last"), ",").otherwise("")))  # one row
     foot = projected.sparkSession.createDataFrame([(2, "", "]}")], "part int, pos string, line string")
     return head.union(rows).union(foot)
 

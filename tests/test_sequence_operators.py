@@ -101,11 +101,11 @@ def feature_rows(spark, rows):
 def test_decisions(spark):
     df = feature_rows(spark, [(0.99, 1.0, 0.95, 2000), (0.40, 2.10, 0.30, 2000), (0.85, 1.60, 0.50, 2000), (0.99, 1.0, 0.95, 100), (0, 0, 0, 900)])
     got = [(r.label, r.confidence) for r in classify.disambiguate(df).orderBy("bubble_id").collect()]
-    assert [x for x, _ in got] == ["Branch", "Duplication", "Mixed", "NonSeparable", "NonSeparable"]
+    assert [x for x, _ in got] == ["Split", "Duplication", "Mixed", "NonSeparable", "NonSeparable"]
     assert got[0][1] >= 0.9 and got[1][1] >= 0.85 and 0.4 <= got[2][1] <= 0.85 and got[3][1] == got[4][1] == 0
     cascade = feature_rows(spark, [(0.99, 3, 0, 900), (0.5, 2.4, 0, 900), (0.5, 1, 0.6, 900), (0.75, 1.6, 0.1, 900), (0.1, 1, 0.1, 900), (0.1, 1, 0.1, 400)])
     rows = [(r.label, round(r.confidence, 3), r.stage) for r in classify.cascade(cascade).orderBy("bubble_id").collect()]
-    assert rows == [("Branch", 0.99, 0), ("Duplication", 0.8, 1), ("Branch", 0.6, 2), ("Mixed", 0.75, 3), ("NonSeparable", 0.5, 3), ("NonSeparable", 0.0, 0)]
+    assert rows == [("Split", 0.99, 0), ("Duplication", 0.8, 1), ("Split", 0.6, 2), ("Mixed", 0.75, 3), ("NonSeparable", 0.5, 3), ("NonSeparable", 0.0, 0)]
 
 
 def test_decomposition(spark):
@@ -214,13 +214,13 @@ def test_amplicons(spark):
 def test_projection(spark):
     m = spark.createDataFrame([("b1", "r2", 30), ("b1", "r1", 30), ("b2", "r1", 5)], "query string, ref_name string, mapq int").select("*", *[F.lit(0).cast("long").alias(c) for c in ("query_start", "query_end", "target_start", "target_end")], F.lit("t").alias("target"), F.lit("+").alias("strand"), F.lit(1.0).alias("identity"))
     assert {(r.query, r.ref_name) for r in projection.best_mappings(m, {"r1": 0, "r2": 1}).collect()} == {("b1", "r1"), ("b2", "r1")}
-    rows, head = pipelines.project(spark.createDataFrame([("b1", 10), ("b2", 20), ("b3", 30)], "branch_id string, length_bp long"), m, "x/s.json", 20)
-    assert tuple(head.head()) == ("s", "0.4.1", 3, 2)
-    lines = [r.line for r in writers.report_json(rows, "s", "0.4.1").orderBy("part", "pos").collect()]
+    rows, head = pipelines.project(spark.createDataFrame([("b1", 10), ("b2", 20), ("b3", 30)], "contig_id string, length_bp long"), m, "x/s.json", 20)
+    assert tuple(head.head()) == ("s", "0.2.0", 3, 2)
+    lines = [r.line for r in writers.report_json(rows, "s", "0.2.0").orderBy("part", "pos").collect()]
     import json
 
     made = json.loads("\n".join(lines))
-    assert made["branch_count"] == 3 and [b["unannotated"] for b in made["branches"]] == [False, True, True] and made["branches"][2]["vaf"] is None
+    assert made["n_contigs"] == 3 and [b["unannotated"] for b in made["contigs"]] == [False, True, True] and made["contigs"][2]["vaf"] is None
 
 
 def test_text_formats(spark, tmp_path):
