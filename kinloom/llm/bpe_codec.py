@@ -38,7 +38,7 @@ class Automaton:
 
     START = -1
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 1 << 16):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 1 << 17):
         merges, label = vocabulary.merges, vocabulary.label
         self.left, self.right = [0] * 256 + [u for u, _ in merges], [0] * 256 + [v for _, v in merges]
         self.fired: dict[int, int] = {}  # merges whose gadget had an arc to take away, and their ranks
@@ -61,6 +61,7 @@ class Automaton:
                         inner.append(False)
                     node = self.child[at]
                 self.token[node] = t
+        self.first = {label[t]: t for t in range(len(label)) if opens[t] and label[t]}  # arcs of the first state
         self.inner, self.size, self.limit = inner, [len(x) for x in label], limit
         self.emptied()
 
@@ -80,64 +81,73 @@ class Automaton:
                 gadgets, t = t - 255, self.left[t]
 
     def emptied(self) -> None:
-        begin = ((self.START, 0),)
-        self.states, self.number, self.step = [begin], {begin: 0}, {}
+        begin = struct.pack("<ii", self.START, 0)
+        self.states, self.ended, self.number, self.step = [begin], [self.START], {begin: 0}, {}
 
     def moved(self, state: int, byte: int) -> int:
         """The state that a byte leads to, which the table doesn't hold yet; its last pair is (the token that ends here, root)."""
-        pairs, ended = [], None
-        for p, node in self.states[state]:
-            to = self.child.get(node << 8 | byte)
+        was, pairs, ended = self.states[state], [], None
+        flat = struct.unpack(f"<{len(was) // 4}i", was)
+        child, token, inner = self.child, self.token, self.inner
+        for p, node in zip(flat[::2], flat[1::2]):
+            to = child.get(node << 8 | byte)
             if to is not None:
-                t = self.token[to]
-                if t >= 0 and ended is None and (p < 0 or self.arc(p, t)):
+                if ended is None and (t := token[to]) >= 0 and (p < 0 or self.arc(p, t)):
                     ended = t
-                if self.inner[to]:
-                    pairs.append((p, to))
-        pairs = (*pairs, (ended, 0))
-        at = self.number.get(pairs)
+                if inner[to]:
+                    pairs += (p, to)
+        packed = struct.pack(f"<{len(pairs) + 2}i", *pairs, ended, 0)
+        at = self.number.get(packed)
         if at is None:
             if len(self.states) >= self.limit:
                 self.emptied()
                 state = None
-            at = self.number[pairs] = len(self.states)
-            self.states.append(pairs)
+            at = self.number[packed] = len(self.states)
+            self.states.append(packed)
+            self.ended.append(ended)
         if state is not None:
             self.step[state << 8 | byte] = at
         return at
 
     def tokens(self, piece: bytes) -> list[int]:
-        """The only accepted way to read the piece."""
-        state, ended, step, states = 0, [], self.step, self.states
+        """The only accepted way to read the piece: an arc of the first state, if it has one for all of it."""
+        whole = self.first.get(piece)
+        if whole is not None:
+            return [whole]
+        state, ends, step, ended = 0, [], self.step, self.ended
         for byte in piece:
             to = step.get(state << 8 | byte)
             if to is None:
                 to = self.moved(state, byte)
-                step, states = self.step, self.states
+                step, ended = self.step, self.ended
             state = to
-            ended.append(states[state][-1][0])
+            ends.append(ended[state])
         read, at = [], len(piece)
         while at:
-            read.append(ended[at - 1])
+            read.append(ends[at - 1])
             at -= self.size[read[-1]]
         return read[::-1]
 
 
 class Codec(dict):
-    """pre-token -> ids as little-endian 32-bit integers; short ones are remembered, up to `limit`."""
+    """pre-token -> ids as little-endian 32-bit integers; short ones are remembered, up to `limit` and those of them
+    that were asked for again as many before."""
 
-    def __init__(self, path: str, limit: int = 1 << 17):
+    def __init__(self, path: str, limit: int = 1 << 18):
         self.vocabulary = v = Vocabulary(path)
         self.automaton = Automaton(v)
-        self.limit = limit
+        self.limit, self.before = limit, {}
         self.label = {i: x for i, x in zip(v.id_of, v.label) if x} | {i: s.encode("utf-8") for s, i in v.added.items()}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.vocabulary.id_of
-        read = self.automaton.tokens(piece.encode("utf-8"))
-        packed = struct.pack(f"<{len(read)}I", *[ids[t] for t in read])
+        packed = self.before.get(piece)
+        if packed is None:
+            ids = self.vocabulary.id_of
+            read = self.automaton.tokens(piece.encode("utf-8"))
+            packed = struct.pack(f"<{len(read)}I", *[ids[t] for t in read])
         if len(piece) <= 48:
             if len(self) >= self.limit:
+                self.before = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
