@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import shared_dir, ship
+from ..config import Written, new_path, settled, ship  # noqa: F401
 
 #: Texts that an Arrow function takes at a time.
 SLICE = 256
@@ -25,23 +24,12 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-class Written:
-    """A table written to the shared folder: it cuts the lineage and outlives lost executors."""
+def opened(uri: str, write: bool = False):
+    """A file of the shared folder, from any task."""
+    from pyarrow import fs
 
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/kinloom-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        drop_path(self.spark, self.path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_output_stream(path, compression=None) if write else system.open_input_file(path)
 
 
 class WordHashes(dict):
