@@ -4,9 +4,11 @@ Writing: pages with equal payloads (by SHA-1) keep one response, that of the lar
 revisit records that refer to it. Each task writes a file of its own name and returns it; the table of the
 returned names is the archive, so that a task that was lost or run twice leaves only a file nobody reads.
 
-Reading: a task takes a byte range, scans it for gzip's magic number, decodes the start of each candidate
-and goes on only if a WARC header comes out; it owns the records that start in its range, also where they
-end beyond it. After an owned record the next begins at once, or the scan starts anew.
+Reading: a task takes a byte range, scans it for gzip's magic number, decodes each candidate until its first bytes
+come out (a member's own header may be of any length) and goes on only if these begin a WARC header; it owns the records
+that start in its range, also where they end beyond it. After an owned record the next begins at once, or the scan starts anew.
+A member that begins as a WARC record and is damaged or cut off ends the job with an error that names its place, or,
+where the caller asks, is a row of type "damaged"; the scan goes on behind its first byte.
 
 A null html is an empty payload; a page with a null id is a response, and no other record refers to it;
 rows that repeat the largest id of their payload are all responses; an empty table gives an archive without
@@ -25,24 +27,19 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, shared_dir, ship
+from .common import Written, new_path, opened, ship
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
 SLICE = 1 << 16
 LEAST = 4096
+BEGIN = b"WARC/1."
+SALT = 16
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, file string, offset long"
 
 
-def opened(uri: str, write: bool = False):
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
-    return system.open_output_stream(path, compression=None) if write else system.open_input_file(path)
-
-
 def member(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One record as a gzip member."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -81,25 +78,36 @@ def parsed(raw: bytes) -> tuple | None:
     return number(head.get("warc-record-id")), head.get("warc-target-uri"), kind, None if length is None else int(length), said, number(head.get("warc-refers-to")), None
 
 
+class Damaged(ValueError):
+    """A member that begins as a WARC record and can't be decoded to its end."""
+
+
 def decoded(read, at: int) -> tuple[bytes, int] | None:
-    """The member that begins at byte `at` and where it ends; None if none does. read(at) gives bytes."""
-    out, unpack = [], zlib.decompressobj(31)
+    """The member that begins at byte `at` and where it ends; None if none does, an error if one does that is
+    damaged. read(at) gives bytes."""
+    out, unpack, size, begins = [], zlib.decompressobj(31), 0, False
     while not unpack.eof:
-        chunk = read(at) if out else read(at)[:512]
-        if not chunk:
-            return None
+        chunk = read(at) if begins else read(at)[:512]
         try:
+            if not chunk:
+                raise EOFError
             out.append(unpack.decompress(chunk))
-        except zlib.error:
-            return None
-        if len(out) == 1 and not out[0].startswith(b"WARC/1."):
+        except (zlib.error, EOFError) as e:
+            if begins:
+                raise Damaged("cut off" if isinstance(e, EOFError) else str(e)) from None
             return None
+        size += len(out[-1])
+        if not begins and size:
+            start = b"".join(out)[: len(BEGIN)]
+            if not BEGIN.startswith(start):
+                return None
+            begins = len(start) == len(BEGIN)
         at += len(chunk)
-    return b"".join(out), at - len(unpack.unused_data)
+    return (b"".join(out), at - len(unpack.unused_data)) if begins else None
 
 
-def records(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, decoded member) of the members that start in [start, end) of an open file."""
+def records(f, start: int, end: int) -> Iterator[tuple[int, bytes | Damaged]]:
+    """(offset, decoded member or what is wrong with it) of the members that start in [start, end) of an open file."""
     held, past = [0, b""], [None]  # a block of the file, and where the file ends once that is known
 
     def read(at: int) -> bytes:
@@ -120,7 +128,12 @@ def records(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
             k = chunk.find(MAGIC, 1)
             at += k if k > 0 else max(1, len(chunk) - 2)  # it may begin in the last two bytes
             continue
-        if (got := decoded(read, at)) is None:
+        try:
+            got = decoded(read, at)
+        except Damaged as e:
+            got = None
+            yield at, e
+        if got is None:
             at += 1
             continue
         yield at, got[0]
@@ -132,14 +145,18 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     Payloads under min_bytes are never revisits."""
     spark = pages.sparkSession
     ship(spark)
-    folder = folder or f"{shared_dir(spark)}/kinloom-warc-{uuid.uuid4().hex}"
+    folder = folder or new_path(spark, "warc")
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
     named = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    # Who refers to whom is decided on ids and digests; payloads are then dealt by page, so that one that a third of
+    # all pages share (the empty one) is no hot key. Its ids are: the digest's response is salted to them.
     named = named.withColumn("digest", F.sha1("payload"))
-    # Equal payloads are counted down to one row each before the join; AQE splits what remains of a hot one.
-    last = named.select("digest", "page_id", F.octet_length("payload").alias("n")).where(f"n >= {min_bytes}").groupBy("digest").agg(F.max("page_id").alias("response_id"))
-    joined = named.join(last, "digest", "left").select("page_id", "url", "payload", F.expr("nullif(response_id, page_id)").alias("refers_to"))
+    ids = named.where(F.col("page_id").isNotNull() & (F.octet_length("payload") >= min_bytes)).select("page_id", "digest")
+    last = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
+    last = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    revisits = ids.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")).join(last, ["digest", "salt"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    joined = named.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
 
     def written(batches):
         import pyarrow as pa
@@ -158,8 +175,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     return Written(joined.mapInArrow(written, "path string, bytes long, n_records long"), "warc-files").df
 
 
-def read_archives(files: DataFrame, split_bytes: int = 32 << 20, payloads: bool = True) -> DataFrame:
-    """The response and revisit records of the files in a table with columns path and bytes."""
+def read_archives(files: DataFrame, split_bytes: int = 32 << 20, payloads: bool = True, damaged: str = "fail") -> DataFrame:
+    """The response and revisit records of the files in a table with columns path and bytes. damaged: "fail" ends
+    the job at a damaged member, "report" gives a row of type damaged with its file and offset alone."""
+    if damaged not in ("fail", "report"):
+        raise ValueError("damaged must be fail or report")
     spark: SparkSession = files.sparkSession
     ship(spark)
     ranges = files.select("path", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split_bytes}L)")).alias("start"))
@@ -179,7 +199,11 @@ def read_archives(files: DataFrame, split_bytes: int = 32 << 20, payloads: bool
                 rows, size = [], 0
                 with opened(path) as f:
                     for offset, raw in records(f, start, start + split_bytes):
-                        if (x := parsed(raw)) is not None:
+                        if isinstance(raw, Damaged):
+                            if damaged == "fail":
+                                raise Damaged(f"{path}, byte {offset}: {raw}")
+                            rows.append((None, None, "damaged", None, None, None, None, path, offset))
+                        elif (x := parsed(raw)) is not None:
                             rows.append((*x[:6], x[6] if payloads else None, path, offset))
                             size += len(raw) if payloads else 200
                             if size > 4 << 20:
