@@ -7,9 +7,14 @@ are matched against rules, ordered sequences of identifiers: a rule holds if its
 list without another known sentence in between. Of rules that hold, one whose sequence is part of a longer
 one's is dropped.
 
+A rule table says what is recognised: MIT, Apache-2.0, the GPL family, BSD, EPL, MPL, ISC, Zlib, BSL, Unlicense and Creative Commons
+notices, and "all rights reserved"; other licences need sentences and rules of their own (parameters). Sentences are
+looked up by hash among the known ones, then only those found are given their identifiers, so thousands may be known.
+
 Whether a text needs cutting at all is told by one word of each known sentence; a text with none of these has
 no known sentence. Null or empty text: nothing found; a null id is passed on; each row of repeated ids gives
-its own row; an empty table gives no rows; columns besides the two named are not looked at.
+its own row; an empty table gives no rows; columns besides the two named are not looked at. A text of any length is cut whole; its sentences are
+one array of the row.
 """
 
 from __future__ import annotations
@@ -50,6 +55,23 @@ SENTENCES = {
     "bsd-use": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-names-2": "Neither the name of the copyright holder nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-asis": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+    "bsd-name-2": "Licensed under the BSD 2-Clause License",
+    "bsd-name-3": "Licensed under the BSD 3-Clause License",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "lgpl-details": "See the GNU Lesser General Public License for more details",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-details": "See the GNU Affero General Public License for more details",
+    "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl-1": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "boost-name": "Distributed under the Boost Software License, Version 1.0",
+    "zlib-asis": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
@@ -63,7 +85,11 @@ RULES = [
     ("GPL-2.0-or-later", ["gpl2-free"]), ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-details"]),
     ("CC-BY-4.0", ["cc-by"]), ("CC-BY-SA-4.0", ["cc-by-sa"]), ("CC-BY-NC-4.0", ["cc-by-nc"]), ("CC-BY-ND-4.0", ["cc-by-nd"]), ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa"]), ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd"]),
     ("CC0-1.0", ["cc-zero"]), ("CC-BY-4.0", ["cc-by-long"]), ("CC-BY-SA-4.0", ["cc-by-sa-long"]),
-    ("BSD-2-Clause", ["bsd-use", "bsd-source", "bsd-binary"]), ("MPL-2.0", ["mpl-notice"]), ("Unlicense", ["unlicense"]), ("ISC", ["isc-grant"]),
+    ("BSD-2-Clause", ["bsd-use", "bsd-source", "bsd-binary"]), ("BSD-3-Clause", ["bsd-use", "bsd-source", "bsd-binary", "bsd-names"]), ("BSD-3-Clause", ["bsd-use", "bsd-source", "bsd-binary", "bsd-names-2"]),
+    ("BSD-2-Clause", ["bsd-name-2"]), ("BSD-3-Clause", ["bsd-name-3"]), ("GPL-2.0-only", ["gpl2-only"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free"]), ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope", "lgpl-details"]), ("LGPL-3.0-or-later", ["lgpl3-free"]), ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-hope", "lgpl-details"]),
+    ("AGPL-3.0-or-later", ["agpl-free"]), ("AGPL-3.0-or-later", ["agpl-free", "gpl-hope", "agpl-details"]), ("EPL-2.0", ["epl-2"]), ("EPL-1.0", ["epl-1"]), ("BSL-1.0", ["boost-name"]), ("Zlib", ["zlib-asis", "zlib-grant"]),
+    ("MPL-2.0", ["mpl-notice"]), ("Unlicense", ["unlicense"]), ("ISC", ["isc-grant"]),
     ("LicenseRef-all-rights-reserved", ["reserved"]),
 ]
 ENDS = r"[.!?:;]+(?:[ \t\n\r\f\x0B]+|\z)"
@@ -112,7 +138,7 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
 
     def found(ends: str) -> Column:
         normalised = F.transform(F.split(lower, ends, -1), lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")))
-        ids = F.filter(F.transform(normalised, lambda x: F.try_element_at(lookup, x)), lambda x: x.isNotNull())
+        ids = F.transform(F.filter(normalised, lambda x: x.isin(*known)), lambda x: F.try_element_at(lookup, x))
         return F.when(some, ids).otherwise(F.array().cast("array<string>"))
 
     cut = named.select("id", found(rf"\n+|{ENDS}").alias("ids"), found(ENDS).alias("wrapped"))
