@@ -2,10 +2,13 @@
 DataFrame functions only.
 
 The places of a pattern's matches come from the text cut at the matches and the matches themselves: their
-lengths, added up, are the offsets, and their last characters, carried on, the context. Base kinds (email, ip, card, phone) are decided by their contract alone
-and are always kept. The method adds ibans (mod 97), and, where a word nearby names them, phone numbers
-without a country code and social security numbers. A score is the kind's own, and more with a confirmed
-checksum, or a context word before the span; added spans need THRESHOLD.
+lengths, added up, are the offsets, and their last characters, carried on, the context. They are added up by chunks
+of CHUNK matches and within each, so that a text with very many is no loop over copies of a growing array.
+Base kinds (email, ip, card, phone) are decided by their contract alone and are always kept. The method adds ibans (mod 97);
+where a word nearby names them, phone numbers without a country code and social security numbers; and secrets: access
+keys and tokens of known forms, and values with letters and digits that are assigned to a password, token or key.
+A score is the kind's own, and more with a confirmed checksum, or a context word before the span; added spans need
+THRESHOLD. Added spans of different kinds may overlap each other, and are listed each.
 
 A null text counts as empty: nothing found; a null id is passed on; each row of repeated ids gives its own
 row; an empty table gives no rows; columns besides the two named are not looked at. Patterns are written so
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 CONTEXT = 40  # characters before a span that are searched for context words
 THRESHOLD = 0.6
+CHUNK = 64
 
 
 @dataclass(frozen=True)
@@ -39,6 +43,7 @@ def _begin(characters: str) -> str:
 
 
 _LOCAL = "A-Za-z0-9._%+-"
+_NAMED = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key"
 KINDS = [
     Kind("email", rf"{_begin(_LOCAL)}[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@[A-Za-z0-9-]", 0.9, "mail|contact|write", True),
     Kind("ip", rf"{_begin('0-9')}[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", 0.7, "ip|host|server|address", True),
@@ -46,6 +51,9 @@ KINDS = [
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, "phone|call|tel|mobile|fax", True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", 0.3, "iban|bank|account", False),
     Kind("local_phone", r"(?<![+0-9A-Za-z.-])(?<!\+[0-9] )(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])", r"[0-9]{3}[\x20.-][0-9]{4}", 0.4, "phone|call|tel|mobile|fax", False),
+    Kind("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])", "A[KS]IA[0-9A-Z]{16}", 0.9, "key|aws", False),
+    Kind("token", r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,255}+|xox[abprs]-[A-Za-z0-9-]{10,255}+|sk-[A-Za-z0-9_-]{20,255}+|eyJ[A-Za-z0-9_-]{10,2000}+\.[A-Za-z0-9_-]{10,2000}+\.[A-Za-z0-9_-]{10,2000}+)", "gh[pousr]_[A-Za-z0-9]|xox[abprs]-|sk-[A-Za-z0-9]|eyJ[A-Za-z0-9]", 0.8, "token|key|bearer", False),
+    Kind("secret", rf"(?<=(?i:{_NAMED})[\"']?[\x20\t]{{0,4}}[:=][\x20\t]{{0,4}}[\"']?)(?<![A-Za-z0-9])[A-Za-z0-9+/_.!#$%&*@^~-]{{8,4096}}+", rf"(?i:{_NAMED})[\"']?[\x20\t]{{0,4}}[:=]", 0.7, "password|secret|token|key", False),
     Kind("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "[0-9]-[0-9]{2}-[0-9]{4}", 0.4, "ssn|social security", False),
 ]
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -89,6 +97,8 @@ def confirmed(kind: str, x: Column) -> Column:
         return (n >= 9) & (n <= 15)
     if kind == "iban":
         return F.when(F.length(F.replace(x, F.lit(" "), F.lit(""))).between(15, 34), mod97(x)).otherwise(False)
+    if kind == "secret":
+        return x.rlike("[0-9]") & x.rlike("[A-Za-z]")
     if kind == "ssn":
         return ~x.rlike("^(?:000|666|9)|-00-|0000$")
     return F.lit(True)
@@ -97,15 +107,20 @@ def confirmed(kind: str, x: Column) -> Column:
 SPAN = "struct<at:long,rank:int,kind:string,start:long,end:long,score:double>"
 
 
+def let(x: Column, of) -> Column:
+    """of(x), with x evaluated once."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
 def spans_of(rank: int, kind: Kind, text: Column) -> Column:
     """Valid spans of a kind; an empty array where the trigger isn't found."""
     pieces, matches = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    both = F.arrays_zip(pieces.alias("piece"), matches.alias("match"))
     none = F.array().cast(f"array<{SPAN}>")
+    match = lambda x: F.coalesce(x["match"], F.lit(""))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["piece"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
+        end = start + F.length(match(x))
         before = F.right(F.concat(acc["before"], x["piece"]), F.lit(CONTEXT))
         near = F.lower(before).rlike(f"(?:{kind.words})")
         checked = 0.4 if kind.name in ("card", "iban") else 0.0
@@ -115,9 +130,23 @@ def spans_of(rank: int, kind: Kind, text: Column) -> Column:
         good = x["match"].isNotNull() & confirmed(kind.name, x["match"])
         if not kind.base:
             good = good & (score >= THRESHOLD)
-        return F.struct(end.cast("long").alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"), F.right(F.concat(before, F.coalesce(x["match"], F.lit(""))), F.lit(CONTEXT)).alias("before"))
-
-    found = F.aggregate(both, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"), F.lit("").alias("before")), step, lambda acc: acc["out"])
+        return F.struct(end.cast("long").alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"), F.right(F.concat(before, match(x)), F.lit(CONTEXT)).alias("before"))
+
+    def within(chunk: Column, at: Column, before: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), none.alias("out"), before.alias("before")), step, lambda acc: acc["out"])
+
+    def by_chunks(both: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / CHUNK).cast("int")), lambda k: F.slice(both, k * CHUNK + 1, CHUNK))
+        told = F.transform(chunks, lambda c: let(F.array_join(F.transform(c, lambda x: F.concat(x["piece"], match(x))), ""), lambda t: F.struct(c.alias("c"), F.length(t).cast("long").alias("n"), F.right(t, F.lit(CONTEXT)).alias("tail"))))
+        begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("before"))
+        begins = lambda t: F.aggregate(
+            t, F.struct(begin.alias("now"), F.array().cast("array<struct<at:long,before:string>>").alias("out")),
+            lambda acc, c: F.struct(F.struct((acc["now"]["at"] + c["n"]).alias("at"), F.right(F.concat(acc["now"]["before"], c["tail"]), F.lit(CONTEXT)).alias("before")).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+        return let(told, lambda t: F.flatten(F.zip_with(t, begins(t), lambda c, b: within(c["c"], b["at"], b["before"]))))
+
+    found = let(F.arrays_zip(pieces.alias("piece"), matches.alias("match")), lambda both: F.when(F.size(both) > CHUNK, by_chunks(both)).otherwise(within(both, F.lit(0).cast("long"), F.lit(""))))
     return F.when(text.rlike(kind.trigger), found).otherwise(none)
 
 
