@@ -3,7 +3,7 @@
 Word hashes are combined into rolling hashes of each n-gram length with numpy; a sort finds the n-grams
 found twice or more, and a difference array the words that they cover. A text is rejected if its base
 counts fail, or if the share of its word characters in duplicated lines, or in n-grams duplicated beyond
-their first occurrence, passes the limit of that length.
+their first occurrence, passes the limit of that length and these are more than `allowed` characters.
 
 A null text counts as one without words (n_words 0, base_failed, not kept); a null id is passed on; each
 row of repeated ids gives its own row; an empty table gives no rows; columns besides the two named are not
@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import SLICE, WordHashes, by_batch, field_type, two_columns
 
-#: Largest shares of characters in n-grams found before in the text, by length, and in lines found before.
-#: The published limits run from 0.15 to 0.10; a clean short text with one boilerplate line repeated lies at
-#: 0.14, one made of repetitions over 0.5.
-NGRAM_LIMITS = {5: 0.20, 6: 0.20, 7: 0.20, 8: 0.20, 9: 0.20, 10: 0.20}
+#: Largest shares of characters in n-grams found before in the text, by length, and in lines found before: the
+#: published limits.
+NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_LIMIT = 0.20
+#: Characters found before that never reject a text: an ordinary line said twice is a large share of a short text, but no
+#: repetition that tells anything of it.
+ALLOWED = 100
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
 
@@ -72,7 +74,7 @@ def covered(starts: np.ndarray, n: int, words: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def measured(text: str, limits: dict[int, float], line_limit: float) -> tuple:
+def measured(text: str, limits: dict[int, float], line_limit: float, allowed: int = ALLOWED) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, whether the method's verdict is good,
     the share in duplicated lines and the largest share in duplicated n-grams."""
     raw = text.encode("utf-8")
@@ -89,7 +91,7 @@ def measured(text: str, limits: dict[int, float], line_limit: float) -> tuple:
             else:
                 seen.add(line)
     line_share = dup_chars / word_chars if word_chars else 0.0
-    good, worst, repeat = line_share <= line_limit, 0.0, 0
+    good, worst, repeat = line_share <= line_limit or dup_chars <= allowed, 0.0, 0
     shortest = min([REPEAT_WINDOW, *limits])
     if n >= shortest:
         h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, n)
@@ -105,12 +107,13 @@ def measured(text: str, limits: dict[int, float], line_limit: float) -> tuple:
                 if k in limits:
                     if length is None:
                         length = np.fromiter((len(w.decode("utf-8")) for w in words), np.int64, n)
-                    share = float(length[covered(again, k, n)].sum()) / word_chars
-                    worst, good = max(worst, share), good and share <= limits[k]
+                    chars = int(length[covered(again, k, n)].sum())
+                    share = chars / word_chars
+                    worst, good = max(worst, share), good and (share <= limits[k] or chars <= allowed)
     return n, word_chars, int(kinds[_SYMBOL]), dup_lines, repeat, good, line_share, worst
 
 
-def quality(docs: DataFrame, ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def quality(docs: DataFrame, ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT, allowed: int = ALLOWED, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
     (under 20 words, or over 30 % of them in repeated windows), kept, dup_line_share, dup_ngram_share; and
     the columns named in carry, unchanged."""
@@ -126,7 +129,7 @@ def quality(docs: DataFrame, ngram_limits: dict[int, float] | None = None, line_
 
         rows = []
         for t in many:
-            n, chars, symbols, lines, repeat, good, by_line, by_ngram = measured(t, limits, line_limit)
+            n, chars, symbols, lines, repeat, good, by_line, by_ngram = measured(t, limits, line_limit, allowed)
             failed = n < 20 or 100 * repeat > 30 * n
             rows.append((n, chars, symbols, lines, repeat, failed, good and not failed, by_line, by_ngram))
         return {c: pa.array([r[i] for r in rows], getattr(pa, k + "_" * (k == "bool"))()) for i, (c, k) in enumerate(kinds.items())}

@@ -82,14 +82,17 @@ ORACLES = {
         r AS (SELECT doc_id, k, i, count(*) OVER (PARTITION BY doc_id, k, gram) AS n, row_number() OVER (PARTITION BY doc_id, k, gram ORDER BY i) AS at_ FROM h),
         c AS (SELECT DISTINCT doc_id, k, unnest(range(i, i + k)) AS i FROM r WHERE at_ > 1),
         p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
-        share AS (SELECT doc_id, max(chars) AS chars FROM (SELECT doc_id, k, sum(length(word)) AS chars FROM c JOIN p USING (doc_id, i) GROUP BY doc_id, k) GROUP BY doc_id),
+        t AS (SELECT doc_id, sum(length(word)) AS total FROM p GROUP BY doc_id),
+        grams AS (SELECT doc_id, k, sum(length(word)) AS chars FROM c JOIN p USING (doc_id, i) GROUP BY doc_id, k),
+        share AS (SELECT doc_id, bool_or(chars > 100 AND chars / total > (CASE k WHEN 5 THEN 0.15 WHEN 6 THEN 0.14 WHEN 7 THEN 0.13 WHEN 8 THEN 0.12 WHEN 9 THEN 0.11 ELSE 0.10 END)::DOUBLE) AS bad
+                  FROM grams JOIN t USING (doc_id) GROUP BY doc_id),
         rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM r WHERE k = 8 AND n > 1) GROUP BY doc_id),
         b AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-                     coalesce(n_dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(dup_chars, 0) AS dup_chars, coalesce(share.chars, 0) AS gram_chars
+                     coalesce(n_dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(dup_chars, 0) AS dup_chars, coalesce(share.bad, false) AS bad_grams
               FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN share USING (doc_id) LEFT JOIN rep USING (doc_id)),
         f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT base_failed AND dup_chars / word_chars <= 0.2 AND gram_chars / word_chars <= 0.2 AS kept
+               NOT base_failed AND (dup_chars <= 100 OR dup_chars / word_chars <= 0.2) AND NOT bad_grams AS kept
         FROM f""",
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
