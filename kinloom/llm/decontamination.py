@@ -3,10 +3,10 @@
 A text is brought to a template: numbers, names and units become typed slots, other words lose case and
 punctuation. Windows of n template words of the documents are hash-joined with those of the benchmark items.
 The matches of a document and an item are put together by alignment (the difference of their places), and an
-alignment stands only if its slots are consistent: one value of the item is always one value of the document,
-and the other way round. So a question with other numbers and names in it is caught, and a text that merely
-has the same shape is not. A document holds an item if the standing alignments have at least `share` of the
-item's windows.
+alignment stands only if its slots are consistent: one value of the item is always one value of the document (two
+values of the item may have become one). So a question with other numbers and names in it is caught, and a text
+that has another value where the item repeats one is not. A document holds an item if the standing alignments have at least
+`share` of the item's windows.
 
 Whether a capitalised word is a name can't be told where a sentence, a line or a text may begin, and not at all
 in a text that has lost its capitals. So a window has up to three readings, each with its own key and its own
@@ -16,11 +16,14 @@ number as it is. The last stands only where the first isn't inconsistent.
 The benchmark's windows are broadcast if they are at most BROADCAST_WINDOWS (they are counted); beyond it the
 documents' windows are shuffled to them, by hash. Windows of slots alone, or with fewer than half words, are
 not looked up with slots, and don't count; but where an item has no others, all count and are looked up as they
-are. An item with fewer than n words is one window, looked up as it is wherever a document has these words, and
-with slots as a whole text.
+are. An item with fewer than n words is one window, looked up as it is wherever a document has these words in a row
+(with slots it would be found in texts that have nothing to do with it), and with slots as a whole text.
 
 Null texts hold nothing; rows with a null id take part and give rows with a null id; rows that repeat an id
-are one document; an empty table on either side gives no rows; columns besides those named are not looked at.
+are one document; an empty table on either side gives no rows; columns besides those named are not looked at. Equal
+items each have their own rows. Texts are taken whole; of a very long one a task holds its windows one at a time, and
+the words of the text a few times over. A name of two words that was one before moves what follows, so that it counts as two
+alignments, which are consistent each by itself.
 """
 
 from __future__ import annotations
@@ -106,7 +109,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, share:
     lined = met.groupBy("id", "item", "shift").agg(*[of(r, "item_at").alias(f"ats{r}") for r in range(3)], *[F.array_distinct(F.flatten(of(r, "slots"))).alias(f"slots{r}") for r in range(3)])
     values = lambda r, c: F.size(F.array_distinct(F.transform(f"slots{r}", lambda x: x[c])))
     # Words as they are stand where names, as far as they are known, don't contradict them.
-    stands = [(values(r, "i") == F.size(f"slots{r}")) & (values(r, "d") == F.size(f"slots{r}")) for r in (0, 1, 0)]
+    stands = [values(r, "i") == F.size(f"slots{r}") for r in (0, 1, 0)]
     standing = lined.select("id", "item", *[F.when(x, F.col(f"ats{r}")).otherwise(F.array().cast("array<int>")).alias(f"ats{r}") for r, x in enumerate(stands)], F.greatest(*[F.when(x, F.size(f"slots{r}")).otherwise(0) for r, x in enumerate(stands)]).alias("checked"))
     found = standing.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.concat("ats0", "ats1", "ats2"))))).cast("long").alias("n_matched"), F.max("checked").cast("long").alias("n_slots"))
     out = found.join(F.broadcast(total) if small else total, "item").withColumn("share", F.round(F.col("n_matched") / F.col("n_windows"), 6)).where(F.col("share") >= share)
