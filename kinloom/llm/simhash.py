@@ -15,6 +15,7 @@ besides the two named are not looked at. Words of whole texts are taken, in bloc
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations, islice, repeat
 
 import numpy as np
@@ -22,16 +23,32 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, by_batch, two_columns
+from .common import Written, by_batch, settled, two_columns
 from .components import components
+from .perfect_hash import mixed
+from .shards import BATCHES_PER_SHARD, MOST_DOCS, batch_of, by_shard, packed
 
 BLOCK = 1 << 16
 #: Distinct fingerprints with an equal segment beyond which they are linked by names.
 BUCKET = 64
 
 
+def blocks(hashes: Iterator[int]) -> Iterator[np.ndarray]:
+    while len(h := np.fromiter(islice(hashes, BLOCK), np.uint64)):
+        yield h
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """Signed 64 bits: a bit is set if over half the hashes have it."""
+    total, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits((2 * total > n).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
-    """Signed 64 bits: a bit is set if over half the shingles' hashes have it."""
+    """The fingerprint of a text, from the hashes of its shingles."""
     words = text.encode("utf-8").lower().split()
     if not words:
         return 0
@@ -39,11 +56,7 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
         shingles = iter([b" ".join(words)])
     else:
         shingles = map(b" ".join, zip(*(islice(words, i, None) for i in range(shingle))))
-    hashes, total, n = map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.zeros(64, np.int64), 0
-    while len(h := np.fromiter(islice(hashes, BLOCK), np.uint64)):
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(h)
-    return int(np.packbits((2 * total > n).astype(np.uint8), bitorder="little").view(np.int64)[0])
+    return majority(blocks(map(xxhash.xxh64_intdigest, shingles, repeat(seed))))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,6 +120,10 @@ def classes(points: DataFrame, **how) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, segments: int = 2, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (the least id reachable over links
     of at most `distance` differing bits)."""
+    return settled(docs.sparkSession, lambda: _near_duplicates(docs, shingle, distance, segments, bucket, id_col, text_col), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, distance: int, segments: int, bucket: int, id_col: str, text_col: str) -> DataFrame:
     prints = Written(fingerprints(docs, shingle, id_col, text_col), "fingerprints").df
     points = Written(prints.groupBy("fp").agg(F.min("id").alias("rep")), "points").df
     of = classes(points.where("rep IS NOT NULL"), distance=distance, segments=segments, bucket=bucket)
@@ -114,14 +131,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, segmen
     return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Groups by similarity: shared rare shingles propose, the sets of shingles decide.
+# Groups by similarity: fingerprints and shared rare shingles propose, the sets of shingles decide.
 #
-# Of two sets of a similarity of t or more, the first n - ceil(t n) + 1 shingles of each, in any order that is
-# common to all sets, share one: each set names these as keys, the shingles that few documents hold first, and
-# no pair is missed. A pair is compared unless its sizes or its bitmaps (a bit for each of 512 parts of the
-# hashes' range, telling whether the set holds an odd number there: sets differ in at least as many shingles as
-# bitmaps in bits) rule it out. The holders of a key are first compared with the least of them; then all pairs that
-# are still in different groups are, in blocks where more than `bucket` documents hold the key.
+# Documents whose fingerprints (over the longer shingles) are linked are proposed first, by the same multi-index hashing. Similar
+# documents whose fingerprints differ in more bits share rare shingles: of two sets of a similarity of t or more, the first
+# n - ceil(t n) + 1 shingles of each, in any order that is common to all sets, share one. Each set names these as keys,
+# the shingles that few documents hold first, and no pair is missed. Keys are told to shards by batches of documents
+# (shards.py), and only those that several hold come back. A pair is compared unless its sizes or its bitmaps (a bit for
+# each of 512 parts of the hashes' range, telling whether the set holds an odd number there: sets differ in at least as
+# many shingles as bitmaps in bits) rule it out. The holders of a key are first compared with the least of them; then all
+# pairs that are still in different groups are, in blocks where more than `bucket` documents hold the key.
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Documents whose shingles are counted to find the frequent ones, and how many of these are told apart. Both
@@ -130,7 +149,10 @@ SAMPLE, FREQUENT = 10_000, 1 << 16
 BITS = 512
 PART = 512  # documents in a block of a full key
 #: Ids up to which those to compare are broadcast.
-BROADCAST_IDS = 100_000
+BROADCAST_IDS = 1 << 19
+ASK_KEYS = "shard int, batch long, keys binary, counts binary"
+KEYS = "batch long, keys binary, held binary"
+SHARED = "key long, rep long, n int, held long"
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -153,14 +175,14 @@ def sets_of(named: DataFrame, shingle: int) -> DataFrame:
     return named.mapInArrow(by_batch(made), "id long, s array<long>")
 
 
-def frequent(named: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(named: DataFrame, shingle: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of a sample hold, sorted, and by how many."""
-    every = max(1, -(-named.count() // SAMPLE))
+    every = max(1, -(-rows // SAMPLE))
     held = sets_of(named.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), shingle).select(F.explode("s").alias("h")).groupBy("h").count()
-    rows = np.array(held.where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).collect(), np.int64).reshape(-1, 2)
-    h = rows[:, 0].copy().view(np.uint64)
+    got = np.array(held.where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).collect(), np.int64).reshape(-1, 2)
+    h = got[:, 0].copy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], rows[order, 1]
+    return h[order], got[order, 1]
 
 
 def prefix(h: np.ndarray, similarity: float, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -179,18 +201,72 @@ def bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def sketches(named: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, same, n, keys, bits): a hash of the set itself, its size, its rare shingles, its bitmap."""
-    known, counts = frequent(named, shingle)
+def sketches(named: DataFrame, shingle: int, similarity: float, rows: int) -> DataFrame:
+    """(id, same, n, fp, keys, bits): a hash of the set itself, its size, its fingerprint, its rare shingles (mixed, as they
+    are the least of all), its bitmap."""
+    known, counts = frequent(named, shingle, rows)
 
     def made(many: list[str]) -> dict:
         import pyarrow as pa
 
-        sets = [shingle_hashes(t, shingle) for t in many]
-        keys = pa.array([prefix(h, similarity, known, counts).view(np.int64) for h in sets], pa.list_(pa.int64()))
-        return {"same": [xxhash.xxh3_128_hexdigest(h.tobytes()) for h in sets], "n": pa.array([len(h) for h in sets], pa.int32()), "keys": keys, "bits": pa.array([bitmap(h) for h in sets], pa.list_(pa.int64()))}
+        out: dict[str, list] = {c: [] for c in ("same", "n", "fp", "keys", "bits")}
+        for t in many:
+            h = shingle_hashes(t, shingle)
+            for c, x in zip(out, (xxhash.xxh3_128_digest(h.tobytes()), len(h), majority((h[i : i + BLOCK] for i in range(0, len(h), BLOCK))), mixed(prefix(h, similarity, known, counts), 11).tobytes(), bitmap(h))):
+                out[c].append(x)
+        kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        return {c: pa.array(x, k) for (c, x), k in zip(out.items(), kinds)}
+
+    return named.mapInArrow(by_batch(made), "id long, same binary, n int, fp long, keys binary, bits array<long>")
 
-    return named.mapInArrow(by_batch(made), "id long, same string, n int, keys array<long>, bits array<long>")
+
+def ask_keys(shards: int):
+    """To each shard, the distinct keys of a batch, and how many of its documents name them."""
+
+    def of_batch(table):
+        keys, count = np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u8"), return_counts=True)
+        batch = table.column("batch")[0].as_py()
+        return packed([(s, batch, keys[p].tobytes(), count[p].astype(np.uint32).tobytes()) for s, p in by_shard(keys, shards)], "ilbb", ["shard", "batch", "keys", "counts"])
+
+    return of_batch
+
+
+def answer_keys(table):
+    """To each batch, those of its keys that several documents name, and how many do."""
+    keys, counts = ([np.frombuffer(x, k) for x in table.column(c).to_pylist()] for c, k in (("keys", "<u8"), ("counts", "<u4")))
+    _, number = np.unique(np.concatenate(keys), return_inverse=True)
+    total, rows, at = np.bincount(number, weights=np.concatenate(counts)).astype(np.int64), [], 0
+    for batch, k in zip(table.column("batch").to_pylist(), keys):
+        held = total[number[at : at + len(k)]]
+        at += len(k)
+        if (hit := held > 1).any():
+            rows.append((batch, k[hit].tobytes(), held[hit].tobytes()))
+    return packed(rows, "lbb", ["batch", "keys", "held"])
+
+
+def told(points, answer):
+    """A row for each document and key that several name."""
+    import pyarrow as pa
+
+    known, held = (np.frombuffer(b"".join(answer.column(c).to_pylist()), k) for c, k in (("keys", "<u8"), ("held", "<i8")))
+    order = np.argsort(known)
+    known, held = known[order], held[order]
+    raw = points.column("keys").to_pylist()
+    keys = np.frombuffer(b"".join(raw), "<u8")
+    who = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
+    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+    hit = np.flatnonzero(known[at] == keys) if len(known) else np.empty(0, np.int64)
+    rep, n = (points.column(c).to_numpy() for c in ("rep", "n"))
+    return pa.table([pa.array(keys[hit].view(np.int64)), pa.array(rep[who[hit]].astype(np.int64)), pa.array(n[who[hit]].astype(np.int32)), pa.array(held[at[hit]])], ["key", "rep", "n", "held"])
+
+
+def shared_keys(points: DataFrame, rows: int) -> DataFrame:
+    """(key, rep, n, held): the keys of each document that several name, and how many do."""
+    batches = max(1, -(-rows // min(MOST_DOCS, max(256, rows // 1000))))
+    shards = max(1, batches // BATCHES_PER_SHARD)
+    dealt = points.select("rep", "n", "keys", batch_of(F.col("rep"), F.lit(""), batches).alias("batch")).groupBy("batch")
+    answers = dealt.applyInArrow(ask_keys(shards), ASK_KEYS).groupBy("shard").applyInArrow(answer_keys, KEYS)
+    return dealt.cogroup(answers.groupBy("batch")).applyInArrow(told, SHARED)
 
 
 def possible(similarity: float) -> Column:
@@ -213,18 +289,26 @@ def ruled_in(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFram
     return pairs.join(known, "a").join(other(known).withColumnRenamed("a2", "b"), "b").where(possible(similarity)).select("a", "b")
 
 
-def proposals(points: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b): the least document of each key with the others."""
+def near_prints(points: DataFrame, distance: int, segments: int) -> DataFrame:
+    """Pairs (a, b) whose fingerprints are linked: those of the least documents of two fingerprints, and each
+    document with the least of its own."""
+    least = Written(points.groupBy("fp").agg(F.min("rep").alias("rep")), "prints")
+    equal = points.select("fp", F.col("rep").alias("b")).join(least.df.withColumnRenamed("rep", "a"), "fp").where("a <> b").select("a", "b")
+    return links(least.df, distance, segments).union(equal)
+
+
+def proposals(points: DataFrame, shared: DataFrame, similarity: float, distance: int, segments: int) -> DataFrame:
+    """Pairs (a, b): linked fingerprints, and the least document of each key with the others."""
     least = shared.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("s")).select("key", F.col("s.rep").alias("rep2"), F.col("s.n").alias("n2"))
     star = shared.join(least, "key").where((F.col("rep") != F.col("rep2")) & sized(similarity)).select(F.col("rep2").alias("a"), F.col("rep").alias("b"))
-    return ruled_in(star.distinct(), points, similarity)
+    return ruled_in(star.union(near_prints(points, distance, segments)).distinct(), points, similarity)
 
 
 def remaining(points: DataFrame, shared: DataFrame, roots: DataFrame, similarity: float, bucket: int) -> DataFrame:
     """Pairs (a, b) that share a key and are in different groups so far."""
     rooted = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rooted = rooted.join(open_, "key")
+    rooted = Written(rooted.join(open_, "key"), "open").df
     apart = (F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2"))
     pair = [F.col("rep").alias("a"), F.col("rep2").alias("b")]
     few = rooted.where(f"held <= {bucket}").select("key", "rep", "root", "n")
@@ -250,20 +334,26 @@ def alike(named: DataFrame, pairs: DataFrame, shingle: int, similarity: float, r
     return common.where(F.col("c") >= similarity * (F.col("p") + F.col("q") - F.col("c"))).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2, segments: int = 2, bucket: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per id: id, component_id: the least id reachable over pairs whose sets of shingles have a
     Jaccard similarity of at least `similarity`. Texts without words are alike. Null ids give no row."""
+    return settled(docs.sparkSession, lambda: _similar_groups(docs, shingle, similarity, distance, segments, bucket, id_col, text_col), "groups")
+
+
+def _similar_groups(docs: DataFrame, shingle: int, similarity: float, distance: int, segments: int, bucket: int, id_col: str, text_col: str) -> DataFrame:
     named = two_columns(docs, id_col, text_col).withColumn("id", F.col("id").cast("long")).where("id IS NOT NULL")
-    sketch = Written(sketches(named, shingle, similarity), "sketches").df
-    points = Written(sketch.groupBy("same").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "keys", "bits")]), "points").df
-    keyed = points.select("rep", "n", F.explode("keys").alias("key"))
-    held = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    shared = Written(keyed.join(held, "key"), "shared").df
+    n = named.count()
+    sketch = Written(sketches(named, shingle, similarity, n), "sketches").df
+    # Of equal sets only the row of the least id goes on.
+    least = Written(sketch.groupBy("same").agg(F.min("id").alias("rep")), "least").df
+    copies = sketch.select("id", "same").join(least, "same").where("id <> rep").select("id", "same")
+    points = Written(sketch.join(copies, ["id", "same"], "left_anti").withColumnRenamed("id", "rep"), "points").df
+    shared = Written(shared_keys(points, n), "shared").df
     repeated = not sketch.groupBy("id").count().where("count > 1").isEmpty()
-    links = Written(alike(named, Written(proposals(points, shared, similarity), "proposals").df, shingle, similarity, repeated), "alike").df
-    of = components(links)
+    close = Written(alike(named, Written(proposals(points, shared, similarity, distance, segments), "proposals").df, shingle, similarity, repeated), "alike").df
+    of = components(close)
     rest = Written(remaining(points, shared, of, similarity, bucket), "remaining").df
     if not rest.isEmpty():
-        of = components(links.union(alike(named, rest, shingle, similarity, repeated)))
-    classes = points.select("same", "rep").join(of.select(F.col("node").alias("rep"), "root"), "rep", "left").select("same", F.coalesce("root", "rep").alias("component_id"))
+        of = components(close.union(alike(named, rest, shingle, similarity, repeated)))
+    classes = least.join(of.select(F.col("node").alias("rep"), "root"), "rep", "left").select("same", F.coalesce("root", "rep").alias("component_id"))
     return sketch.select("id", "same").join(classes, "same").groupBy("id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("id", id_col)
