@@ -32,6 +32,8 @@ class Overlap:
     max_overlaps: int | None = None
     #: Minimizers found in more reads than this are left out (None: none are).
     max_bucket: int | None = None
+    #: Minimizers found in more reads than this are crowded: no pair is made for them where a rarer one tells as much.
+    crowded: int = 1000
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ What runs in Arrow batches here is sequential by nature; rows of a dynamic progr
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ship, spread
@@ -17,18 +17,18 @@ BAND, MAX_OPS = 64, 1000
 FAR = 1 << 29
 
 
-def edit_script(read: str, path: str, band: int = BAND, max_ops: int = MAX_OPS) -> list[tuple[int, str, str]]:
+def edit_script(read: str, path: str, band: int = BAND, max_ops: int = MAX_OPS) -> list[tuple[int, str, str]] | None:
     """What turns path into read: S (another base), D (path's base left out), I (a base put in before the
     place). Equal lengths: substitutions alone. Else the least edits within a band around the diagonal, a
-    diagonal step preferred to D, and D to I, from the end. Empty if there are too many, or the lengths differ
-    by more than the band."""
+    diagonal step preferred to D, and D to I, from the end. None if there are too many, or the lengths differ by more
+    than the band; empty for equal sequences."""
     if len(read) == len(path):
         a, b = np.frombuffer(read.encode("utf-32-le"), "<u4"), np.frombuffer(path.encode("utf-32-le"), "<u4")
         at = np.flatnonzero(a != b)
-        return [] if len(at) > max_ops else [(int(i), "S", read[i]) for i in at]
+        return None if len(at) > max_ops else [(int(i), "S", read[i]) for i in at]
     n, m, width = len(path), len(read), 2 * band + 1
     if abs(n - m) > band:
-        return []
+        return None
     r, p = (np.frombuffer(x.encode("utf-32-le"), "<u4") for x in (read, path))
     o = np.arange(width)
     row = np.where((o - band >= 0) & (o - band <= m), o - band, FAR)
@@ -45,11 +45,11 @@ def edit_script(read: str, path: str, band: int = BAND, max_ops: int = MAX_OPS)
         row[(j < 0) | (j > m)] = FAR
         rows.append(row)
     if rows[n][m - n + band] >= FAR:
-        return []
+        return None
     i, j, back = n, m, []
     while i or j:
         if len(back) > max_ops:
-            return []
+            return None
         here, at = rows[i][j - i + band], j - i + band
         differs = i > 0 and j > 0 and path[i - 1] != read[j - 1]
         if i and j and here == rows[i - 1][at] + differs:
@@ -62,7 +62,7 @@ def edit_script(read: str, path: str, band: int = BAND, max_ops: int = MAX_OPS)
         else:
             back.append((i, "I", read[j - 1]))
             j -= 1
-    return back[::-1]
+    return None if len(back) > max_ops else back[::-1]
 
 
 def apply_script(path: str, script: list) -> str:
@@ -129,15 +129,15 @@ def _mapped(df: DataFrame, columns: list[str], function, name: str, kind: str, a
 
 
 def encode_deltas(df: DataFrame, read: str = "read_seq", path: str = "path_seq") -> DataFrame:
-    """Adds deltas; null sequences count as empty."""
+    """Adds deltas, null where the two are too far apart for a script; null sequences count as empty."""
     kind = lambda pa: pa.list_(pa.struct([("pos", pa.int32()), ("op", pa.string()), ("base", pa.string())]))
-    make = lambda r, p: [dict(zip(("pos", "op", "base"), x)) for x in edit_script(r or "", p or "")]
+    make = lambda r, p: None if (s := edit_script(r or "", p or "")) is None else [dict(zip(("pos", "op", "base"), x)) for x in s]
     return _mapped(df, [read, path], make, "deltas", DELTA, kind)
 
 
 def reconstruct(df: DataFrame, path: str = "path_seq", deltas: str = "deltas") -> DataFrame:
-    """Adds rebuilt, the read of a path and its deltas."""
-    make = lambda p, d: apply_script(p or "", [(x["pos"], x["op"], x["base"]) for x in d or []])
+    """Adds rebuilt, the read of a path and its deltas; null where there is no script."""
+    make = lambda p, d: None if d is None else apply_script(p or "", [(x["pos"], x["op"], x["base"]) for x in d])
     return _mapped(df, [path, deltas], make, "rebuilt", "string", lambda pa: pa.string())
 
 
@@ -148,11 +148,35 @@ def substitutions(df: DataFrame, read: str = "read_seq", path: str = "path_seq")
     return each.where("base IS NOT NULL").select(*df.columns, "pos", F.lit("S").alias("op"), "base")
 
 
+#: Rows up to which a list given by hand is one; beyond it the caller has passed a table by mistake.
+STATED = 10_000
+
+
+def stated(df: DataFrame) -> DataFrame:
+    """A list given by hand, broadcast once its length is known."""
+    if df.limit(STATED + 1).count() > STATED:
+        raise ValueError(f"a list of more than {STATED} rows")
+    return F.broadcast(df)
+
+
+def cigar_identity(cigar: Column | str, matches: Column | str | None = None, length: Column | str | None = None) -> Column:
+    """The share of matches of an alignment: matches over block length where the aligner tells both, else that of = (or,
+    where there is none, M) in all columns of the CIGAR but clipped and skipped ones; 0 for an empty one."""
+    ops = F.regexp_extract_all(F.col(cigar) if isinstance(cigar, str) else cigar, F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1))
+    total = lambda kinds: F.aggregate(F.filter(ops, lambda x: F.right(x, F.lit(1)).isin(*kinds)), F.lit(0).cast("long"), lambda s, x: s + F.regexp_extract(x, "^[0-9]+", 0).cast("long"))
+    same, columns = F.when(total("=X") > 0, total("=")).otherwise(total("M")), total("MID=X")
+    walked = F.when(columns > 0, same / columns).otherwise(0.0)
+    if matches is None or length is None:
+        return walked
+    m, n = (F.col(x) if isinstance(x, str) else x for x in (matches, length))
+    return F.when(n > 0, m / n).otherwise(walked)
+
+
 def somatic_deltas(contigs: DataFrame, refs: DataFrame, match: int = 1, mismatch: int = -2, gap_open: int = 4, gap_extend: int = 2) -> DataFrame:
     """contigs: (contig_id, seq); refs: (ref_name, ref_seq), the first sequence of each reference, a list
     given by hand. Rows (contig_id, ref_name, contig_bp, ref_bp, edits, identity). Equal sequences and empty
     ones are decided before the alignment."""
-    pairs = contigs.select("contig_id", "seq").crossJoin(F.broadcast(refs.select("ref_name", "ref_seq")))  # the stated references against all rows
+    pairs = contigs.select("contig_id", "seq").crossJoin(stated(refs.select("ref_name", "ref_seq")))  # the stated references against all rows
     longest = F.greatest(F.length("seq"), F.length("ref_seq"))
     sure = (F.col("seq") == F.col("ref_seq")) | (F.length("seq") == 0) | (F.length("ref_seq") == 0)
     plain = pairs.where(sure).withColumn("edits", F.when(F.col("seq") == F.col("ref_seq"), 0).otherwise(longest).cast("int"))
@@ -211,7 +235,7 @@ def scan_exact(reads: DataFrame, primers: DataFrame, id_col: str = "read_id", se
         return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda acc: acc["out"])
 
     some = (F.instr(seq, F.col("fwd")) > 0) & (F.instr(seq, F.col("rev")) > 0)
-    both = reads.select(F.col(id_col).alias("read_id"), F.col(seq_col).alias("seq")).crossJoin(F.broadcast(pairs)).where(some)  # the stated primers against all rows
+    both = reads.select(F.col(id_col).alias("read_id"), F.col(seq_col).alias("seq")).crossJoin(stated(pairs)).where(some)  # the stated primers against all rows
     a = both.select("*", F.explode(hits("fwd")).alias("start")).select("*", F.explode(hits("rev")).alias("rev_at"))
     kept = a.where(F.col("rev_at") > F.col("start") + F.length("fwd")).withColumn("end", F.col("rev_at") + F.length("rev"))
     return kept.select("read_id", "primer", "start", "end", F.substring("seq", F.col("start") + 1, F.col("end") - F.col("start")).alias("amplicon"))

@@ -6,6 +6,8 @@ the entry's reads), iqr, gc (difference of GC content), segdup and repeat (0 or
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,10 +153,11 @@ def decompose(reads: DataFrame, key: str, vector: str = "snps", order: str = "re
     return named.groupBy(key).applyInArrow(clusters, f"{key} {kind}, cluster int, read_ids array<bigint>, vaf double")
 
 
-def hierarchical(df: DataFrame, key: str, snps: DataFrame | None = None, config: Disambiguator = Disambiguator()) -> DataFrame:
+def hierarchical(df: DataFrame, key: str, snps: DataFrame | None = None, config: Disambiguator = Disambiguator(), reclassify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """As disambiguate, and mixed bubbles are decomposed once by their reads' SNP vectors: the parts, with
     depth scaled by twice their share and span no less than it, are decided alone, and the bubble's confidence
-    becomes the mean of theirs by reads; it stays mixed. Adds decomposed."""
+    becomes the mean of theirs by reads; it stays mixed. Adds decomposed. reclassify, if given, decides the parts instead: it
+    takes their rows (those of df, with cluster, read_ids and vaf) and returns them with label and confidence."""
     top = disambiguate(df, config)
     if snps is None or config.depth_limit == 0:
         return top.withColumn("decomposed", F.lit(False))
@@ -162,7 +165,7 @@ def hierarchical(df: DataFrame, key: str, snps: DataFrame | None = None, config:
     mixed = top.where(F.col("label") == MIXED)
     parts = decompose(snps.join(mixed.select(key), key, "left_semi"), key)
     sub = parts.join(mixed.select(*df.columns), key).withColumn("depth", F.col("depth") * 2 * F.col("vaf")).withColumn("span", F.greatest("span", "vaf"))
-    decided = disambiguate(sub, config)
+    decided = disambiguate(sub, config) if reclassify is None else reclassify(sub)
     w = F.size("read_ids")
     mean = decided.groupBy(key).agg((F.sum(w * F.col("confidence")) / F.sum(w)).alias("_mean"))
     out = top.join(mean, key, "left")

@@ -5,17 +5,17 @@ Names begin with the operator's identifier in the survey. Floating point results
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BANDS, Cascade, Disambiguator, Overlap, shared_dir
+from .. import __version__
+from ..config import BANDS, Cascade, Disambiguator, Overlap, new_path
 from ..functions import sequence as seqfn
-from ..operators import alignment, bands, bubbles, classify, compaction, consensus, conservation, coverage, graph, overlap, projection, sketch
+from ..operators import alignment, bands, bubbles, classify, compaction, consensus, conservation, coverage, graph, mapping, overlap, projection, sketch
 from ..operators.numbering import numbered
-from ..sources import readers, writers
+from ..sources import bam, readers, writers
 from . import pipelines, tables
 from .tables import CALLS, CANDIDATES, CHAIN_GRAPH, ORDER_GRAPH, PART_NAMES, READS, REGIONS, REPEATS, TRIANGLES
 
@@ -219,18 +219,22 @@ def c3_cascade(spark, sf_dir):
     return classify.cascade(tables.candidates(spark, sf_dir)).select("bubble_id", "label", r6("confidence", "confidence"), "stage")
 
 
+_CONFIDENCE = "CASE rule WHEN 0 THEN 0 WHEN 1 THEN br WHEN 2 THEN mi WHEN 3 THEN du ELSE greatest(br, du, mi) END"
+
+
 def _decide_sql(c: Disambiguator = Disambiguator()) -> str:
     s = lambda x, mid: f"1 / (1 + exp(-{c.slope} * ({x} - {mid})))"
     clamp = lambda x: f"greatest(0, least(1, {x}))"
     p = c.prior
-    return f"""scored AS (SELECT *, {s("flank", c.flank_mid)} AS f, {s("depth", (c.depth_one + c.depth_two) / 2)} AS d, {s("span", c.span_mid)} AS s FROM candidates),
+    rules = f"""scored AS (SELECT *, {s("flank", c.flank_mid)} AS f, {s("depth", (c.depth_one + c.depth_two) / 2)} AS d, {s("span", c.span_mid)} AS s FROM candidates),
     fused AS (SELECT *, {clamp(f"{c.w_flank} * f + {c.w_depth} * (1 - d) + {c.w_span} * s + {c.w_prior * p}")} AS br, {clamp(f"{c.w_flank} * (1 - f) + {c.w_depth} * d + {c.w_span} * (1 - s) + {c.w_prior * (1 - p)}")} AS du,
         {clamp(f"{c.w_flank + c.w_depth} * least(f, d) + {c.w_span} * greatest(0, 1 - abs(s - 0.5) * 2) + {c.w_prior * (1 - abs(p - 0.5) * 2)}")} AS mi FROM scored),
     rules AS (SELECT *, CASE WHEN length < {c.min_length} OR (depth <= 0 AND span <= 0 AND flank <= 0) THEN 0 WHEN flank >= {c.split_flank} AND span >= {c.split_span} AND abs(depth - {c.depth_one}) <= {c.split_depth} AND br >= {c.emit} THEN 1
         WHEN flank >= {c.mixed_flank} AND depth >= {c.mixed_depth} AND mi >= {c.emit} THEN 2 WHEN depth >= {c.dup_depth} AND flank < {c.split_flank} AND du >= {c.emit} THEN 3
-        WHEN greatest(br, du, mi) < {c.emit} THEN 4 WHEN br >= du AND br >= mi THEN 1 WHEN du >= mi THEN 3 ELSE 2 END AS rule FROM fused)
+        WHEN greatest(br, du, mi) < {c.emit} THEN 4 WHEN br >= du AND br >= mi THEN 1 WHEN du >= mi THEN 3 ELSE 2 END AS rule FROM fused)"""
+    return f"""{rules}
     SELECT bubble_id, CASE rule WHEN 1 THEN 'Split' WHEN 2 THEN 'Mixed' WHEN 3 THEN 'Duplication' ELSE 'NonSeparable' END AS label,
-        round(CASE rule WHEN 0 THEN 0 WHEN 1 THEN br WHEN 2 THEN mi WHEN 3 THEN du ELSE greatest(br, du, mi) END, 6) AS confidence FROM rules"""
+        round({_CONFIDENCE}, 6) AS confidence FROM rules"""
 
 
 @query(f"WITH {CANDIDATES}, {_decide_sql()}")
@@ -454,17 +458,60 @@ def a12_support_calls(spark, sf_dir):
     return bands.calls_from_nodes(tables.calls(spark, sf_dir)).select("node_id", r6("est_vaf", "est_vaf"))
 
 
-@query()
-def a13_band_stats(spark, sf_dir):
-    """A source's label rates as truth, its languages' shares as calls."""
+BAND_STATS = f"""RECURSIVE pairs AS (SELECT source, lang, ascii(lang) * 1000 + ascii(substr(lang, 2, 1)) AS row_idx, count(*) AS n FROM documents GROUP BY ALL),
+    truth AS (SELECT p.source, row_number() OVER (PARTITION BY p.source ORDER BY row_idx) AS i, avg(toxic) AS vaf, sum(quality) AS cn FROM documents d JOIN labels USING (doc_id) JOIN pairs p ON d.source = p.source AND d.lang = p.lang GROUP BY p.source, p.lang, row_idx),
+    called AS (SELECT source, list({{'j': row_idx, 'v': v, 'n': n}} ORDER BY row_idx) AS calls FROM (SELECT *, n / sum(n) OVER (PARTITION BY source) AS v FROM pairs) GROUP BY source),
+    steps AS (SELECT source, 0 AS i, NULL::DOUBLE AS vaf, calls AS free, NULL::STRUCT(d DOUBLE, j INTEGER, n BIGINT) AS got, NULL::BIGINT AS cn FROM called UNION ALL
+        SELECT source, i, vaf, list_filter(free, lambda x: got IS NULL OR x.j <> got.j), got, cn FROM (SELECT s.source, t.i, t.vaf, s.free, t.cn::BIGINT AS cn,
+            list_min(list_transform(list_filter(s.free, lambda x: t.vaf > 0 AND t.vaf <= 1 AND abs(x.v - t.vaf) < 0.1 + 1e-12), lambda x: {{'d': abs(x.v - t.vaf), 'j': x.j, 'n': x.n}}))::STRUCT(d DOUBLE, j INTEGER, n BIGINT) AS got FROM steps s JOIN truth t ON t.source = s.source AND t.i = s.i + 1)),
+    last AS (SELECT source, arg_max(free, i) AS free FROM steps GROUP BY source), kinds AS (SELECT source, 'truth' AS kind, vaf AS v, NULL::DOUBLE AS d, NULL::BOOLEAN AS ok FROM steps WHERE i > 0 UNION ALL SELECT source, 'hit', vaf, got.d, got.n = cn FROM steps WHERE got IS NOT NULL
+        UNION ALL SELECT source, 'false', x.v, NULL, NULL FROM (SELECT source, unnest(free) AS x FROM last)),
+    banded AS (SELECT *, {_BAND} AS band FROM kinds), bands AS (SELECT source, b FROM (SELECT DISTINCT source FROM pairs), range({len(BANDS)}) t(b)),
+    stats AS (SELECT bands.source, b, count(*) FILTER (kind = 'truth') AS n_truth, count(*) FILTER (kind = 'hit') AS tp, count(*) FILTER (kind = 'false') AS fp, median(d) AS residual, count(*) FILTER (ok) AS cn_ok FROM bands LEFT JOIN banded ON bands.source = banded.source AND b = band GROUP BY ALL),
+    rates AS (SELECT source, b, [{", ".join(repr(n) for n, _, _ in BANDS)}][b::INT + 1] AS name, n_truth, tp, fp, round(tp / nullif(n_truth, 0), 6) AS recall, round(tp / nullif(tp + fp, 0), 6) AS precision, round(residual, 6) AS residual, round(cn_ok / nullif(tp, 0), 6) AS copy_count_accuracy FROM stats)"""
+
+
+def _band_stats(spark, sf_dir):
     docs, labels = tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "labels")
     truth = docs.join(labels, "doc_id").groupBy("source", "lang").agg(F.avg("toxic").alias("vaf_target"), F.sum("quality").alias("copy_count"))
     calls = bands.fractions(docs.groupBy("source", "lang").agg(F.count("*").alias("n")), "n", "source").select("source", "lang", F.col("vaf").alias("est_vaf"), F.col("n").alias("est_copy_count"))
     order = F.ascii("lang") * 1000 + F.ascii(F.substring("lang", 2, 1))
-    out = bands.band_stats(truth.withColumn("row_idx", order), calls.withColumn("row_idx", order), "source")
+    return bands.band_stats(truth.withColumn("row_idx", order), calls.withColumn("row_idx", order), "source")
+
+
+@query(f"WITH {BAND_STATS} SELECT source, name, n_truth, tp, fp, recall, precision, residual, copy_count_accuracy FROM rates")
+def a13_band_stats(spark, sf_dir):
+    """A source's label rates as truth, its languages' shares as calls."""
+    out = _band_stats(spark, sf_dir)
     return out.select("source", "name", "n_truth", "tp", "fp", r6("recall", "recall"), r6("precision", "precision"), r6("median_abs_vaf_residual", "residual"), r6("copy_count_accuracy", "copy_count_accuracy"))
 
 
+def _by_source(spark, sf_dir, make):
+    """make() of the five bands of each source; sources are a handful, and so are the rows."""
+    rows = _band_stats(spark, sf_dir).orderBy("source", "lo").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r.asDict())
+    return [(source, make(source, stats)) for source, stats in by.items()]
+
+
+@query(f"WITH {BAND_STATS} SELECT source, name, tp, recall, residual, true AS valid FROM rates")
+def k11_band_json(spark, sf_dir):
+    """The reports, parsed again."""
+    made = _by_source(spark, sf_dir, lambda source, stats: writers.band_json(stats, source, sum(s["n_truth"] for s in stats), sum(s["n_called"] for s in stats)))
+    schema = "schema_version string, sample string, n_truth long, n_called long, bands array<struct<name: string, tp: long, recall: double, median_abs_vaf_residual: double, copy_count_accuracy: double>>"
+    rows = spark.createDataFrame(made, "source string, json string").withColumn("r", F.from_json("json", schema))
+    each = rows.select("source", (F.col("r.sample") == F.col("source")).alias("valid"), F.explode("r.bands").alias("b"))
+    return each.select("source", "b.name", "b.tp", r6("b.recall", "recall"), r6("b.median_abs_vaf_residual", "residual"), "valid")
+
+
+@query(f"""WITH {BAND_STATS}, shown AS (SELECT source, b, rpad(name, 14, ' ') || array_to_string(list_transform([n_truth::VARCHAR, tp::VARCHAR, tp::VARCHAR, fp::VARCHAR, coalesce(printf('%.3f', recall), '-'), coalesce(printf('%.3f', precision), '-'), coalesce(printf('%.3f', residual), '-'), coalesce(printf('%.3f', copy_count_accuracy), '-')], lambda x: lpad(x, 10, ' ')), '') AS line FROM rates)
+    SELECT source, b::INT AS pos, line FROM shown""")
+def k12_band_table(spark, sf_dir):
+    made = _by_source(spark, sf_dir, lambda source, stats: writers.band_table(stats).split("\n")[1:])
+    return spark.createDataFrame(made, "source string, lines array<string>").select("source", F.posexplode("lines").alias("pos", "line"))
+
+
 @query(f"""WITH {PART_NAMES}, p AS (SELECT a.read_id, a.seq AS r, b.seq AS p FROM names a JOIN names b ON b.read_id = a.read_id + 1 WHERE length(a.seq) = length(b.seq)),
     c AS (SELECT read_id, i - 1 AS pos, substr(r, i::INT, 1) AS base, substr(p, i::INT, 1) AS q FROM p, range(1, 200) t(i) WHERE i <= length(r)) SELECT read_id, pos, base FROM c WHERE base <> q""")
 def f15_substitutions(spark, sf_dir):
@@ -478,7 +525,8 @@ def _benchmark(spark, sf_dir):
     return tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read_id"), seq.alias("path_seq"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT item_id AS read_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{tables.LETTERS}', '{tables.BASES}') AS path FROM benchmark), c AS (SELECT read_id, path, regexp_replace(path, '(.{{49}}).', '\\1', 'g') AS read FROM p)
+    SELECT read_id, CASE WHEN length(path) = length(read) THEN hamming(path, read) ELSE levenshtein(path, read) END AS n_ops, true AS same FROM c""")
 def f15_deltas(spark, sf_dir):
     """Each benchmark item as a path, encoded against itself without every fiftieth base, and rebuilt."""
     cut = _benchmark(spark, sf_dir).withColumn("read_seq", F.regexp_replace("path_seq", "(.{49}).", "$1"))
@@ -506,7 +554,15 @@ def p1_exact_amplicons(spark, sf_dir):
     return alignment.scan_exact(tables.reads(spark, sf_dir), primers).select("read_id", "primer", "start", "end")
 
 
-@query()
+def _places_sql(pattern: str) -> str:
+    return f"unnest(list_filter(range(0, length(seq) - {len(pattern) - 1}), lambda i: hamming(substr(seq, i + 1, {len(pattern)}), '{pattern}') <= 2))"
+
+
+_LONG = {n: (f + "ACGTAC", "".join({"A": "T", "C": "G", "G": "C", "T": "A"}[c] for c in reversed(r + "GTACGT"))) for n, f, r in PRIMERS}
+
+
+@query(" UNION ALL ".join(f"""SELECT read_id, '{n}' AS primer, count(*) AS n, min(a)::INT AS first, max(b + {len(r)})::INT AS last FROM (WITH {READS}, f AS (SELECT read_id, {_places_sql(f)} AS a FROM reads WHERE length(seq) >= {len(f)}),
+    g AS (SELECT read_id, {_places_sql(r)} AS b FROM reads WHERE length(seq) >= {len(r)}) SELECT read_id, a, b FROM f JOIN g USING (read_id) WHERE b > a + {len(f)}) GROUP BY read_id""" for n, (f, r) in _LONG.items()))
 def p1_amplicons(spark, sf_dir):
     """P1 with mismatches: amplicons are counted by read and primer."""
     found = alignment.scan_amplicons(tables.reads(spark, sf_dir), [(n, f + "ACGTAC", r + "GTACGT") for n, f, r in PRIMERS], 2)
@@ -549,7 +605,7 @@ def p5_project(spark, sf_dir):
 
 
 @query(f"""WITH {MAPPINGS}, m AS (SELECT query, max(mapq) AS best FROM mappings GROUP BY query)
-    SELECT 's1' AS sample, '0.2.0' AS version, count(*) AS n_contigs, count(*) FILTER (coalesce(best, -1) < 45) AS unannotated_count FROM part LEFT JOIN m ON query = 'node_' || p_partkey""")
+    SELECT 's1' AS sample, '{__version__}' AS version, count(*) AS n_contigs, count(*) FILTER (coalesce(best, -1) < 45) AS unannotated_count FROM part LEFT JOIN m ON query = 'node_' || p_partkey""")
 def k13_report(spark, sf_dir):
     contigs = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("node_"), F.col("p_partkey").cast("string")).alias("contig_id"), F.col("p_size").alias("length_bp"))
     return pipelines.project(contigs, _mappings(spark, sf_dir), "out/s1", 45)[1]
@@ -565,7 +621,7 @@ def numbering(spark, sf_dir):
 
 
 def _stored(lines: DataFrame, name: str) -> str:
-    path = f"{shared_dir(lines.sparkSession)}/kinloom-{name}-{uuid.uuid4().hex}"
+    path = new_path(lines.sparkSession, name)
     writers.write_lines(lines, path)
     return path
 
@@ -662,10 +718,147 @@ def g13_reads_of_nodes(spark, sf_dir):
     return graph.reads_of_nodes(paths).groupBy("node").agg(F.count("*").alias("n"), F.min("read_id").alias("low"), F.max("read_id").alias("high"))
 
 
-@query(f"""WITH {BUBBLES} SELECT entry, exit, 'graph' AS chrom FROM met""")
+FOUND = f"""{BUBBLES}, alt AS (SELECT w.*, row_number() OVER (PARTITION BY entry, exit ORDER BY mid) AS i, p.length_bp AS mid_bp FROM ways w JOIN met USING (entry, exit) JOIN nodes p ON p.id = mid),
+    c AS (SELECT entry, exit, sum(support) AS support, max(mid_bp) AS mid_bp FROM alt GROUP BY ALL),
+    candidates AS (SELECT row_number() OVER (ORDER BY entry, exit) - 1 AS bubble_id, entry, exit, e.length_bp + mid_bp + 2 * x.length_bp AS length, 0.0::DOUBLE AS flank,
+        support / (SELECT greatest(avg(read_support), 1) FROM edges) AS depth, least(1, support / e.read_support) AS span FROM c JOIN nodes e ON e.id = entry JOIN nodes x ON x.id = exit)"""
+
+
+@query(f"""WITH {FOUND}, {_decide_sql().split("SELECT bubble_id, CASE rule")[0].strip()} SELECT entry, exit, concat_ws(chr(9), 'graph', 0, length, 'bubble_' || bubble_id || '_n' || entry || '_' || exit, printf('%.3f', ({_CONFIDENCE})::DOUBLE)) AS line FROM rules""")
 def k10_bubble_lines(spark, sf_dir):
-    decided = pipelines.analyze_graph(tables.order_graph(spark, sf_dir)).decided
-    return writers.bubble_lines(decided).select("entry", "exit", F.substring_index("line", "\t", 1).alias("chrom"))
+    return writers.bubble_lines(pipelines.analyze_graph(tables.order_graph(spark, sf_dir)).decided)
+
+
+@query(f"""WITH {MAPPINGS}, m AS (SELECT query, max(mapq) AS best, string_agg('{{"ref_name":"' || ref_name || '","query_start":0,"query_end":100,"target":"' || target || '","target_start":' || target_start || ',"target_end":' || target_end || ',"strand":"' || strand || '","mapq":' || mapq || ',"identity":1.0}}',
+        ',' ORDER BY ref_name, target, target_start, target_end, strand, mapq) AS list FROM mappings GROUP BY query),
+    p AS (SELECT 'node_' || p_partkey AS contig_id, p_size, coalesce(best, -1) < 45 AS un, coalesce(list, '') AS list FROM part LEFT JOIN m ON query = 'node_' || p_partkey)
+    SELECT 0 AS part, '' AS pos, '{{"sample": "s1", "version": "{__version__}", "n_contigs": ' || count(*) || ', "unannotated_count": ' || count(*) FILTER (un) || ', "contigs": [' AS line FROM p UNION ALL SELECT 2, '', ']}}' UNION ALL
+    SELECT 1, contig_id, '{{"contig_id":"' || contig_id || '","length_bp":' || p_size || ',"vaf":null,"coverage":null,"unannotated":' || un || ',"linear_mappings":[' || list || ']}}' || CASE WHEN contig_id < (SELECT max(contig_id) FROM p) THEN ',' ELSE '' END FROM p""")
+def k13_report_json(spark, sf_dir):
+    """Every line of the report."""
+    contigs = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("node_"), F.col("p_partkey").cast("string")).alias("contig_id"), F.col("p_size").alias("length_bp"))
+    return writers.report_json(pipelines.project(contigs, _mappings(spark, sf_dir), "out/s1", 45)[0], "s1", __version__)
+
+
+@query(f"WITH {PART_NAMES} SELECT read_id AS pos, '>node_' || read_id || chr(10) || seq AS line FROM names WHERE seq <> ''")
+def k3_consensus(spark, sf_dir):
+    nodes = tables.part_names(spark, sf_dir).select(F.col("read_id").alias("id"), F.length("seq").alias("length_bp"), F.col("seq").alias("consensus"))
+    g = graph.Graph(graph.node_columns(nodes), graph.edge_columns(spark.createDataFrame([], "edge_idx long, src long, dst long")))
+    return writers.consensus_lines(g)
+
+
+@query(ORACLES["g10_read_paths"].replace("SELECT read_id, length_bp AS read_length, concat_ws(',', ids.id, p) AS path", "SELECT read_id, concat_ws(chr(9), 'd' || read_id, concat_ws(',', ids.id, p), 0) AS line"))
+def k7_path_lines(spark, sf_dir):
+    reads = tables.reads(spark, sf_dir).select("read_id", F.length("seq").alias("length_bp"))
+    found = _overlaps(spark, sf_dir)
+    paths = graph.read_paths(reads, graph.build_graph(reads, found)[1], found)
+    return writers.path_lines(paths, reads.select("read_id", F.concat(F.lit("d"), F.col("read_id").cast("string")).alias("name")))
+
+
+_TURNED = "SELECT 'd' || read_id AS name, CASE read_id % 4 WHEN 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq FROM (SELECT read_id, coalesce(seq, '') AS seq FROM reads) WHERE read_id % 4 <> 2"
+
+
+def _flagged(spark, sf_dir):
+    """Reads with flags: of the reverse strand, secondary, unaligned."""
+    flag = F.when(F.col("read_id") % 4 == 1, 16).when(F.col("read_id") % 4 == 2, 256).otherwise(4)
+    return tables.reads(spark, sf_dir).select("read_id", F.concat(F.lit("d"), F.col("read_id").cast("string")).alias("name"), F.coalesce("seq", F.lit("")).alias("seq"), flag.alias("flag"))
+
+
+@query(f"WITH {READS} {_TURNED}")
+def s2_bam(spark, sf_dir):
+    folder = new_path(spark, "bam")
+    bam.write_bam(_flagged(spark, sf_dir), folder, flag="flag")
+    return readers.bam(spark, folder, 1 << 20)
+
+
+@query(f"WITH {READS} {_TURNED}")
+def s2_sam(spark, sf_dir):
+    line = F.concat_ws("\t", "name", F.col("flag").cast("string"), *[F.lit(x) for x in ("*", "0", "0", "*", "*", "0", "0")], "seq", F.lit("*"))
+    lines = _flagged(spark, sf_dir).select("read_id", line.alias("line")).union(spark.createDataFrame([(-1, "@HD\tVN:1.6")], "read_id long, line string"))
+    return readers.sam(spark, _stored(lines, "sam"))
+
+
+@query(f"WITH {READS} SELECT read_id, length(seq) AS n FROM reads ORDER BY read_id LIMIT 100")
+def s3_first_reads(spark, sf_dir):
+    """The limit is the operator."""
+    return readers.first_reads(tables.reads(spark, sf_dir), 100).select("read_id", F.length("seq").alias("n"))
+
+
+@query(f"""WITH {REGIONS} SELECT chrom, "start", "end", replace(name, ' ', '_') AS name, CASE WHEN row_idx % 3 = 0 THEN NULL ELSE round(row_idx % 1000 / 1000, 3) END AS confidence FROM regions""")
+def s5_bed(spark, sf_dir):
+    shown = F.when(F.col("row_idx") % 3 == 0, ".").otherwise(F.format_string("%.3f", F.col("row_idx") % 1000 / 1000))
+    lines = tables.regions(spark, sf_dir).select("chrom", "row_idx", F.concat_ws(" ", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), F.translate("name", " ", "_"), shown).alias("line"))
+    return readers.bed(spark, _stored(lines, "bed")).select("chrom", "start", "end", "name", F.round(F.col("confidence").cast("double"), 3).alias("confidence"))
+
+
+@query(f"WITH {CHAIN_GRAPH} SELECT id AS node_id, copy_count AS est_copy_count, length_bp, read_support FROM nodes")
+def s8_gfa_calls(spark, sf_dir):
+    return readers.gfa_calls(spark, _stored(writers.gfa_lines(tables.chain_graph(spark, sf_dir)), "gfa")).select("node_id", "est_copy_count", "length_bp", "read_support")
+
+
+@query("SELECT 'a' || p_partkey AS allele, p_size AS copy_count, round(p_size / 100, 2) AS vaf_target, p_partkey AS n_reads, p_size * 10 AS cassette_len_bp FROM part")
+def s9_truth(spark, sf_dir):
+    p = tables.table(spark, sf_dir, "part")
+    line = F.format_string("a%d\t%d\t%.2f\t%d\t%d", "p_partkey", "p_size", F.col("p_size") / 100, "p_partkey", F.col("p_size") * 10)
+    lines = p.select(F.col("p_partkey").alias("pos"), line.alias("line")).union(spark.createDataFrame([(-1, "#allele\tcopies")], "pos long, line string"))
+    return readers.truth_tsv(spark, _stored(lines, "truth")).drop("row_idx")
+
+
+@query(f"""WITH {MAPPINGS} SELECT query, '>' || target || '<n' AS path, target_start AS path_start, target_end AS path_end, strand, mapq, 0.9 AS identity FROM mappings WHERE mapq >= 20""")
+def s13_gaf(spark, sf_dir):
+    m = _mappings(spark, sf_dir)
+    line = F.concat_ws("\t", "query", F.lit("100"), F.lit("0"), F.lit("100"), "strand", F.concat(F.lit(">"), "target", F.lit("<n")), F.lit("999999999"), F.col("target_start").cast("string"), F.col("target_end").cast("string"), F.lit("90"), F.lit("100"), F.col("mapq").cast("string"))
+    return readers.gaf(spark, _stored(m.select("query", "target_start", line.alias("line")), "gaf"), "r", 20).select("query", "path", "path_start", "path_end", "strand", "mapq", "identity")
+
+
+@query("SELECT 'chr' || s_nationkey AS chrom, s_suppkey * 10 AS \"start\", s_suppkey * 10 + 7 AS \"end\", s_name AS name FROM supplier WHERE s_suppkey % 3 <> 0")
+def s14_track(spark, sf_dir):
+    chrom = F.concat(F.when(F.col("s_suppkey") % 3 == 0, "alt").otherwise("chr"), F.col("s_nationkey").cast("string"))
+    lines = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), F.concat_ws("\t", F.lit("585"), chrom, (F.col("s_suppkey") * 10).cast("string"), (F.col("s_suppkey") * 10 + 7).cast("string"), "s_name").alias("line"))
+    return readers.track_bed(spark, _stored(lines, "track"))
+
+
+@query("SELECT user_id * 24 + hour(ts) AS bubble_id, 0.5 AS vaf, 0.0 AS ci_low, 1.0 AS ci_high FROM events GROUP BY ALL")
+def a19_prior(spark, sf_dir):
+    return classify.prior_fractions(tables.candidates(spark, sf_dir).select("bubble_id"))
+
+
+@query(f"""WITH {PART_NAMES}, p AS (SELECT a.read_id, string_split(a.seq, '') AS x, string_split(b.seq, '') AS y FROM names a JOIN names b ON b.read_id = a.read_id + 1)
+    SELECT read_id, CASE WHEN len(x) <> len(y) THEN 2147483647 ELSE list_sum(list_transform(list_zip(x, y), lambda z: (z[1] <> z[2])::INT)) END AS distance FROM p""")
+def f7_hamming(spark, sf_dir):
+    names = tables.part_names(spark, sf_dir).select("read_id", F.split("seq", "").alias("x"))
+    pairs = names.join(names.select((F.col("read_id") - 1).alias("read_id"), F.col("x").alias("y")), "read_id")
+    return pairs.select("read_id", seqfn.hamming("x", "y").cast("long").alias("distance"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q, l_linenumber AS i FROM lineitem) SELECT l_orderkey, l_linenumber, round(CASE WHEN l_orderkey % 2 = 0 THEN q / (q + i) ELSE q / (q + i + 3) END, 6) AS walked, round(CASE WHEN i > 1 THEN (i - 1) / i ELSE CASE WHEN l_orderkey % 2 = 0 THEN q / (q + i) ELSE q / (q + i + 3) END END, 6) AS told FROM l""")
+def f18_cigar(spark, sf_dir):
+    q, i = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
+    cigar = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("5S"), q, F.lit("M"), i, F.lit("D"))).otherwise(F.concat(q, F.lit("=3X"), i, F.lit("I7H")))
+    n = F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).otherwise(0)
+    rows = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cigar.alias("cigar"), (F.col("l_linenumber") - 1).alias("m"), n.alias("n"))
+    return rows.select("l_orderkey", "l_linenumber", r6(alignment.cigar_identity("cigar"), "walked"), r6(alignment.cigar_identity("cigar", "m", "n"), "told"))
+
+
+@query(f"""WITH {HITS}, few AS (SELECT hash FROM hits GROUP BY hash HAVING count(*) <= 100) SELECT a.read_id AS a, b.read_id AS b, count(*) AS n, min(a.pos - b.pos) AS low, max(a.pos - b.pos) AS high FROM hits a JOIN hits b ON a.hash = b.hash AND a.read_id < b.read_id WHERE a.hash IN (FROM few) GROUP BY ALL""")
+def p7_capped_pairs(spark, sf_dir):
+    """Pairs of matches of minimizers in buckets of at most 100."""
+    m = overlap.matches(sketch.sketch(tables.reads(spark, sf_dir)), 100)
+    return m.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("shift").alias("low"), F.max("shift").alias("high"))
+
+
+_REFS = 1_000_000_000_000
+_BOTH = READS[:-1] + f" UNION ALL SELECT item_id + {_REFS}, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{tables.LETTERS}', '{tables.BASES}'), NULL, NULL FROM benchmark)"
+
+
+@query(f"""WITH {HITS.replace(READS, _BOTH)}, met AS (SELECT a.read_id AS query, b.read_id - {_REFS} AS target, a.pos AS q, b.pos AS t, xor(a.strand, b.strand) AS strand FROM hits a JOIN hits b ON a.hash = b.hash AND a.read_id < {_REFS} AND b.read_id >= {_REFS}),
+    dg AS (SELECT *, CASE strand WHEN 0 THEN t - q ELSE t + q END AS d FROM met), e1 AS (SELECT *, CASE WHEN d - lag(d) OVER w <= 100 THEN 0 ELSE 1 END AS new FROM dg WINDOW w AS (PARTITION BY query, target, strand ORDER BY d, q, t)),
+    e2 AS (SELECT *, sum(new) OVER (PARTITION BY query, target, strand ORDER BY d, q, t ROWS UNBOUNDED PRECEDING) AS chain FROM e1), e3 AS (SELECT *, least(21, coalesce(lead(q) OVER (PARTITION BY query, target, strand, chain ORDER BY q, t) - q, 21)) AS bases FROM e2)
+    SELECT query, target, strand, min(q) AS query_start, max(q) + 21 AS query_end, min(t) AS target_start, max(t) + 21 AS target_end, count(*) AS n_hits, sum(bases)::BIGINT AS n_matches FROM e3 GROUP BY query, target, strand, chain HAVING count(*) >= 3""")
+def p2_mapping(spark, sf_dir):
+    """Documents mapped to benchmark items, without an aligner."""
+    refs = _benchmark(spark, sf_dir).withColumnRenamed("path_seq", "seq")
+    return mapping.chains(sketch.sketch(tables.reads(spark, sf_dir)), sketch.sketch(refs))
 
 
 @query(f"WITH {CHAIN_GRAPH} SELECT (SELECT count(*) FROM nodes) AS n_segments, (SELECT count(*) FROM edges) AS n_links, (SELECT count(*) FROM nodes) AS n_cn_rows, (SELECT round(avg(copy_count), 6) FROM nodes) AS mean_cn")

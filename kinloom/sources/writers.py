@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import drop_path, new_path
 from ..functions.sequence import mapq
 from ..operators.graph import OPPOSITE, Graph
 
@@ -18,6 +19,27 @@ def write_lines(lines: DataFrame, path: str, files: int | None = None) -> None:
     (ordered if files is None else ordered.coalesce(files)).write.mode("overwrite").text(path)
 
 
+def write_file(lines: DataFrame, path: str) -> None:
+    """One text file: written in parts by all tasks, which are then copied together in order, as bytes."""
+    spark = lines.sparkSession
+    parts = new_path(spark, "parts")
+    write_lines(lines, parts)
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    there, here = fs.Path(parts), fs.Path(path)
+    source, target = there.getFileSystem(conf), here.getFileSystem(conf)
+    out = target.create(here, True)
+    try:
+        for name in sorted(x.getPath().getName() for x in source.listStatus(there) if x.getPath().getName().startswith("part-")):
+            part = source.open(fs.Path(parts, name))
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    drop_path(spark, parts)
+
+
 def _tabbed(*columns: Column | str) -> Column:
     return F.concat_ws("\t", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
 
