@@ -160,12 +160,13 @@ def cleared(spark: SparkSession) -> None:
 
 class Written:
     """A table written to the shared folder and read again: its lineage ends here, and lost executors do not
-    matter to what comes after."""
+    matter to what comes after. One of few bytes a task is written by no more tasks than run at once, as many
+    small files cost more than what is in them."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, few: bool = False):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
+        (df.coalesce(self.spark.sparkContext.defaultParallelism) if few else df).write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -176,11 +177,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Written(df, name).df
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str, few: bool = False) -> DataFrame:
     """What make() returns, written; the tables that it wrote on its way are deleted."""
     _open.scopes = [*getattr(_open, "scopes", []), []]
     try:
-        out = Written(make(), name)
+        out = Written(make(), name, few)
     finally:
         scope = _open.scopes.pop()
     for path in scope:
