@@ -30,8 +30,8 @@ def components(links: DataFrame) -> DataFrame:
     """links: (a long, b long), not null, in any order and number. Returns (node, root): every node of a link
     and the least node it is connected to."""
     turned = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = Written(turned.union(turned.select("v", "u")).where("u <> v").distinct(), "links")
-    labels = Written(both.df.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")).select(F.col("u").alias("node"), "p"), "labels")
+    both = Written(turned.union(turned.select("v", "u")).where("u <> v").distinct(), "links", few=True)
+    labels = Written(both.df.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")).select(F.col("u").alias("node"), "p"), "labels", few=True)
     total = None
     while (now := labels.df.agg(F.sum(F.col("p").cast("decimal(38,0)"))).head()[0]) != total:
         total = now  # labels only fall: an equal sum means that none has changed
@@ -40,7 +40,7 @@ def components(links: DataFrame) -> DataFrame:
         near = salted(both.df, "u").join(repeated(above.select(F.col("node").alias("v"), "gp")), ["v", "salt"]).groupBy("u").agg(F.min("gp").alias("c"))
         step = above.join(near.withColumnRenamed("u", "node"), "node")
         least = step.select(F.explode(F.array(F.struct("node", F.least("p", "gp", "c").alias("p")), F.struct(F.col("p").alias("node"), F.col("c").alias("p")))).alias("x")).select("x.*")
-        new = Written(least.groupBy("node").agg(F.min("p").alias("p")), "labels")
+        new = Written(least.groupBy("node").agg(F.min("p").alias("p")), "labels", few=True)
         labels.drop()
         labels = new
     both.drop()

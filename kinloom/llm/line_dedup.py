@@ -255,7 +255,7 @@ def line_arrays(named: DataFrame, batches: int, shards: int, min_chars: int, min
     """named: (id, text). The table of the shards' arrays: (shard, arrays); shards without a common line have no row."""
     own = named.select("id", "text").withColumn("batch", batch_of(F.col("id"), F.col("text"), batches))
     told = own.mapInArrow(lines_of(min_chars), LINES).groupBy("batch").applyInArrow(counted(shards), COUNTED)
-    return Written(told.groupBy("shard").applyInArrow(built(min_docs), ARRAYS), "line-arrays")
+    return Written(told.groupBy("shard").applyInArrow(built(min_docs), ARRAYS), "line-arrays", few=True)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), arrays_bytes: int = ARRAYS_BYTES) -> DataFrame:

@@ -101,7 +101,7 @@ def links(points: DataFrame, distance: int = 2, segments: int = 2, bucket: int =
     held = entries.join(count.where(f"n <= {bucket}"), ["s", "key"]).select("s", "key", F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
     near = F.expr(f"bit_count(fp ^ fp2) <= {distance}")
     pairs = probes.join(held, ["s", "key"]).where((F.col("fp") != F.col("fp2")) & near).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-    full = Written(count.where(f"n > {bucket}").select("s", "key"), "full-buckets").df
+    full = Written(count.where(f"n > {bucket}").select("s", "key"), "full-buckets", few=True).df
     if full.isEmpty():
         return pairs.distinct()
     crowded = probes.join(full, ["s", "key"], "left_semi").select("fp", "rep").distinct()
@@ -120,7 +120,7 @@ def classes(points: DataFrame, **how) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, segments: int = 2, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (the least id reachable over links
     of at most `distance` differing bits)."""
-    return settled(docs.sparkSession, lambda: _near_duplicates(docs, shingle, distance, segments, bucket, id_col, text_col), "near-duplicates")
+    return settled(docs.sparkSession, lambda: _near_duplicates(docs, shingle, distance, segments, bucket, id_col, text_col), "near-duplicates", few=True)
 
 
 def _near_duplicates(docs: DataFrame, shingle: int, distance: int, segments: int, bucket: int, id_col: str, text_col: str) -> DataFrame:
@@ -137,9 +137,10 @@ def _near_duplicates(docs: DataFrame, shingle: int, distance: int, segments: int
 # documents whose fingerprints differ in more bits share rare shingles: of two sets of a similarity of t or more, the first
 # n - ceil(t n) + 1 shingles of each, in any order that is common to all sets, share one. Each set names these as keys,
 # the shingles that few documents hold first, and no pair is missed. Keys are told to shards by batches of documents
-# (shards.py), and only those that several hold come back. A pair is compared unless its sizes or its bitmaps (a bit for
-# each of 512 parts of the hashes' range, telling whether the set holds an odd number there: sets differ in at least as
-# many shingles as bitmaps in bits) rule it out. The holders of a key are first compared with the least of them; then all
+# (shards.py), and only those that several hold come back. A pair is compared unless its sizes or its bitmaps rule it out:
+# a bit tells whether the set holds an odd number of the hashes that fall to it, so sets differ in at least as many
+# shingles as bitmaps in bits. Each set has a bitmap of 512 bits, which is looked at before pairs are made, and a wide one of
+# two bits a shingle or more, for the pairs. The holders of a key are first compared with the least of them; then all
 # pairs that are still in different groups are, in blocks where more than `bucket` documents hold the key.
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -196,28 +197,33 @@ def prefix(h: np.ndarray, similarity: float, known: np.ndarray, counts: np.ndarr
     return h[:k]
 
 
-def bitmap(h: np.ndarray) -> np.ndarray:
-    odd = np.bincount(((h * _SPREAD) >> np.uint64(55)).astype(np.int64), minlength=BITS) & 1
+def bitmap(h: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The places of a bitmap of half as many bits are these, modulo their number: the halves of this one XORed."""
+    odd = np.bincount(((h * _SPREAD) >> np.uint64(24) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide(h: np.ndarray) -> np.ndarray:
+    return bitmap(h, max(BITS, 1 << int(2 * len(h) - 1).bit_length()) if len(h) else BITS)
+
+
 def sketches(named: DataFrame, shingle: int, similarity: float, rows: int) -> DataFrame:
-    """(id, same, n, fp, keys, bits): a hash of the set itself, its size, its fingerprint, its rare shingles (mixed, as they
-    are the least of all), its bitmap."""
+    """(id, same, n, fp, keys, bits, wide): a hash of the set itself, its size, its fingerprint, its rare shingles (mixed, as
+    they are the least of all), its bitmaps."""
     known, counts = frequent(named, shingle, rows)
 
     def made(many: list[str]) -> dict:
         import pyarrow as pa
 
-        out: dict[str, list] = {c: [] for c in ("same", "n", "fp", "keys", "bits")}
+        out: dict[str, list] = {c: [] for c in ("same", "n", "fp", "keys", "bits", "wide")}
         for t in many:
             h = shingle_hashes(t, shingle)
-            for c, x in zip(out, (xxhash.xxh3_128_digest(h.tobytes()), len(h), majority((h[i : i + BLOCK] for i in range(0, len(h), BLOCK))), mixed(prefix(h, similarity, known, counts), 11).tobytes(), bitmap(h))):
+            for c, x in zip(out, (xxhash.xxh3_128_digest(h.tobytes()), len(h), majority((h[i : i + BLOCK] for i in range(0, len(h), BLOCK))), mixed(prefix(h, similarity, known, counts), 11).tobytes(), bitmap(h), wide(h))):
                 out[c].append(x)
-        kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return {c: pa.array(x, k) for (c, x), k in zip(out.items(), kinds)}
 
-    return named.mapInArrow(by_batch(made), "id long, same binary, n int, fp long, keys binary, bits array<long>")
+    return named.mapInArrow(by_batch(made), "id long, same binary, n int, fp long, keys binary, bits array<long>, wide array<long>")
 
 
 def ask_keys(shards: int):
@@ -269,10 +275,25 @@ def shared_keys(points: DataFrame, rows: int) -> DataFrame:
     return dealt.cogroup(answers.groupBy("batch")).applyInArrow(told, SHARED)
 
 
+def apart_at_most(similarity: float) -> Column:
+    """In how many shingles two similar sets of n and n2 can differ."""
+    return (F.col("n") + F.col("n2")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def possible(similarity: float) -> Column:
     """Whether sizes n, n2 and bitmaps bits, bits2 allow a pair to be similar."""
     apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(BITS // 64)), F.lit(0))
-    return sized(similarity) & (apart <= (F.col("n") + F.col("n2")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    return sized(similarity) & (apart <= apart_at_most(similarity))
+
+
+def widely_possible(similarity: float) -> Column:
+    """The same by wide bitmaps: those of similar sizes have as many bits, or one has twice as many."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    half = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), xor)
+    a = F.when(F.size("wide") > F.size("wide2"), half("wide")).otherwise(F.col("wide"))
+    b = F.when(F.size("wide2") > F.size("wide"), half("wide2")).otherwise(F.col("wide2"))
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return F.when(sized(similarity), apart <= apart_at_most(similarity)).otherwise(False)
 
 
 def sized(similarity: float) -> Column:
@@ -284,15 +305,15 @@ def other(df: DataFrame) -> DataFrame:
 
 
 def ruled_in(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) those that sizes and bitmaps allow."""
-    known = points.select(F.col("rep").alias("a"), "n", "bits")
-    return pairs.join(known, "a").join(other(known).withColumnRenamed("a2", "b"), "b").where(possible(similarity)).select("a", "b")
+    """Of pairs (a, b) those that sizes and wide bitmaps allow."""
+    known = points.select(F.col("rep").alias("a"), "n", "wide")
+    return pairs.join(known, "a").join(other(known).withColumnRenamed("a2", "b"), "b").where(widely_possible(similarity)).select("a", "b")
 
 
 def near_prints(points: DataFrame, distance: int, segments: int) -> DataFrame:
     """Pairs (a, b) whose fingerprints are linked: those of the least documents of two fingerprints, and each
     document with the least of its own."""
-    least = Written(points.groupBy("fp").agg(F.min("rep").alias("rep")), "prints")
+    least = Written(points.groupBy("fp").agg(F.min("rep").alias("rep")), "prints", few=True)
     equal = points.select("fp", F.col("rep").alias("b")).join(least.df.withColumnRenamed("rep", "a"), "fp").where("a <> b").select("a", "b")
     return links(least.df, distance, segments).union(equal)
 
@@ -320,12 +341,12 @@ def remaining(points: DataFrame, shared: DataFrame, roots: DataFrame, similarity
     rows = rows.select("key", F.least("part", "o").alias("low"), F.greatest("part", "o").alias("high"), "part", "rep", "root", "n", "bits")
     once = (F.col("low") == F.col("high")) | (F.col("part") != F.col("part2"))
     met = rows.join(other(rows), ["key", "low", "high"]).where(apart & once & possible(similarity))
-    return inner.union(met.select(*pair)).distinct()
+    return inner.union(ruled_in(met.select(*pair).distinct(), points, similarity)).distinct()
 
 
 def alike(named: DataFrame, pairs: DataFrame, shingle: int, similarity: float, repeated: bool) -> DataFrame:
     """Of the pairs those whose sets are similar, or of an id in several rows any of its sets."""
-    wanted = Written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted").df
+    wanted = Written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted", few=True).df
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     sets = sets_of(named.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), shingle)
     sets = Written(sets.distinct() if repeated else sets, "sets").df
@@ -337,7 +358,7 @@ def alike(named: DataFrame, pairs: DataFrame, shingle: int, similarity: float, r
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2, segments: int = 2, bucket: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per id: id, component_id: the least id reachable over pairs whose sets of shingles have a
     Jaccard similarity of at least `similarity`. Texts without words are alike. Null ids give no row."""
-    return settled(docs.sparkSession, lambda: _similar_groups(docs, shingle, similarity, distance, segments, bucket, id_col, text_col), "groups")
+    return settled(docs.sparkSession, lambda: _similar_groups(docs, shingle, similarity, distance, segments, bucket, id_col, text_col), "groups", few=True)
 
 
 def _similar_groups(docs: DataFrame, shingle: int, similarity: float, distance: int, segments: int, bucket: int, id_col: str, text_col: str) -> DataFrame:
@@ -345,14 +366,14 @@ def _similar_groups(docs: DataFrame, shingle: int, similarity: float, distance:
     n = named.count()
     sketch = Written(sketches(named, shingle, similarity, n), "sketches").df
     # Of equal sets only the row of the least id goes on.
-    least = Written(sketch.groupBy("same").agg(F.min("id").alias("rep")), "least").df
+    least = Written(sketch.groupBy("same").agg(F.min("id").alias("rep")), "least", few=True).df
     copies = sketch.select("id", "same").join(least, "same").where("id <> rep").select("id", "same")
     points = Written(sketch.join(copies, ["id", "same"], "left_anti").withColumnRenamed("id", "rep"), "points").df
     shared = Written(shared_keys(points, n), "shared").df
     repeated = not sketch.groupBy("id").count().where("count > 1").isEmpty()
-    close = Written(alike(named, Written(proposals(points, shared, similarity, distance, segments), "proposals").df, shingle, similarity, repeated), "alike").df
+    close = Written(alike(named, Written(proposals(points, shared, similarity, distance, segments), "proposals", few=True).df, shingle, similarity, repeated), "alike", few=True).df
     of = components(close)
-    rest = Written(remaining(points, shared, of, similarity, bucket), "remaining").df
+    rest = Written(remaining(points, shared, of, similarity, bucket), "remaining", few=True).df
     if not rest.isEmpty():
         of = components(close.union(alike(named, rest, shingle, similarity, repeated)))
     classes = least.join(of.select(F.col("node").alias("rep"), "root"), "rep", "left").select("same", F.coalesce("root", "rep").alias("component_id"))

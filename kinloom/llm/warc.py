@@ -172,7 +172,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "bytes": pa.array([size], pa.int64()), "n_records": pa.array([n], pa.int64())})
 
-    return Written(joined.mapInArrow(written, "path string, bytes long, n_records long"), "warc-files").df
+    return Written(joined.mapInArrow(written, "path string, bytes long, n_records long"), "warc-files", few=True).df
 
 
 def read_archives(files: DataFrame, split_bytes: int = 32 << 20, payloads: bool = True, damaged: str = "fail") -> DataFrame:
