@@ -1,49 +1,57 @@
 """A corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination, token ids.
 
 Each stage takes all documents that its predecessor kept, and what it decides takes effect. n_chars is that
-of the text as it stands after the stage.
+of the text as it stands after the stage. In all stages a null text is an empty one, which the quality rules reject; a
+null id is no document for what is counted over documents, and its row stays unless the stage rejects the text itself;
+rows that repeat an id are judged each by its text, but for near-duplicates, where they are one document; an empty table
+gives an empty table; columns besides COLUMNS are left behind.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.config import dealt
+from kinloom.config import dealt, drop_path, settled
 from kinloom.llm import bpe_codec, decontamination, line_dedup, quality_rules, simhash
-from kinloom.llm.common import Written, table
+from kinloom.llm.common import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, a row at a time: those with null or empty texts among them."""
     return quality_rules.quality(docs, carry=("text", "lang", "source", "n_chars")).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share go, but from the last of these."""
-    out = line_dedup.line_dedup(docs, carry=("text", "lang", "source", "n_chars"))
-    changed = F.col("n_dropped") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
+    """Lines that many documents share go, but from the last of these. A null text stays null; rows with a null id
+    keep all lines; rows that repeat an id count once and lose lines each."""
+    told = docs.select(*COLUMNS, F.col("text").isNull().alias("none"))
+    out = line_dedup.line_dedup(told, carry=("lang", "source", "n_chars", "none"))
+    text = F.when(~F.col("none"), F.col("kept_text"))
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents (five-word shingles, similarity of 0.8 or more) that with the least
-    id stays. Rows with a null id stay."""
+    id stays. Rows with a null id stay; texts without words are alike."""
     gone = simhash.similar_groups(docs).where("component_id <> doc_id").select("doc_id")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go: all rows of an id if one of them does. Rows with a null id stay."""
     held = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(held, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text: their number and digest, and the digest of the text decoded from them."""
+    """Token ids of each text: their number and digest, and the digest of the text decoded from them. A row for each row;
+    a null text has none."""
     return bpe_codec.round_trip(docs)
 
 
@@ -53,8 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage on what its predecessor kept, with a written table between stages."""
-    docs = dealt(table(spark, sf_dir, "documents")).select(*COLUMNS)
+    """Every stage on what its predecessor kept, with a written table between stages. What a stage wrote on its way,
+    and the table that it read, are deleted when its own is there."""
+    docs, before = dealt(table(spark, sf_dir, "documents")).select(*COLUMNS), None
     for name, stage in STAGES[:-1]:
-        docs = Written(stage(spark, docs, sf_dir), name).df
+        docs = settled(spark, partial(stage, spark, docs, sf_dir), name)
+        if before is not None:
+            drop_path(spark, before)
+        before = docs.inputFiles()[0].rsplit("/", 1)[0] if docs.inputFiles() else None
     return STAGES[-1][1](spark, docs, sf_dir)
