@@ -399,22 +399,6 @@ def test_oracles(spark, name):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = spark.createDataFrame(stage(spark, kept, SMALL).collect(), docs.schema)
-        assert after.columns == docs.columns and after.count() <= kept.count(), name
-        kept = after
-    assert kept.count() < docs.count()
-    texts = {r.doc_id: r.text for r in kept.collect()}
-    library = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
-    got = {r.doc_id: r for r in corpus_pipeline.run(spark, SMALL).collect()}
-    assert set(got) == set(texts)
-    for i, t in texts.items():
-        assert got[i].n_tokens == len(library.encode(t, add_special_tokens=False).ids) and got[i].decoded_sha256 == sha(t)
-
-
 @pytest.mark.parametrize("k", range(4))
 def test_stages_take_odd_rows(spark, k):
     odd = [(i, t, None, "s", None) for i, t in ROWS]
