@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import written
+from .numbering import in_ranges
 
 
 def _any_prefix(column: str, prefixes: list[str]) -> Column:
@@ -60,8 +61,13 @@ def query_intervals(entries: DataFrame, queries: DataFrame, **how) -> DataFrame:
 def painted(regions: DataFrame, order: str = "row_idx") -> DataFrame:
     """Disjoint segments (chrom, start, end, cov): where regions overlap, the last one in order counts; its
     coverage is rounded to an integer."""
-    edges = regions.select("chrom", F.explode(F.array("start", "end")).alias("at")).distinct()
-    segments = edges.withColumn("to", F.lead("at").over(Window.partitionBy("chrom").orderBy("at"))).where("to IS NOT NULL").select("chrom", F.col("at").alias("start"), F.col("to").alias("end"))
+    edges = in_ranges(regions.select("chrom", F.explode(F.array("start", "end")).alias("at")).distinct(), "chrom", "at")
+    # The next edge is in the same range of edges, or the first of the next range.
+    first = edges.groupBy("_part").agg(F.min(F.struct("chrom", "at")).alias("first"))
+    after = first.select("_part", F.lead("first").over(Window.orderBy("_part")).alias("next"))  # a row for each range
+    step = edges.withColumn("to", F.lead("at").over(Window.partitionBy("_part", "chrom").orderBy("at"))).join(F.broadcast(after), "_part")
+    to = F.coalesce("to", F.when(F.col("next.chrom") == F.col("chrom"), F.col("next.at")))
+    segments = step.select("chrom", F.col("at").alias("start"), to.alias("end")).where("end IS NOT NULL")
     met = overlapping(segments, regions.select("chrom", "start", "end", order, "mean_coverage"))
     last = met.groupBy("chrom", "start", "end").agg(F.max_by("r_mean_coverage", f"r_{order}").alias("c"))
     return last.select("chrom", "start", "end", F.floor(F.col("c") + 0.5).cast("long").alias("cov"))
@@ -82,10 +88,15 @@ def family_cn(repeats: DataFrame, regions: DataFrame, baseline: float, order: st
 
 def merge_intervals(intervals: DataFrame, label: str = "name") -> DataFrame:
     """(chrom, start, end, names): overlapping and touching intervals become one, with the set of labels."""
-    by = Window.partitionBy("chrom").orderBy("start", "end")
-    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.select("chrom", "start", "end", label, F.when(F.col("start") <= reach, 0).otherwise(1).alias("new"))
-    run = marked.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = in_ranges(intervals.select("chrom", "start", "end", label), "chrom", "start", "end")
+    # How far intervals reach is told within a range, and from range to range by its largest end: a row for each.
+    by = Window.partitionBy("_part", "chrom").orderBy("_at")
+    ranges, earlier = Window.partitionBy("chrom").orderBy("_part"), Window.partitionBy("chrom").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy("_part", "chrom").agg(F.max("end").alias("far")).withColumn("before", F.max("far").over(earlier)).drop("far")
+    reached = F.greatest(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.col("before"))
+    marked = rows.join(F.broadcast(reach), ["_part", "chrom"]).withColumn("new", F.when(F.col("start") <= reached, 0).otherwise(1)).drop("before")
+    runs = marked.groupBy("_part", "chrom").agg(F.sum("new").alias("n")).withColumn("runs", F.sum("n").over(ranges) - F.col("n")).drop("n")
+    run = marked.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(runs), ["_part", "chrom"]).withColumn("run", F.col("run") + F.col("runs"))
     return run.groupBy("chrom", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.array_sort(F.collect_set(label)), ",").alias("names")).drop("run")
 
 
