@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -95,8 +96,16 @@ PACKAGE = __package__.split(".")[0]
 _shipped: set[str] = set()
 
 
+#: Rows in an Arrow batch, where the session has Spark's default: rows hold whole texts or sequences, and a batch is
+#: in memory several times over, in the JVM and in Python.
+BATCH_ROWS = 1024
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on executors that don't share the driver's folders."""
+    """Makes this package importable on executors that don't share the driver's folders, and Arrow batches small."""
+    if spark.conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     roots = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     here = str(_ROOT)
     app = spark.sparkContext.applicationId
@@ -192,6 +201,11 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str, few:
     return out.df
 
 
+def few_or_all(ids: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """A written table of ids for a join: broadcast if they are counted to be at most so many, else as it is."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt evenly to as many tasks as there are: for work that costs far more than the shuffle."""
     spark = df.sparkSession
