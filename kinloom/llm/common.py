@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Written, new_path, settled, ship  # noqa: F401
+from ..config import Written, few_or_all, new_path, settled, ship  # noqa: F401
 
 #: Texts that an Arrow function takes at a time.
 SLICE = 256

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, by_batch, settled, two_columns
+from .common import Written, by_batch, few_or_all, settled, two_columns
 from .components import components
 from .perfect_hash import mixed
 from .shards import BATCHES_PER_SHARD, MOST_DOCS, batch_of, by_shard, packed
@@ -347,8 +347,7 @@ def remaining(points: DataFrame, shared: DataFrame, roots: DataFrame, similarity
 def alike(named: DataFrame, pairs: DataFrame, shingle: int, similarity: float, repeated: bool) -> DataFrame:
     """Of the pairs those whose sets are similar, or of an id in several rows any of its sets."""
     wanted = Written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted", few=True).df
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    sets = sets_of(named.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), shingle)
+    sets = sets_of(named.join(few_or_all(wanted, BROADCAST_IDS), "id", "left_semi"), shingle)
     sets = Written(sets.distinct() if repeated else sets, "sets").df
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     common = met.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("c"))
