@@ -14,7 +14,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.config import dealt, drop_path, settled
+from kinloom.config import Written, dealt, drop_path, few_or_all, settled
 from kinloom.llm import bpe_codec, decontamination, line_dedup, quality_rules, simhash
 from kinloom.llm.common import table
 
@@ -39,14 +39,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents (five-word shingles, similarity of 0.8 or more) that with the least
     id stays. Rows with a null id stay; texts without words are alike."""
-    gone = simhash.similar_groups(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = Written(simhash.similar_groups(docs).where("component_id <> doc_id").select("doc_id"), "gone", few=True)
+    return docs.select(*COLUMNS).join(few_or_all(gone.df), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go: all rows of an id if one of them does. Rows with a null id stay."""
-    held = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(held, "doc_id", "left_anti").select(*COLUMNS)
+    held = Written(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "held", few=True)
+    return docs.select(*COLUMNS).join(few_or_all(held.df), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
