@@ -87,24 +87,35 @@ def exploded(points: DataFrame, masks: list[tuple[int, int]], width: int) -> Dat
     return points.select("fp", "rep", F.inline(table)).select("fp", "rep", "s", F.expr(key).alias("key"))
 
 
+def around(entries: DataFrame, balls: dict[int, list[int]]) -> DataFrame:
+    """Each entry of a segment's table, and with it the keys of the ball around its own."""
+    masks = F.lit(None).cast("array<bigint>")
+    for k, ball_ in balls.items():
+        masks = F.when(F.col("s") == k, F.array(*[F.lit(signed(m)).cast("long") for m in ball_])).otherwise(masks)
+    return entries.select("fp", "rep", "s", "key", F.explode(masks).alias("m")).select("fp", "rep", "s", F.col("key").bitwiseXOR(F.col("m")).alias("key"))
+
+
 def links(points: DataFrame, distance: int = 2, segments: int = 2, bucket: int = BUCKET) -> DataFrame:
     """points: (fp, rep), distinct fingerprints with their least ids. Returns (a, b), ids of linked ones:
-    all pairs within the distance, but for full buckets a star for each name, which connects the same."""
+    all pairs within the distance, but for full buckets a star for each name, which connects the same. Who is in a full
+    bucket of a segment fetches nothing with it: whom it would find there fetches the full bucket, and both give names. So
+    a bucket is fetched by no more than those of the small ones around it."""
     if distance % 2 or 64 % segments:
         raise ValueError("distance must be even and segments divide 64")
     width, (radius, more) = 64 // segments, divmod(distance, segments)
     radii = [radius if k <= more else radius - 1 for k in range(segments)]
     used = [k for k in range(segments) if radii[k] >= 0]
+    balls = {k: ball(width, radii[k]) for k in used}
     entries = exploded(points, [(k, 0) for k in used], width)
-    probes = exploded(points, [(k, m) for k in used for m in ball(width, radii[k])], width)
-    count = entries.groupBy("s", "key").agg(F.count("*").alias("n"))
-    held = entries.join(count.where(f"n <= {bucket}"), ["s", "key"]).select("s", "key", F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
+    full = Written(entries.groupBy("s", "key").agg(F.count("*").alias("n")).where(f"n > {bucket}").select("s", "key"), "full-buckets", few=True).df
+    some = not full.isEmpty()
+    roomy = entries.join(few_or_all(full), ["s", "key"], "left_anti") if some else entries
+    held = roomy.select("s", "key", F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
     near = F.expr(f"bit_count(fp ^ fp2) <= {distance}")
-    pairs = probes.join(held, ["s", "key"]).where((F.col("fp") != F.col("fp2")) & near).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-    full = Written(count.where(f"n > {bucket}").select("s", "key"), "full-buckets", few=True).df
-    if full.isEmpty():
+    pairs = around(roomy, balls).join(held, ["s", "key"]).where((F.col("fp") != F.col("fp2")) & near).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+    if not some:
         return pairs.distinct()
-    crowded = probes.join(full, ["s", "key"], "left_semi").select("fp", "rep").distinct()
+    crowded = around(entries, balls).join(few_or_all(full), ["s", "key"], "left_semi").select("fp", "rep").distinct()
     names = exploded(crowded, [(0, m) for m in ball(64, distance // 2)], 64).select("rep", F.col("key").alias("name"))
     # A name is given by those within half the distance of it alone: a bounded group.
     star = names.join(names.groupBy("name").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1"), "name").where("a <> rep").select("a", F.col("rep").alias("b"))
