@@ -242,7 +242,19 @@ def c5_disambiguate(spark, sf_dir):
     return classify.disambiguate(tables.candidates(spark, sf_dir)).select("bubble_id", "label", r6("confidence", "confidence"))
 
 
-@query()
+_APART = "list_min(flatten(list_transform(g[i].v, lambda x: list_transform(g[j].v, lambda y: hamming(x, y)))))"
+
+
+@query(f"""WITH RECURSIVE {CANDIDATES}, top AS (SELECT * FROM (WITH {_decide_sql()})), snps AS (SELECT user_id * 24 + hour(ts) AS bubble_id, event_id, left(event_type, 4) AS v FROM events),
+    seen AS (SELECT bubble_id, v, count(*) AS n, min(event_id) AS seen_at FROM snps WHERE bubble_id IN (SELECT bubble_id FROM top WHERE label = 'Mixed') GROUP BY ALL),
+    steps AS (SELECT bubble_id, list({{'v': [v], 'n': n}} ORDER BY seen_at) AS g FROM seen GROUP BY bubble_id UNION ALL
+        SELECT bubble_id, list_filter(list_transform(range(1, len(g) + 1), lambda k: CASE WHEN k = p.i THEN {{'v': list_concat(g[p.i].v, g[p.j].v), 'n': g[p.i].n + g[p.j].n}} WHEN k = p.j THEN NULL ELSE g[k] END), lambda x: x IS NOT NULL) FROM
+        (SELECT bubble_id, g, list_min(flatten(list_transform(range(1, len(g)), lambda i: list_transform(range(i + 1, len(g) + 1), lambda j: {{'d': {_APART}, 'i': i, 'j': j}})))) AS p FROM steps WHERE len(g) > 2)),
+    parts AS (SELECT bubble_id, unnest([1, 2]) AS k, g, g[1].n + g[2].n AS total FROM steps WHERE len(g) = 2 AND g[1].n >= 3 AND g[2].n >= 3),
+    sub AS (SELECT bubble_id * 2 + k AS part_id, bubble_id, g[k].n AS n, g[k].n / total AS share FROM parts),
+    decided AS (SELECT * FROM (WITH candidates AS (SELECT part_id AS bubble_id, flank, depth * 2 * share AS depth, greatest(span, share) AS span, length, segdup, repeat_ FROM sub JOIN candidates c ON c.bubble_id = sub.bubble_id), {_decide_sql().replace(", 6) AS confidence", ", 15) AS confidence")})),
+    means AS (SELECT sub.bubble_id, sum(n * confidence) / sum(n) AS mean FROM sub JOIN decided ON decided.bubble_id = part_id GROUP BY sub.bubble_id)
+    SELECT bubble_id, label, round(coalesce(mean, confidence), 6) AS confidence, mean IS NOT NULL AS decomposed FROM top LEFT JOIN means USING (bubble_id)""")
 def c6_hierarchical(spark, sf_dir):
     """Mixed bubbles decomposed by their reads' SNP vectors, here the letters of their events."""
     e = tables.table(spark, sf_dir, "events")
@@ -534,7 +546,15 @@ def f15_deltas(spark, sf_dir):
     return out.select("read_id", F.size("deltas").cast("long").alias("n_ops"), (F.col("rebuilt") == F.col("read_seq")).alias("same"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PART_NAMES}, refs AS (SELECT r_name AS ref_name, translate(lower(regexp_replace(r_name, '[^A-Za-z]', '', 'g')), '{tables.LETTERS}', '{tables.BASES}') AS t FROM region),
+    pairs AS (SELECT read_id, ref_name, seq AS q, t, length(t) AS m, 4 * (length(seq) + length(t)) + 4 AS unit FROM names, refs), todo AS (SELECT *, 2 * unit + 1 AS ext FROM pairs WHERE q <> t AND q <> '' AND t <> ''),
+    steps AS (SELECT read_id, ref_name, q, t, m, unit, ext, 0 AS i, list_transform(range(0, m + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE -(4 * unit + j * ext) END) AS h, list_transform(range(0, m + 1), lambda j: -1152921504606846976) AS f FROM todo UNION ALL
+        SELECT read_id, ref_name, q, t, m, unit, ext, i + 1, list_transform(range(0, m + 1), lambda j: CASE WHEN j = 0 THEN best[1] ELSE greatest(best[j + 1], list_max(list_transform(range(0, j), lambda l: best[l + 1] + l * ext)) - 4 * unit - j * ext) END), f2 FROM
+        (SELECT *, list_transform(range(0, m + 1), lambda j: CASE WHEN j = 0 THEN f2[1] ELSE greatest(f2[j + 1], h[j] + CASE WHEN substr(q, i + 1, 1) = substr(t, j, 1) THEN unit ELSE -2 * unit - 1 END) END) AS best FROM
+        (SELECT *, list_transform(range(0, m + 1), lambda j: greatest(f[j + 1] - ext, h[j + 1] - 4 * unit - ext)) AS f2 FROM steps WHERE i < length(q)))),
+    done AS (SELECT read_id, ref_name, ((-h[m + 1]) % unit + unit) % unit AS edits FROM steps WHERE i = length(q)),
+    every AS (SELECT pairs.*, coalesce(edits, CASE WHEN q = t THEN 0 ELSE greatest(length(q), length(t)) END) AS e FROM pairs LEFT JOIN done USING (read_id, ref_name))
+    SELECT read_id AS contig_id, ref_name, length(q) AS contig_bp, m AS ref_bp, e AS edits, round(1 - e / greatest(length(q), m), 6) AS identity FROM every""")
 def p4_somatic(spark, sf_dir):
     """parts' names against the names of the regions."""
     seq = F.translate(F.lower(F.regexp_replace("r_name", "[^A-Za-z]", "")), tables.LETTERS, tables.BASES)
