@@ -245,7 +245,7 @@ def c5_disambiguate(spark, sf_dir):
 _APART = "list_min(flatten(list_transform(g[i].v, lambda x: list_transform(g[j].v, lambda y: hamming(x, y)))))"
 
 
-@query(f"""WITH RECURSIVE {CANDIDATES}, top AS (SELECT * FROM (WITH {_decide_sql()})), snps AS (SELECT user_id * 24 + hour(ts) AS bubble_id, event_id, left(event_type, 4) AS v FROM events),
+@query(f"""WITH RECURSIVE {CANDIDATES}, top AS (SELECT * FROM (WITH {_decide_sql()})), snps AS (SELECT user_id * 24 + hour AS bubble_id, event_id, left(event_type, 4) AS v FROM (SELECT DISTINCT user_id, hour(ts) AS hour FROM events) JOIN events USING (user_id)),
     seen AS (SELECT bubble_id, v, count(*) AS n, min(event_id) AS seen_at FROM snps WHERE bubble_id IN (SELECT bubble_id FROM top WHERE label = 'Mixed') GROUP BY ALL),
     steps AS (SELECT bubble_id, list({{'v': [v], 'n': n}} ORDER BY seen_at) AS g FROM seen GROUP BY bubble_id UNION ALL
         SELECT bubble_id, list_filter(list_transform(range(1, len(g) + 1), lambda k: CASE WHEN k = p.i THEN {{'v': list_concat(g[p.i].v, g[p.j].v), 'n': g[p.i].n + g[p.j].n}} WHEN k = p.j THEN NULL ELSE g[k] END), lambda x: x IS NOT NULL) FROM
@@ -256,9 +256,10 @@ _APART = "list_min(flatten(list_transform(g[i].v, lambda x: list_transform(g[j].
     means AS (SELECT sub.bubble_id, sum(n * confidence) / sum(n) AS mean FROM sub JOIN decided ON decided.bubble_id = part_id GROUP BY sub.bubble_id)
     SELECT bubble_id, label, round(coalesce(mean, confidence), 6) AS confidence, mean IS NOT NULL AS decomposed FROM top LEFT JOIN means USING (bubble_id)""")
 def c6_hierarchical(spark, sf_dir):
-    """Mixed bubbles decomposed by their reads' SNP vectors, here the letters of their events."""
+    """Mixed bubbles decomposed by their reads' SNP vectors, here the letters of their users' events."""
     e = tables.table(spark, sf_dir, "events")
-    snps = e.select((F.col("user_id") * 24 + F.hour("ts")).alias("bubble_id"), F.col("event_id").alias("read_id"), F.left("event_type", F.lit(4)).alias("snps"))
+    hours = e.select("user_id", (F.col("user_id") * 24 + F.hour("ts")).alias("bubble_id")).distinct()
+    snps = hours.join(e, "user_id").select("bubble_id", F.col("event_id").alias("read_id"), F.left("event_type", F.lit(4)).alias("snps"))
     out = classify.hierarchical(tables.candidates(spark, sf_dir), "bubble_id", snps)
     return out.select("bubble_id", "label", r6("confidence", "confidence"), "decomposed")
 
