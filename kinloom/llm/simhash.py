@@ -151,8 +151,9 @@ def _near_duplicates(docs: DataFrame, shingle: int, distance: int, segments: int
 # (shards.py), and only those that several hold come back. A pair is compared unless its sizes or its bitmaps rule it out:
 # a bit tells whether the set holds an odd number of the hashes that fall to it, so sets differ in at least as many
 # shingles as bitmaps in bits. Each set has a bitmap of 512 bits, which is looked at before pairs are made, and a wide one of
-# two bits a shingle or more, for the pairs. The holders of a key are first compared with the least of them; then all
-# pairs that are still in different groups are, in blocks where more than `bucket` documents hold the key.
+# two bits a shingle or more, for the pairs. The holders of a key are first compared with the least of them; then, TURNS times,
+# each with the nearest of the pivots of its keys in other groups, a pair for each document; then all pairs that are
+# still in different groups are, in blocks where more than `bucket` documents hold the key.
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Documents whose shingles are counted to find the frequent ones, and how many of these are told apart. Both
@@ -160,6 +161,7 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE, FREQUENT = 10_000, 1 << 16
 BITS = 512
 PART = 512  # documents in a block of a full key
+TURNS = 2
 #: Ids up to which those to compare are broadcast.
 BROADCAST_IDS = 1 << 19
 ASK_KEYS = "shard int, batch long, keys binary, counts binary"
@@ -297,14 +299,13 @@ def possible(similarity: float) -> Column:
     return sized(similarity) & (apart <= apart_at_most(similarity))
 
 
-def widely_possible(similarity: float) -> Column:
-    """The same by wide bitmaps: those of similar sizes have as many bits, or one has twice as many."""
+def wide_apart() -> Column:
+    """The bits in which wide bitmaps differ: those of similar sizes have as many, or one has twice as many."""
     xor = lambda x, y: x.bitwiseXOR(y)
     half = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), xor)
     a = F.when(F.size("wide") > F.size("wide2"), half("wide")).otherwise(F.col("wide"))
     b = F.when(F.size("wide2") > F.size("wide"), half("wide2")).otherwise(F.col("wide2"))
-    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    return F.when(sized(similarity), apart <= apart_at_most(similarity)).otherwise(False)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
 
 
 def sized(similarity: float) -> Column:
@@ -316,9 +317,10 @@ def other(df: DataFrame) -> DataFrame:
 
 
 def ruled_in(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) those that sizes and wide bitmaps allow."""
+    """Of pairs (a, b) those that sizes and wide bitmaps allow, with the bits in which these differ (apart)."""
     known = points.select(F.col("rep").alias("a"), "n", "wide")
-    return pairs.join(known, "a").join(other(known).withColumnRenamed("a2", "b"), "b").where(widely_possible(similarity)).select("a", "b")
+    met = pairs.join(known, "a").join(other(known).withColumnRenamed("a2", "b"), "b").where(sized(similarity))
+    return met.withColumn("apart", wide_apart()).where(F.col("apart") <= apart_at_most(similarity)).select("a", "b", "apart")
 
 
 def near_prints(points: DataFrame, distance: int, segments: int) -> DataFrame:
@@ -333,18 +335,31 @@ def proposals(points: DataFrame, shared: DataFrame, similarity: float, distance:
     """Pairs (a, b): linked fingerprints, and the least document of each key with the others."""
     least = shared.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("s")).select("key", F.col("s.rep").alias("rep2"), F.col("s.n").alias("n2"))
     star = shared.join(least, "key").where((F.col("rep") != F.col("rep2")) & sized(similarity)).select(F.col("rep2").alias("a"), F.col("rep").alias("b"))
-    return ruled_in(star.union(near_prints(points, distance, segments)).distinct(), points, similarity)
+    return ruled_in(star.union(near_prints(points, distance, segments)).distinct(), points, similarity).select("a", "b")
 
 
-def remaining(points: DataFrame, shared: DataFrame, roots: DataFrame, similarity: float, bucket: int) -> DataFrame:
-    """Pairs (a, b) that share a key and are in different groups so far."""
+def still_open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of shared whose keys are in different groups so far, with the groups (root)."""
     rooted = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rooted = Written(rooted.join(open_, "key"), "open").df
+    return Written(rooted.join(open_, "key"), "open").df
+
+
+def nearest(points: DataFrame, rooted: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs (a, b): each key has one document for a pivot, another one each turn, and each document is paired with that
+    pivot of another group to which it is nearest by bitmaps. So where many hold a key, few pairs put most together."""
+    pivot = rooted.groupBy("key").agg(F.min_by(F.struct("rep", "root", "n"), F.xxhash64("key", "rep", F.lit(turn))).alias("p")).select("key", F.col("p.rep").alias("rep2"), F.col("p.root").alias("root2"), F.col("p.n").alias("n2"))
+    met = rooted.join(pivot, "key").where((F.col("root") != F.col("root2")) & sized(similarity)).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    best = ruled_in(met, points, similarity).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", "x.b")
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def remaining(points: DataFrame, rooted: DataFrame, similarity: float, bucket: int) -> DataFrame:
+    """Pairs (a, b) that share a key and are in different groups so far."""
     apart = (F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2"))
     pair = [F.col("rep").alias("a"), F.col("rep2").alias("b")]
     few = rooted.where(f"held <= {bucket}").select("key", "rep", "root", "n")
-    inner = ruled_in(few.join(other(few), "key").where(apart & sized(similarity)).select(*pair).distinct(), points, similarity)
+    inner = few.join(other(few), "key").where(apart & sized(similarity)).select(*pair)
     # Where many hold a key, bitmaps are looked at before pairs are made.
     rows = rooted.where(f"held > {bucket}").join(points.select("rep", "bits"), "rep").select("key", "rep", "root", "n", "bits", F.ceil(F.col("held") / PART).cast("int").alias("parts"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -352,7 +367,7 @@ def remaining(points: DataFrame, shared: DataFrame, roots: DataFrame, similarity
     rows = rows.select("key", F.least("part", "o").alias("low"), F.greatest("part", "o").alias("high"), "part", "rep", "root", "n", "bits")
     once = (F.col("low") == F.col("high")) | (F.col("part") != F.col("part2"))
     met = rows.join(other(rows), ["key", "low", "high"]).where(apart & once & possible(similarity))
-    return inner.union(ruled_in(met.select(*pair).distinct(), points, similarity)).distinct()
+    return ruled_in(inner.union(met.select(*pair)).distinct(), points, similarity).select("a", "b")
 
 
 def alike(named: DataFrame, pairs: DataFrame, shingle: int, similarity: float, repeated: bool) -> DataFrame:
@@ -383,7 +398,15 @@ def _similar_groups(docs: DataFrame, shingle: int, similarity: float, distance:
     repeated = not sketch.groupBy("id").count().where("count > 1").isEmpty()
     close = Written(alike(named, Written(proposals(points, shared, similarity, distance, segments), "proposals", few=True).df, shingle, similarity, repeated), "alike", few=True).df
     of = components(close)
-    rest = Written(remaining(points, shared, of, similarity, bucket), "remaining", few=True).df
+    rooted = still_open(shared, of)
+    for turn in range(TURNS):
+        pairs = Written(nearest(points, rooted, similarity, turn), "nearest", few=True).df
+        if pairs.isEmpty():
+            break
+        close = Written(close.union(alike(named, pairs, shingle, similarity, repeated)), "alike", few=True).df
+        of = components(close)
+        rooted = still_open(rooted.drop("root"), of)
+    rest = Written(remaining(points, rooted, similarity, bucket), "remaining", few=True).df
     if not rest.isEmpty():
         of = components(close.union(alike(named, rest, shingle, similarity, repeated)))
     classes = least.join(of.select(F.col("node").alias("rep"), "root"), "rep", "left").select("same", F.coalesce("root", "rep").alias("component_id"))
