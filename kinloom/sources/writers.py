@@ -86,7 +86,7 @@ def paf_lines(overlaps: DataFrame, reads: DataFrame, name: str = "name", seq: st
 def path_lines(paths: DataFrame, names: DataFrame) -> DataFrame:
     """(read_id, line): the read's name, its nodes, how many deltas."""
     named = paths.join(names.select("read_id", "name"), "read_id")
-    n = F.size("deltas") if "deltas" in paths.columns else F.lit(0)
+    n = F.coalesce(F.size("deltas"), F.lit(0)) if "deltas" in paths.columns else F.lit(0)
     return named.select("read_id", _tabbed("name", F.array_join("path", ","), n).alias("line"))
 
 

@@ -165,7 +165,7 @@ def test_scripts():
         read = "".join(read)
         script = alignment.edit_script(read, path)
         assert alignment.apply_script(path, script) == read
-    assert alignment.edit_script("A" * 100, "A" * 10) == [] and alignment.edit_script("A" * 1500, "C" * 1500) == []
+    assert alignment.edit_script("A" * 100, "A" * 10) is None and alignment.edit_script("A" * 1500, "C" * 1500) is None and alignment.edit_script("AC", "AC") == []
     assert [x[1] for x in alignment.edit_script("ACGT", "ACGGT")] == ["D"]
 
 
