@@ -23,13 +23,12 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, field_type, two_columns
+from .common import by_batch, field_type, kept, two_columns
 from .pretokens import Vocabulary, split, vocabulary_path
 
 
@@ -133,7 +132,7 @@ class Codec(dict):
     """pre-token -> ids as little-endian 32-bit integers; short ones are remembered, up to `limit` and those of them
     that were asked for again as many before."""
 
-    def __init__(self, path: str, limit: int = 1 << 18):
+    def __init__(self, path: str, limit: int = 1 << 17):
         self.vocabulary = v = Vocabulary(path)
         self.automaton = Automaton(v)
         self.limit, self.before = limit, {}
@@ -164,9 +163,8 @@ class Codec(dict):
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return kept(("bpe_codec", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,6 +32,18 @@ def opened(uri: str, write: bool = False):
     return system.open_output_stream(path, compression=None) if write else system.open_input_file(path)
 
 
+_kept: dict = {}
+
+
+def kept(name, make):
+    """What an operator keeps in a Python worker from task to task: make() when it is first asked for. A worker keeps
+    the state of one operator alone; that of another one is let go."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 class WordHashes(dict):
     """word (bytes) -> XXH64, unsigned; remembers up to `limit` words."""
 

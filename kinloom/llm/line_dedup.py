@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import SLICE, Written, opened, texts, two_columns
+from .common import SLICE, Written, kept, opened, texts, two_columns
 from .perfect_hash import PerfectHash
 from .shards import batch_of, by_shard, first_and_last, packed, sizes
 
@@ -153,9 +152,12 @@ def built(min_docs: int):
     return of_shard
 
 
-@lru_cache(maxsize=1)
 def stored(files: tuple[str, ...]) -> dict[int, Arrays]:
-    """The arrays of all shards, as they were written."""
+    """The arrays of all shards, as they were written; a worker reads them once."""
+    return kept(("line_dedup", files), lambda: loaded(files))
+
+
+def loaded(files: tuple[str, ...]) -> dict[int, Arrays]:
     import pyarrow.parquet as pq
 
     out = {}

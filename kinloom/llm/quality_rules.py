@@ -12,13 +12,11 @@ looked at. Texts are taken whole; memory is a few numbers per word of the longes
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, WordHashes, by_batch, field_type, two_columns
+from .common import SLICE, WordHashes, by_batch, field_type, kept, two_columns
 
 #: Largest shares of characters in n-grams found before in the text, by length, and in lines found before: the
 #: published limits.
@@ -38,9 +36,8 @@ _KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return kept("quality_rules", WordHashes)
 
 
 def rolling(h: np.ndarray, n: int) -> np.ndarray:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, by_batch, few_or_all, settled, two_columns
+from .common import Written, by_batch, few_or_all, kept, settled, two_columns
 from .components import components
 from .perfect_hash import mixed
 from .shards import BATCHES_PER_SHARD, MOST_DOCS, batch_of, by_shard, packed
@@ -171,6 +171,7 @@ SHARED = "key long, rep long, n int, held long"
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     """The set of a text's shingles, as sorted hashes."""
+    kept("simhash", object)  # nothing; what other operators keep is let go
     words = text.encode("utf-8").lower().split()
     if not words:
         return np.empty(0, np.uint64)

@@ -24,13 +24,12 @@ words and a few numbers for each.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, two_columns
+from .common import WordHashes, kept, two_columns
 from .perfect_hash import mixed
 from .shards import batch_of, by_shard, packed, sizes
 
@@ -46,9 +45,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    return WordHashes(seed=1)
+    return kept("substring_dedup", lambda: WordHashes(seed=1))
 
 
 def rolling(h: np.ndarray, n: int) -> np.ndarray:

@@ -7,13 +7,12 @@ any length is counted whole: splitting walks long texts, merging takes O(n log n
 
 from __future__ import annotations
 
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, field_type, two_columns
+from .common import by_batch, field_type, kept, two_columns
 from .pretokens import Vocabulary, split, vocabulary_path
 
 
@@ -72,9 +71,8 @@ class Counts(dict):
         return total
 
 
-@lru_cache(maxsize=4)
 def counter(path: str) -> Counts:
-    return Counts(path)
+    return kept(("token_count", path), lambda: Counts(path))
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
