@@ -121,18 +121,22 @@ def report_json(projected: DataFrame, sample: str, version: str) -> DataFrame:
     return head.union(rows).union(foot)
 
 
+def _tidy(v):
+    """Six places, so that the last bits of a sum don't decide what is shown."""
+    return round(v, 6) if isinstance(v, float) else v
+
+
 def band_json(stats: list[dict], sample: str, n_truth: int, n_called: int) -> str:
     """The report of one sample's five bands."""
     keys = ("name", "lo", "hi", "n_truth", "n_called", "tp", "fp", "recall", "precision", "median_abs_vaf_residual", "copy_count_accuracy")
-    tidy = lambda v: round(v, 6) if isinstance(v, float) else v
-    return json.dumps({"schema_version": "1", "sample": sample, "n_truth": n_truth, "n_called": n_called, "bands": [{k: tidy(s[k]) for k in keys} for s in stats]}, indent=2)
+    return json.dumps({"schema_version": "1", "sample": sample, "n_truth": n_truth, "n_called": n_called, "bands": [{k: _tidy(s[k]) for k in keys} for s in stats]}, indent=2)
 
 
 def band_table(stats: list[dict]) -> str:
-    """The same as a table of fixed width."""
+    """The same values as a table of fixed width."""
     keys = ("n_truth", "n_called", "tp", "fp", "recall", "precision", "median_abs_vaf_residual", "copy_count_accuracy")
     show = lambda v: "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
-    rows = [("band", "n_truth", "n_called", "tp", "fp", "recall", "precision", "residual", "cn_ok"), *((s["name"], *(show(s[k]) for k in keys)) for s in stats)]
+    rows = [("band", "n_truth", "n_called", "tp", "fp", "recall", "precision", "residual", "cn_ok"), *((s["name"], *(show(_tidy(s[k])) for k in keys)) for s in stats)]
     return "\n".join("".join(f"{x:<14}" if i == 0 else f"{x:>10}" for i, x in enumerate(r)) for r in rows)
 
 

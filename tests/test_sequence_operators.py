@@ -292,3 +292,10 @@ def test_stream_of_reads(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         sketch_stream(stream, str(tmp_path / "out"), str(tmp_path / "at")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == sketch.sketch(reads).count()
+
+
+def test_band_table_shows_what_the_json_has():
+    """A residual's last bits don't decide its third place: the table rounds the six places of the JSON."""
+    stats = [{"name": "(0.10, 0.25]", "lo": 0.1, "hi": 0.25, "n_truth": 1, "n_called": 1, "tp": 1, "fp": 0, "recall": 1.0, "precision": 1.0, "median_abs_vaf_residual": 0.04749999999999999, "copy_count_accuracy": None}]
+    assert '"median_abs_vaf_residual": 0.0475,' in writers.band_json(stats, "s", 1, 1)
+    assert writers.band_table(stats).split("\n")[1].split()[-2:] == ["0.048", "-"]
