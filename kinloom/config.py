@@ -11,6 +11,7 @@ import threading
 import uuid
 import zipfile
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -201,6 +202,31 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str, few:
     return out.df
 
 
+#: Bytes up to which a table is broadcast by Spark's own estimate, where the estimate can't be trusted.
+ESTIMATED = 256 * 1024
+_THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
+
+
+@contextmanager
+def counted_broadcasts(spark: SparkSession):
+    """While this is open, hardly more than what is counted (few_or_all) is broadcast. Spark takes a written table for as large
+    as its files, an array for one element, and a table whose rows are exploded for no larger than before: what it then
+    broadcasts below its default of 10 MB may be a hundred times that, on the driver first."""
+    before = spark.conf.get(_THRESHOLD)
+    if _bytes(spark, before) <= ESTIMATED:
+        yield
+        return
+    spark.conf.set(_THRESHOLD, str(ESTIMATED))
+    try:
+        yield
+    finally:
+        spark.conf.set(_THRESHOLD, before)
+
+
+def _bytes(spark: SparkSession, size: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size.lstrip("-")) * (-1 if size.startswith("-") else 1)
+
+
 def few_or_all(ids: DataFrame, most: int = 1 << 19) -> DataFrame:
     """A written table of ids for a join: broadcast if they are counted to be at most so many, else as it is."""
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids

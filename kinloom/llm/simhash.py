@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import counted_broadcasts
 from .common import Written, by_batch, few_or_all, kept, settled, two_columns
 from .components import components
 from .perfect_hash import mixed
@@ -131,7 +132,8 @@ def classes(points: DataFrame, **how) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, segments: int = 2, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (the least id reachable over links
     of at most `distance` differing bits)."""
-    return settled(docs.sparkSession, lambda: _near_duplicates(docs, shingle, distance, segments, bucket, id_col, text_col), "near-duplicates", few=True)
+    with counted_broadcasts(docs.sparkSession):
+        return settled(docs.sparkSession, lambda: _near_duplicates(docs, shingle, distance, segments, bucket, id_col, text_col), "near-duplicates", few=True)
 
 
 def _near_duplicates(docs: DataFrame, shingle: int, distance: int, segments: int, bucket: int, id_col: str, text_col: str) -> DataFrame:
