@@ -26,7 +26,7 @@ def test_exploded_tables_are_not_broadcast(spark):
         spark.conf.set(THRESHOLD, before)
 
 
-@pytest.mark.parametrize("made, inner", [(simhash.near_duplicates, "_near_duplicates")])
+@pytest.mark.parametrize("made, inner", [(simhash.near_duplicates, "_near_duplicates"), (simhash.similar_groups, "_similar_groups")])
 def test_operators_count_their_broadcasts(spark, monkeypatch, made, inner):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     seen, real, before = [], getattr(simhash, inner), spark.conf.get(THRESHOLD)
