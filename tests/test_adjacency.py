@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinloom.config import shared_dir
 from kinloom.operators import adjacency, graph
-from test_graph_operators import slow_contained
+from test_graph_operators import slow_contained, slow_transitive
 
 
 def crowd(seed, n, most):
@@ -46,11 +46,16 @@ def test_packed_graph_against_brute_force(spark, monkeypatch, seed, n, most, hel
     assert [(r.edge_idx, r.src, r.dst, r.flags) for r in rows] == [(i, a, b, (a + b) % 2 * graph.OPPOSITE) for i, (a, b) in enumerate(ordered)]
     gone = slow_contained(lengths, ordered)
     assert sorted(r.id for r in graph.contained(g).collect()) == sorted(gone)
+    left = [(i, e) for i, e in enumerate(ordered) if e[0] not in gone and e[1] not in gone]
+    red = {left[k][0] for k in slow_transitive(lengths, [e for _, e in left], 100)}
+    kept, stats = graph.filter_graph(g)
+    assert {r.edge_idx for r in kept.edges.collect()} == {i for i, _ in left} - red
+    assert stats == {"edges_before": len(edges), "edges_after": len(left) - len(red), "nodes_dropped_contained": len(gone), "transitive_edges_removed": len(red)}
 
 
 def test_no_edges(spark):
     g, _ = graph.build_graph(spark.range(3).select(F.col("id").alias("read_id"), F.lit(5).alias("length_bp")), spark.createDataFrame([], "read_a long, read_b long, strand int"))
-    assert g.edges.count() == 0 and graph.contained(g).count() == 0
+    assert g.edges.count() == 0 and graph.contained(g).count() == 0 and graph.filter_graph(g)[1]["edges_after"] == 0
 
 
 def bytes_written(spark) -> int:
